@@ -119,18 +119,21 @@ def landing(p: np.ndarray, sizes: np.ndarray, goal: float) -> np.ndarray:
     return exchanged(np.array(out), sizes, goal)
 
 
-def exchanged(out: np.ndarray, sizes: np.ndarray, goal: float) -> np.ndarray:
-    """The corner with one taken and one untaken document exchanged, where that brings the token total nearer to the goal."""
-    missing = goal - float(out @ sizes)
-    taken, free = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
-    if not len(taken) or not len(free):
-        return out
-    free = free[np.argsort(sizes[free], kind="stable")]
-    wanted = sizes[taken] + missing
-    at = np.searchsorted(sizes[free], wanted)
-    best = min(((abs(wanted[k] - sizes[free[j]]), k, j) for side in (np.maximum(at - 1, 0), np.minimum(at, len(free) - 1)) for k, j in enumerate(side.tolist())), default=None)
-    if best[0] < abs(missing):
-        out[taken[best[1]]], out[free[best[2]]] = 0.0, 1.0
+def exchanged(out: np.ndarray, sizes: np.ndarray, goal: float, times: int = 10) -> np.ndarray:
+    """The corner with one taken and one untaken document exchanged, while that brings the token total nearer to the goal."""
+    for _ in range(times):
+        missing = goal - float(out @ sizes)
+        taken, free = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
+        if not len(taken) or not len(free):
+            break
+        free = free[np.argsort(sizes[free], kind="stable")]
+        wanted = sizes[taken] + missing
+        at = np.searchsorted(sizes[free], wanted)
+        near = [(np.abs(wanted - sizes[free[side]]), side) for side in (np.maximum(at - 1, 0), np.minimum(at, len(free) - 1))]
+        gap, k, j = min((float(gaps[k := int(np.argmin(gaps))]), k, int(side[k])) for gaps, side in near)
+        if gap >= abs(missing):
+            break
+        out[taken[k]], out[free[j]] = 0.0, 1.0
     return out
 
 
