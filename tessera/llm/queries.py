@@ -36,6 +36,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive, contents
+
+    return contents(archive(table(spark, sf_dir, "pages")))
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -64,10 +70,12 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from .chat import chat_sql
     from .license_scan import scan_sql
+    from .warc import warc_sql
 
     return {
         "op1_license_scan": scan_sql(),
         "op9_chat_format": chat_sql(),
+        "op6_warc": warc_sql(),
         "op7_exact_top_k": """
             WITH v AS (
               SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
