@@ -19,7 +19,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("row")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_crf import label_languages
+
+    return label_languages(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

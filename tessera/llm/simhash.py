@@ -57,15 +57,15 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint of each row as a signed long. Other columns aren't read."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, row, fp): the fingerprint of each row as a signed long, and the row's number in docs. Other columns aren't read."""
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["id", "row", "fp"])
 
-    return source.mapInArrow(run, "id long, fp long")
+    return source.mapInArrow(run, "id long, row long, fp long")
 
 
 def flips(radius: int) -> np.ndarray:
@@ -186,19 +186,21 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """(id, fingerprint, component_id, kept): each row with its component.
+    """(id, row, fingerprint, component_id, kept): each row with its component.
 
-    component_id is the smallest id that links of at most ``radius`` differing bits reach;
-    kept marks the rows whose id is that. Null and empty texts have fingerprint zero, linked
-    like any other. A null id has no say in the smallest id; a component of null ids only has
-    a null component_id. Repeated rows stay, all with the same component. Extra columns are ignored.
+    component_id is the smallest id that links of at most ``radius`` differing bits reach.
+    kept marks one row of each component: one with that id. Null and empty texts have
+    fingerprint zero, linked like any other. Null ids come last; a component of null ids only
+    has a null component_id. Repeated rows stay, all in one component. row is the row's
+    number, monotonically_increasing_id of docs. Extra columns are ignored.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row")))
+    prints = materialize(rows.groupBy("fp").agg(first.alias("least")), "prints")
     roots = connected_components(links(prints, radius))
     led = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     led = materialize(led, "roots")
-    named = led.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = led.join(named, "root").select(F.col("fp").alias("fp_"), "component_id")
+    named = led.groupBy("root").agg(F.min("least").alias("least"))
+    classes = led.select("fp", "root").join(named, "root").select(F.col("fp").alias("fp_"), "least")
     joined = rows.join(classes, F.col("fp") == F.col("fp_"))
-    return joined.select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return joined.select("id", "row", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"))
