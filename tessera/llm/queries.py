@@ -69,6 +69,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(rows))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    found = extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
