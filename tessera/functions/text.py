@@ -88,7 +88,7 @@ def parse_citations(text: Column) -> Column:
     """Distinct (path, start_line, end_line) that a text cites, in order."""
     each = [F.regexp_extract_all(text, F.lit(C.CITATION), F.lit(i)) for i in (1, 2, 3)]
     zipped = F.arrays_zip(each[0].alias("p"), each[1].alias("s"), each[2].alias("e"))
-    return F.array_distinct(F.transform(zipped, lambda z: F.struct(z["0"].alias("path"), z["1"].cast("int").alias("start_line"), z["2"].cast("int").alias("end_line"))))
+    return F.array_distinct(F.transform(zipped, lambda z: F.struct(z["p"].alias("path"), z["s"].cast("int").alias("start_line"), z["e"].cast("int").alias("end_line"))))
 
 
 def strip_thinking(text: Column) -> Column:

@@ -54,7 +54,7 @@ def aggregate(metrics: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def citation_metrics(cited: DataFrame, gold: DataFrame) -> DataFrame:
     """(query_id, n, validity, precision, completeness) of cited (query_id, path, valid) against gold (query_id, files); 0 where a side is empty."""
-    per = cited.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("valid").alias("good"), F.collect_set(F.when(F.col("valid"), F.col("path"))).alias("paths"))
+    per = cited.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("valid")).alias("good"), F.collect_set(F.when(F.col("valid"), F.col("path"))).alias("paths"))
     both = gold.join(per, "query_id", "left")
     hit = F.size(F.array_intersect(F.coalesce("paths", F.array().cast("array<string>")), "files"))
     ratio = lambda a, b: F.when(F.coalesce(b, F.lit(0)) > 0, F.round(a / b, 4)).otherwise(0.0)

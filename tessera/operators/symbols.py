@@ -49,9 +49,21 @@ def close_names(names: DataFrame, known: DataFrame, k: int = 10, cutoff: float =
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, b, a).ratio() for a, b in zip(x, y, strict=True)])
-
-    scored = near.withColumn("ratio", F.round(ratio("low", "key"), 6)).where(F.col("ratio") >= cutoff)
+        matcher, out = difflib.SequenceMatcher(None), []
+        for low, key in zip(x, y, strict=True):
+            if matcher.b != low:
+                matcher.set_seq2(low)
+            matcher.set_seq1(key)
+            out.append(matcher.ratio())
+        return pd.Series(out, dtype=float)
+
+    # No more characters can match than the two names have in common, whatever their order.
+    own = F.array_distinct(F.split("low", ""))
+    times = lambda c, x: F.length(c) - F.length(F.replace(F.col(c) if isinstance(c, str) else c, x, F.lit("")))
+    common = F.aggregate(F.filter(own, lambda x: x != ""), F.lit(0), lambda s, x: s + F.least(times("low", x), times("key", x)))
+    likely = near.where(2 * common >= cutoff * (a + b))
+    pairs = likely.select("low", "key").distinct().withColumn("ratio", F.round(ratio("low", "key"), 6)).where(F.col("ratio") >= cutoff)
+    scored = likely.join(pairs, ["low", "key"])
     order = Window.partitionBy("query_id", "name").orderBy(F.desc("ratio"), "key")
     return scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select("query_id", "name", F.col("key").alias("match"), "ratio")
 
