@@ -676,3 +676,10 @@ def dataset_candidates(spark, d):
     text, first = F.col("content"), F.substring_index("content", "\n", 1)
     rows = docs(spark, d).select("row_id", "path", "artifact_type", "content", F.col("folder").alias("symbol"), F.lit("function").alias("symbol_type"), text.alias("docstring"), "start_line", "end_line", F.array(first).alias("heading_path"), F.array(F.lit("a.py")).alias("files_changed"), first.alias("subject"))
     return candidates(rows, ("documentation", "code_lookup", "historical")).select(F.col("row_id").alias("doc_id"), "kind", "template")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 4) AS mean, max(value) AS max FROM events GROUP BY 1, 2")
+def latency_windows(spark, d):
+    from .streaming.ingest import latency_windows as windows
+
+    return windows(load(spark, d, "events"))
