@@ -62,7 +62,7 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     base = base.withColumn("seq", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum(F.size("others")).over(upto), F.lit(0)))
 
     def visit(part: Column, i: Column) -> Column:
-        rank = F.size(F.filter(F.slice(F.col("parts"), F.lit(1), i), lambda p: ~is_text(p)))
+        rank = F.size(F.filter(F.slice(F.col("parts"), F.lit(1), i + 1), lambda p: ~is_text(p)))
         name = F.regexp_replace(part["type"], "[^A-Za-z0-9_]", "_")
         return F.when(is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), name, F.lit(":"), (F.col("before") + rank).cast("string"), F.lit("|>")))
 
@@ -72,7 +72,7 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     base = base.withColumn("head", head).withColumn("chars", F.length("head") + F.length("content") + len(END))
     base = base.withColumn("at", F.coalesce(F.sum("chars").over(upto), F.lit(0)))
     span = F.when(F.col("role").isin(*trained), F.struct((F.col("at") + F.length("head")).cast("int").alias("start"), F.length("content").alias("length")))
-    refs = F.transform("others", lambda p, i: F.struct((F.col("before") + i).cast("int").alias("ordinal"), p["type"].alias("type"), p["ref"].alias("ref"), expanded(p).alias("tokens")))
+    refs = F.transform("others", lambda p, i: F.struct((F.col("before") + i + 1).cast("int").alias("ordinal"), p["type"].alias("type"), p["ref"].alias("ref"), expanded(p).alias("tokens")))
     turns = F.array_sort(F.collect_list(F.struct("seq", F.concat("head", "content", F.lit(END)).alias("text"), span.alias("span"), refs.alias("refs"))))
     done = base.groupBy("conv_id").agg(turns.alias("turns"))
     attached = F.flatten(F.transform("turns", lambda t: t["refs"]))
