@@ -20,12 +20,12 @@ from pyspark.sql.window import Window
 from .common import Table
 
 LONGEST = 2048
-#: Entries that a worker's caches hold: whole chunks between white space, and lower-case words.
-CHUNKS, WORDS = 400_000, 800_000
-#: A word of ASCII or composed Latin-1 letters with punctuation after it, between white space.
-PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?|]*)")
-#: Misses that are tokenised at once.
-MISSES = 4096
+#: Words that a worker's cache holds.
+WORDS = 900_000
+#: The tokenizer's own pre-tokens, in a lower-case text of Latin-1 characters: contractions, letters, digits, the rest.
+PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\\t-\\r \x85\xa0]+")
+#: Words that are tokenised at once.
+MISSES = 8192
 #: Rows up to which the table of sequence numbers is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -38,72 +38,73 @@ def vocabulary() -> str:
 
 
 class Encoder:
-    """Token ids of whole texts, with caches of what has been tokenised before.
+    """Token ids of whole texts, with a cache of words that have been tokenised before.
 
-    The tokenizer drops white space and merges nothing across it, so a text's ids are the ids
-    of its chunks between white space in turn. A chunk that is a plain lower-case-able word
-    and punctuation is two pre-tokens, and their ids are found apart. Chunks that are new go
-    to the tokenizer together, parted by a special token that none of them holds.
+    The tokenizer lower-cases a text, splits it into pre-tokens and merges nothing across them.
+    For texts in Latin-1 the same split is made here, and only words that are new go to the
+    tokenizer, many at once: each is one pre-token, whose last id ends a word. Other texts,
+    and those that may hold a special token, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[bytes, list[int]] = {}
-
-    def fresh(self, words: list[str]) -> dict[str, list[int]]:
-        found: dict[str, list[int]] = {}
-        plain = [w for w in words if "<|" not in w]
-        for at in range(0, len(plain), MISSES):
-            some = plain[at : at + MISSES]
-            ids = self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids
-            cuts = [-1, *np.flatnonzero(np.array(ids) == self.mark_id).tolist(), len(ids)]
-            found |= {w: ids[i + 1 : j] for w, i, j in zip(some, cuts, cuts[1:], strict=False)}
-        for w in words:
-            if w not in found:
-                found[w] = self.tokenizer.encode(w, add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def fresh(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens, as little-endian 32-bit integers."""
+        found: dict[str, bytes] = {}
+        for at in range(0, len(words), MISSES):
+            some = words[at : at + MISSES]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stops) != len(some):
+                found |= {w: self.whole(w) for w in some}
+                continue
+            raw, stops = ids.tobytes(), stops.tolist()
+            found |= {w: raw[i:j] for w, i, j in zip(some, [0, *stops], stops, strict=False)}
         return found
 
-    def learn(self, chunks: set[bytes]) -> dict[bytes, list[int]]:
-        """Ids of chunks that aren't in the cache."""
-        parts, ask = {}, {}
-        for chunk in chunks:
-            text = chunk.decode("utf-8")
-            m = PLAIN.fullmatch(text.lower())
-            parts[chunk] = [w for w in m.groups() if w] if m else [text]
-            for w in parts[chunk]:
-                if w not in self.words:
-                    ask[w] = None
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers. A full cache lets go what these texts added."""
+        words, out, waiting, ask = self.words, [b""] * len(texts), [], {}
+        for row, text in enumerate(texts):
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                out[row] = self.whole(text)
+                continue
+            if "<|" in text:
+                out[row] = self.whole(text)
+                continue
+            split = PRETOKENS.findall(text.lower())
+            ids = list(map(words.get, split))
+            holes, at = [], -1
+            while True:
+                try:
+                    at = ids.index(None, at + 1)
+                except ValueError:
+                    break
+                holes.append(at)
+            if holes:
+                ask.update((split[i], None) for i in holes)
+                waiting.append((row, ids, [(i, split[i]) for i in holes]))
+            else:
+                out[row] = b"".join(ids)
         new = self.fresh(list(ask))
-        if len(self.words) < WORDS:
-            self.words.update(new)
-        words = self.words
-        out = {}
-        for chunk, own in parts.items():
-            ids = words.get(own[0]) or new.get(own[0], [])
-            for w in own[1:]:
-                ids = ids + (words.get(w) or new.get(w, []))
-            out[chunk] = ids
-        if len(self.chunks) < CHUNKS:
-            self.chunks.update(out)
-        return out
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text as unsigned 32-bit integers."""
-        split = [t.encode("utf-8").split() for t in texts]
-        known = self.chunks
-        missing = {c for chunks in split for c in chunks if c not in known}
-        new = self.learn(missing) if missing else {}
-        out = []
-        for chunks in split:
-            ids: list[int] = []
-            for c in chunks:
-                ids += known[c] if c in known else new[c]
-            out.append(np.array(ids, np.uint32))
+        for row, ids, holes in waiting:
+            for i, w in holes:
+                ids[i] = new[w]
+            out[row] = b"".join(ids)
+        if len(words) < WORDS:
+            words.update(new)
         return out
 
 
@@ -129,12 +130,13 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeniz
     def run(batches):
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         places: dict[int, int] = {}
+        end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 rows, starts, lengths, ids, totals, own = [], [], [], [], [], []
                 for row, found in enumerate(encoder(some.column(1).to_pylist())):
-                    found = np.append(found, np.uint32(end_id)).view(np.int32)
+                    found = np.frombuffer(found + end, "<i4")
                     start = 0
                     for length in pieces(len(found), longest):
                         rows.append(row)
