@@ -13,6 +13,7 @@ from .functions import constants as C
 from .functions import text as X
 from .operators import bm25, context, evaluate, fusion, symbols, vectors
 from .plans import adapters, schema
+from .plans.session import ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def docs(spark, d) -> DataFrame:
