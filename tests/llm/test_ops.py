@@ -126,6 +126,32 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_similar_documents_agree_with_brute_force(spark):
+    rng = random.Random(12)
+    made = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    rows, at = [], 0
+    for _ in range(25):
+        base = made(rng.choice([40, 200, 600]))
+        for rate in (0.0, 0.005, 0.01, 0.03, 0.1):
+            rows.append((at, " ".join(rng.choice(made(1)) if rng.random() < rate else w for w in base), "en", "a"))
+            at += 1
+    rows += [(at, None, None, None), (at + 1, " ", "en", "a"), (at + 2, "one", "en", "a"), (None, rows[0][1].upper(), "en", "a"), (0, rows[0][1], "en", "a"), (at + 3, "x y " * 30_000, "en", "a")]
+    found = simhash.similar_documents(clashing(docs(spark, rows))).collect()
+    sets = [{tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for _, t, _, _ in rows]
+    root = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        near = [j for j, y in enumerate(sets) if len(x & y) >= 0.8 * len(x | y)]
+        low, old = min(root[j] for j in near), {root[j] for j in near}
+        root = [low if r in old else r for r in root]
+    want = {}
+    for (i, _, _, _), r in zip(rows, root, strict=True):
+        if i is not None:
+            want[i] = min([rows[k][0] for k in range(len(rows)) if root[k] == r and rows[k][0] is not None])
+    assert {r["id"]: r["component_id"] for r in found if r["id"] is not None} == want
+    assert sum(r["kept"] for r in found) == len(set(root)) and len(found) == len(rows)
+    assert simhash.similar_documents(docs(spark, [])).count() == 0
+
+
 # --- 3: language ------------------------------------------------------------------------------
 
 
