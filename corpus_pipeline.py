@@ -14,12 +14,13 @@ from tessera.llm.common import materialize
 from tessera.llm.lang_crf import UNDETERMINED, identify, train
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack
-from tessera.llm.simhash import near_duplicates
+from tessera.llm.simhash import similar_documents
+from tessera.plans.session import ship
 
 #: A document whose best language holds less of its words than this is rejected.
 LEAST_SCORE = 0.3
-#: Near-dedup works on shingles of five words; the radius is that of the operator.
-SHINGLE = 5
+#: Near-dedup: words of a shingle and the least similarity of near-duplicates.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of near-duplicates, the one with the smallest id."""
-    kept = near_duplicates(docs, words=SHINGLE).where("kept").select(F.col("row").alias("kept_row"))
+    kept = similar_documents(docs, words=SHINGLE, similarity=SIMILARITY).where("kept").select(F.col("row").alias("kept_row"))
     rows = docs.withColumn("own_row", F.monotonically_increasing_id())
     return rows.join(kept, F.col("own_row") == F.col("kept_row"), "left_semi").select(*docs.columns)
 
@@ -57,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return docs
