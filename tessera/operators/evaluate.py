@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions.text import leaf
@@ -98,18 +99,26 @@ def dataset_problems(questions: DataFrame, paths: DataFrame, chunk_ids: DataFram
     return out
 
 
-def latency(values: DataFrame, by: tuple[str, ...] = (), value: str = "value") -> DataFrame:
+def latency(values: DataFrame, by: tuple[str, ...] = (), value: str = "value", bins: int = 4096) -> DataFrame:
     """n, mean, p50, p95 and max; the p-th is the element at n // 2 and at min(int(.95 n), n - 1) of the sorted values.
 
-    Values are ranked by a window, not collected: a group may be large.
+    A group may be large, so none is sorted or collected: a histogram of each group says in
+    which bin an element lies, and only the distinct values of that bin are ordered.
     """
-    from pyspark.sql.window import Window
-
-    order, whole = Window.partitionBy(*by).orderBy("x"), Window.partitionBy(*by)
-    n = F.count("*").over(whole)
-    ranked = values.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("x")).withColumn("i", F.row_number().over(order) - 1).withColumn("n", n)
-    p50, p95 = F.floor(F.col("n") / 2), F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1)
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.max(F.when(F.col("i") == p50, F.col("x"))).alias("p50"), F.max(F.when(F.col("i") == p95, F.col("x"))).alias("p95"), F.max("x").alias("max"))
+    rows = values.where(F.col(value).isNotNull()).select(F.struct(*by).alias("g") if by else F.lit(0).alias("g"), F.col(value).cast("double").alias("x"))
+    whole = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.min("x").alias("low"), F.max("x").alias("high"))
+    places = F.array(F.struct(F.lit("p50").alias("p"), F.floor(F.col("n") / 2).alias("i")), F.struct(F.lit("p95").alias("p"), F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1).alias("i")))
+    share = F.when(F.col("high") > F.col("low"), (F.col("x") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    binned = rows.join(whole.select("g", "low", "high"), "g").select("g", "x", F.floor(share * bins).alias("bin"))
+    upto = Window.partitionBy("g").orderBy("bin")
+    counted = binned.groupBy("g", "bin").agg(F.count("*").alias("c")).withColumn("below", F.sum("c").over(upto) - F.col("c"))
+    wanted = whole.select("g", F.explode(places).alias("w")).select("g", "w.p", "w.i")
+    held = counted.join(wanted, "g").where("i >= below and i < below + c").select("g", "bin", "p", (F.col("i") - F.col("below")).alias("i"))
+    distinct = binned.groupBy("g", "bin", "x").agg(F.count("*").alias("c"))
+    inside = Window.partitionBy("g", "bin", "p").orderBy("x")
+    found = distinct.join(held, ["g", "bin"]).withColumn("below", F.sum("c").over(inside) - F.col("c")).where("i >= below and i < below + c")
+    picked = found.groupBy("g").agg(F.max(F.when(F.col("p") == "p50", F.col("x"))).alias("p50"), F.max(F.when(F.col("p") == "p95", F.col("x"))).alias("p95"))
+    return whole.join(picked, "g").select(*([F.col(f"g.{c}") for c in by]), "n", F.round("mean", 4).alias("mean"), "p50", "p95", F.col("high").alias("max"))
 
 
 def merge_reports(retrieval: DataFrame, generation: DataFrame) -> DataFrame:
