@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: The folder of each session that names none.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -25,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if spark.conf.get("spark.master", "local").startswith(("local[", "local")) and "cluster" not in spark.conf.get("spark.master", "local"):
-            found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if app not in _own:
+            alone = master == "local" or master.startswith("local[")
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera"
+        found = _own[app]
     return found.rstrip("/")
 
 
@@ -64,7 +68,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
     """Alternates large-star and small-star steps until every node hangs on its smallest reachable node.
 
     edges: two columns of node ids (long); direction, order and repeats don't matter; a null
@@ -89,4 +93,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
+    else:
+        raise RuntimeError(f"components aren't settled after {rounds} rounds")
     return now.df.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.df.select(F.col("v"), F.col("v")).distinct())
