@@ -503,9 +503,10 @@ def citation_validate(spark, d):
 def gold_pairs(spark, d) -> DataFrame:
     """(query_id, row_id): documents that hold a passage word for word.
 
-    A passage can only be in a document that has its longest token, so that pairs come from a join on that and not from all.
+    A document that holds a passage has the longest token between its first and last word, so pairs come from a join on that and not from all.
     """
-    q = asked(spark, d).withColumn("token", F.element_at(F.array_sort(X.tokenize(F.col("query")), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(F.when(a > b, 1).otherwise(0))), 1))
+    inner = F.nullif(F.regexp_replace("query", r"^\S+\s+|\s+\S+$", ""), F.lit(""))
+    q = asked(spark, d).withColumn("token", F.element_at(F.array_sort(X.tokenize(F.coalesce(inner, F.col("query"))), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(F.when(a > b, 1).otherwise(0))), 1))
     terms = docs(spark, d).select("row_id", "content", F.explode(F.array_distinct(X.tokenize(F.col("content")))).alias("token"))
     return terms.join(q, "token").where(F.contains("content", F.col("query"))).select("query_id", "row_id").distinct()
 
