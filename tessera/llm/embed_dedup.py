@@ -71,7 +71,7 @@ def units(lists, width: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.98, tables: int = 6, hashes: int = 2, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.98, tables: int = 6, hashes: int = 3, block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept): each row with its number of links and its component.
 
     Two rows link when their labels are equal and not null, their cosine is at least the
