@@ -220,35 +220,27 @@ BLOCKS, BLOCK_BITS = 10, 40
 SIMILAR_CODE_BITS = 4
 
 
-#: The estimate of a similarity that is this far from the wanted one is taken for sure: two to three standard deviations.
-UNSURE = 0.1
-
-
 def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Distinct 32-bit hashes of a text's word shingles."""
+    """Distinct 64-bit hashes of a text's word shingles, in order."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    each = [b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))]
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(x, SEED) for x in each), np.uint32, len(each))).view(np.int32)
+    each = {b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))}
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in each]), np.int64))
 
 
 def block_keys(text: str | None, words: int, blocks: int = BLOCKS, bits: int = BLOCK_BITS) -> tuple[bytes, list[int]]:
-    """(digest of the word sequence, block values) of a text; the blocks are SimHash bits of independent hashes of its shingles."""
+    """(digest of the word sequence, block values) of a text; the blocks are SimHash bits of independent hashes of its distinct shingles."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     whole = b" ".join(parts)
     mark = xxhash.xxh3_128_digest(whole)
     if not parts:
         return mark, [0] * blocks
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    n = max(1, len(parts) - words + 1)
-    first, last = starts[:n], ends[min(words, len(parts)) - 1 :]
+    hashes = shingle_set(text, words).view(np.uint64)
+    n = len(hashes)
     wide = -(-blocks * bits // 64)
     salts = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, wide, dtype=np.uint64)
-    ones, digest = np.zeros(64 * wide, np.int64), xxhash.xxh64_digest
+    ones = np.zeros(64 * wide, np.int64)
     for at in range(0, n, BLOCK // 4):
-        spans = zip(first[at : at + BLOCK // 4].tolist(), last[at : at + BLOCK // 4].tolist(), strict=True)
-        x = np.frombuffer(b"".join([digest(whole[i:j], SEED) for i, j in spans]), np.uint64)[:, None] ^ salts[None, :]
+        x = hashes[at : at + BLOCK // 4, None] ^ salts[None, :]
         x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
         x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
         ones += np.unpackbits((x ^ x >> np.uint64(32)).view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
@@ -256,24 +248,12 @@ def block_keys(text: str | None, words: int, blocks: int = BLOCKS, bits: int = B
     return mark, (on @ (1 << np.arange(bits, dtype=np.int64))).tolist()
 
 
-def similar(a, b, blocks: int = BLOCKS, bits: int = BLOCK_BITS):
-    """Estimated Jaccard similarity of the shingle sets of two signatures (columns of block values).
-
-    The share of differing bits is the angle between the shingle vectors; for sets of like size
-    a cosine of c is a similarity of c / (2 - c).
-    """
-    apart = sum((F.bit_count(F.col(f"{a}.k")[i].bitwiseXOR(F.col(f"{b}.k")[i])) for i in range(blocks)), F.lit(0))
-    c = F.cos(apart * (np.pi / (blocks * bits)))
-    return c / (2 - c)
-
-
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 4, blocks: int = BLOCKS, bits: int = BLOCK_BITS) -> DataFrame:
     """(id, row, component_id, kept): components of texts whose Jaccard similarity of word shingles is at least ``similarity``.
 
     A fingerprint of 64 bits and a small radius only links texts that are nearly equal. Here
     every text has several blocks of SimHash bits, each goes through the ball hashing of near
-    fingerprints, and texts that meet in any block are verified: all bits together estimate the
-    similarity to within 0.04, and where that leaves it open the shingle sets themselves decide.
+    fingerprints, and texts that meet in any block are verified by their sets of distinct shingles.
     Texts of equal word sequences (A-Z lower-cased) are one class before that, also those
     without words. Columns and odd rows are as in near_duplicates. Two texts of similarity 0.8
     meet with a probability of 0.95, those of 0.85 with one of 0.99.
@@ -312,29 +292,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     met = sent.repartitionById(blocks << part_bits, F.col("part")).mapInArrow(run, "a long, b long")
     pairs = materialize(met.union(equal).distinct(), "candidates")
-    left = classes.select(F.col("c").alias("a"), F.struct("k").alias("x"))
-    right = classes.select(F.col("c").alias("b"), F.struct("k").alias("y"))
-    told = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", similar("x", "y", blocks, bits).alias("s")).where(F.col("s") >= similarity - UNSURE), "estimates")
-    sure = told.where(F.col("s") >= similarity + UNSURE).select("a", "b")
-    # Where sure links connect two texts already, theirs needs no second look.
-    led_by = materialize(connected_components(sure), "sure")
-    ends = lambda name: led_by.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-    open_ = told.where(F.col("s") < similarity + UNSURE).join(ends("a"), "a", "left").join(ends("b"), "b", "left")
-    open_ = materialize(open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open")
-    looked = open_.select(F.col("a").alias("c")).union(open_.select("b")).distinct()
+    looked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
     texts = source.select("row", "text").join(looked, F.col("row") == F.col("c"), "left_semi")
 
     def sets(batches):
         for batch in batches:
             found = [shingle_set(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["c", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["c", "set"])
 
-    shingles = materialize(texts.mapInArrow(sets, "c long, set array<int>"), "shingles")
-    both = open_.join(shingles.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
+    shingles = materialize(texts.mapInArrow(sets, "c long, set array<long>"), "shingles")
+    both = pairs.join(shingles.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     exact = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    linked = sure.union(exact)
-    roots = connected_components(linked)
+    roots = connected_components(exact)
     led = materialize(classes.select("mark", "c", "least").join(roots, F.col("c") == F.col("node"), "left").select("mark", "least", F.coalesce("root", "c").alias("root")), "roots")
     named = led.groupBy("root").agg(F.min("least").alias("best"))
     known = led.select("mark", "root").join(named, "root").select(F.col("mark").alias("mark_"), "best")

@@ -152,6 +152,16 @@ def test_similar_documents_agree_with_brute_force(spark):
     assert simhash.similar_documents(docs(spark, [])).count() == 0
 
 
+def test_a_repeated_line_neither_links_nor_parts_documents(spark):
+    rng = random.Random(5)
+    made = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    line, other = "all words on one line " * 60, "seen in another place " * 60
+    same = " ".join(made(600))
+    texts = [line + " ".join(made(100)), line + " ".join(made(100)), f"{same} {line}", f"{same} {other}"]
+    found = simhash.similar_documents(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    assert {r["id"]: r["component_id"] for r in found} == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
 # --- 3: language ------------------------------------------------------------------------------
 
 
