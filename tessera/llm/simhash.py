@@ -212,12 +212,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("id", "row", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"))
 
 
-# --- similar texts: several short balls of a long signature -----------------------------------
+# --- similar texts: shingle sets that share one of their rarest shingles ----------------------
 
-#: Blocks of a signature and bits of a block: each is a fingerprint of its own for the ball hashing.
-BLOCKS, BLOCK_BITS = 10, 40
-#: Bits of the code that deals a block's variants out.
-SIMILAR_CODE_BITS = 4
+#: Cells of the count that tells rare shingles from common ones, and texts of one shingle that meet at once.
+COUNTED, MEETING = 1 << 16, 1024
+#: What a bound gives way by, so that no rounding loses a pair; the decision itself gives way by nothing.
+SLACK = 1e-6
+
+
+def word_mark(text: str | None) -> bytes:
+    """Digest of a text's word sequence, A-Z lower-cased."""
+    return xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -227,84 +232,114 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in each]), np.int64))
 
 
-def block_keys(text: str | None, words: int, blocks: int = BLOCKS, bits: int = BLOCK_BITS) -> tuple[bytes, list[int]]:
-    """(digest of the word sequence, block values) of a text; the blocks are SimHash bits of independent hashes of its distinct shingles."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    whole = b" ".join(parts)
-    mark = xxhash.xxh3_128_digest(whole)
-    if not parts:
-        return mark, [0] * blocks
-    hashes = shingle_set(text, words).view(np.uint64)
-    n = len(hashes)
-    wide = -(-blocks * bits // 64)
-    salts = np.random.Generator(np.random.PCG64(SEED)).integers(0, 2**64, wide, dtype=np.uint64)
-    ones = np.zeros(64 * wide, np.int64)
-    for at in range(0, n, BLOCK // 4):
-        x = hashes[at : at + BLOCK // 4, None] ^ salts[None, :]
-        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        ones += np.unpackbits((x ^ x >> np.uint64(32)).view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
-    on = (ones * 2 > n)[: blocks * bits].reshape(blocks, bits)
-    return mark, (on @ (1 << np.arange(bits, dtype=np.int64))).tolist()
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 4, blocks: int = BLOCKS, bits: int = BLOCK_BITS) -> DataFrame:
-    """(id, row, component_id, kept): components of texts whose Jaccard similarity of word shingles is at least ``similarity``.
+def flat_sets(sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all members, size of each set)."""
+    return sets.flatten().to_numpy(zero_copy_only=False), sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
-    A fingerprint of 64 bits and a small radius only links texts that are nearly equal. Here
-    every text has several blocks of SimHash bits, each goes through the ball hashing of near
-    fingerprints, and texts that meet in any block are verified by their sets of distinct shingles.
-    Texts of equal word sequences (A-Z lower-cased) are one class before that, also those
-    without words. Columns and odd rows are as in near_duplicates. Two texts of similarity 0.8
-    meet with a probability of 0.95, those of 0.85 with one of 0.99.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
 
-    def sign(batches):
+def cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(48)).astype(np.int64)
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """Shingles in each of COUNTED cells: a common shingle stands out in its cell, whatever the number of texts."""
+
+    def run(batches):
+        counts = np.zeros(COUNTED, np.int64)
         for batch in batches:
-            found = [block_keys(t.as_py(), words, blocks, bits) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([m for m, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))], names=["id", "row", "mark", "k"])
+            counts += np.bincount(cell(flat_sets(batch.column(0))[0]), minlength=COUNTED)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
 
-    rows = materialize(source.mapInArrow(sign, "id long, row long, mark binary, k array<long>"), "signatures")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row")))
-    classes = materialize(rows.groupBy("mark").agg(first.alias("least"), F.any_value("k").alias("k")).select("mark", "least", F.col("least.row").alias("c"), "k"), "classes")
-    spots = classes.select("c", F.posexplode("k").alias("b", "key"))
-    hubs = materialize(spots.groupBy("b", "key").agg(F.min("c").alias("hub"), F.count("*").alias("n")), "hubs")
-    equal = spots.join(hubs.where("n > 1").select("b", "key", "hub"), ["b", "key"]).where("c <> hub").select(F.col("hub").alias("a"), F.col("c").alias("b"))
-    part_bits = max(SIMILAR_CODE_BITS, (max(1, classes.count()) // PART_FINGERPRINTS - 1).bit_length())
-    sent = dealt(hubs.select("b", "key", "hub"), "key", part_bits, radius, bits).select((F.col("b") * (1 << part_bits) + F.col("part")).cast("int").alias("part"), "key", "hub")
+    out = np.zeros(COUNTED, np.int64)
+    for r in sets.select("set").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out
+
+
+def rarest(sets: DataFrame, similarity: float) -> DataFrame:
+    """(h, c, size, pos): the first shingles of each set in the order of (count of the cell, hash), so many that two sets of the similarity share one.
+
+    Sets that share s of n members lack n - s of them, so one of the first n - s + 1 is shared.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
 
     def run(batches):
-        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            part, key, hub = (batch.column(i).to_numpy() for i in range(3))
-            order = np.argsort(part, kind="stable")
-            found, begins = np.unique(part[order], return_index=True)
-            for p, some in zip(found.tolist(), np.split(order, begins[1:]) if len(order) else [], strict=True):
-                parts.setdefault(p, []).append((key[some], hub[some]))
-        for p in sorted(parts):
-            keys, own = (np.concatenate(x) for x in zip(*parts.pop(p), strict=True))
-            order = np.argsort(own, kind="stable")
-            keys, own = keys[order], own[order]
-            a, b = meet(keys.view(np.uint64), p & ((1 << part_bits) - 1), part_bits, radius, bits)
-            for at in range(0, len(a), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(own[a[at : at + (1 << 18)]]), pa.array(own[b[at : at + (1 << 18)]])], names=["a", "b"])
-
-    met = sent.repartitionById(blocks << part_bits, F.col("part")).mapInArrow(run, "a long, b long")
-    pairs = materialize(met.union(equal).distinct(), "candidates")
+            flat, sizes = flat_sets(batch.column(1))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, shared.value[cell(flat)], owner))
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            take = pos < np.repeat(sizes - np.ceil(similarity * sizes - SLACK).astype(np.int64) + 1, sizes)
+            order, pos, own = order[take], pos[take], owner[take]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[order]), pa.array(batch.column(0).to_numpy()[own]), pa.array(sizes[own].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["h", "c", "size", "pos"])
+
+    return sets.select("c", "set").mapInArrow(run, "h long, c long, size int, pos int")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have the similarity."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     looked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    texts = source.select("row", "text").join(looked, F.col("row") == F.col("c"), "left_semi")
+    some = materialize(sets.join(looked, "c", "left_semi"), "looked")
+    both = pairs.join(some.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(some.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return materialize(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+
+
+def meetings(spots: DataFrame, similarity: float, meeting: int) -> DataFrame:
+    """(a, b): pairs of different roots that share a shingle of spots (h, c, size, pos, root) and may have the similarity.
+
+    Texts of one shingle are cut into blocks, and blocks meet two by two. A pair is judged from
+    every shingle it shares; at the first one, no more can be shared than what follows in both.
+    """
+    mixed = spots.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("q"), F.ceil(F.count("*") / meeting).alias("k")).where("r <> q").select("h", "k")
+    own = spots.join(mixed, "h").withColumn("own", F.pmod(F.xxhash64("c"), "k"))
+    dealt_ = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("h", "c", "size", "pos", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    x, y = dealt_.where("own = lo").alias("x"), dealt_.where("own = hi").alias("y")
+    least, most = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    follow = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
+    fits = (least >= similarity * most - SLACK) & (follow >= similarity / (1 + similarity) * (least + most) - SLACK)
+    once = (F.col("x.lo") < F.col("x.hi")) | (F.col("x.c") < F.col("y.c"))
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("h", "lo", "hi")]
+    return x.join(y, [*same, F.col("x.root") != F.col("y.root"), once, fits]).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, meeting: int = MEETING) -> DataFrame:
+    """(id, row, component_id, kept): components of texts whose Jaccard similarity of word shingles is at least ``similarity``.
 
-    def sets(batches):
+    A fingerprint of 64 bits and a small radius only links texts that are nearly equal. Here no
+    link is lost: two texts of the similarity share one of the rarest shingles of each (prefix
+    filter), and the sets of distinct shingles decide. Each text first meets two others of its
+    rare shingles only, which settles most of a large group of near copies at a cost in
+    proportion to its size; then all pairs that aren't in one component yet meet.
+    Texts of equal word sequences (A-Z lower-cased) are one class before that, also those
+    without words. Columns and odd rows are as in near_duplicates.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+
+    def sign(batches):
         for batch in batches:
-            found = [shingle_set(t.as_py(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["c", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([word_mark(t.as_py()) for t in batch.column(2)], pa.binary())], names=["id", "row", "mark"])
 
-    shingles = materialize(texts.mapInArrow(sets, "c long, set array<long>"), "shingles")
-    both = pairs.join(shingles.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(shingles.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    exact = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    roots = connected_components(exact)
+    def shingle(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words) for t in batch.column(1)], pa.list_(pa.int64()))], names=["c", "set"])
+
+    rows = materialize(source.mapInArrow(sign, "id long, row long, mark binary"), "marks")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row")))
+    classes = materialize(rows.groupBy("mark").agg(first.alias("least")).select("mark", "least", F.col("least.row").alias("c")), "classes")
+    texts = source.select("row", "text").join(classes.select("c"), F.col("row") == F.col("c"), "left_semi")
+    sets = materialize(texts.mapInArrow(shingle, "c long, set array<long>"), "shingles")
+    rare = materialize(rarest(sets, similarity), "rarest")
+    shared = rare.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("n > 1").drop("n")
+    spots = materialize(rare.join(shared, "h"), "spots")
+    ends = materialize(spots.groupBy("c").agg(F.min("low").alias("low"), F.max("high").alias("high")), "ends")
+    stars = ends.select(F.col("c").alias("a"), F.col("low").alias("b")).union(ends.select("c", "high")).where("a <> b")
+    settled = materialize(connected_components(verified(stars, sets, similarity)), "settled")
+    rooted = materialize(spots.join(settled, F.col("c") == F.col("node"), "left").select("h", "c", "size", "pos", F.coalesce("root", "c").alias("root")), "rooted")
+    rest = verified(meetings(rooted, similarity, meeting), sets, similarity)
+    roots = connected_components(settled.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
     led = materialize(classes.select("mark", "c", "least").join(roots, F.col("c") == F.col("node"), "left").select("mark", "least", F.coalesce("root", "c").alias("root")), "roots")
     named = led.groupBy("root").agg(F.min("least").alias("best"))
     known = led.select("mark", "root").join(named, "root").select(F.col("mark").alias("mark_"), "best")

@@ -162,6 +162,18 @@ def test_a_repeated_line_neither_links_nor_parts_documents(spark):
     assert {r["id"]: r["component_id"] for r in found} == {0: 0, 1: 1, 2: 2, 3: 2}
 
 
+def test_a_failed_pair_with_the_first_text_does_not_hide_the_pairs_behind_it(spark):
+    rng, texts = random.Random(8), []
+    made = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    for _ in range(80):
+        # 100 shingles each: x and y share 92, the first shares 85 with either.
+        start, middle = made(89), made(7)
+        texts += [f"{start} {made(15)}", f"{start} {middle} {made(8)}", f"{start} {middle} {made(8)}"]
+    for options in ({}, {"meeting": 1}):
+        found = simhash.similar_documents(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), **options).collect()
+        assert {r["id"]: r["component_id"] for r in found} == {i: i - (i % 3 == 2) for i in range(len(texts))}
+
+
 # --- 3: language ------------------------------------------------------------------------------
 
 
