@@ -174,6 +174,17 @@ def test_a_failed_pair_with_the_first_text_does_not_hide_the_pairs_behind_it(spa
         assert {r["id"]: r["component_id"] for r in found} == {i: i - (i % 3 == 2) for i in range(len(texts))}
 
 
+def test_no_pair_at_the_least_similarity_is_lost(spark):
+    rng, texts = random.Random(9), []
+    made = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    for n, shared in [(90, 80), (91, 82), (90, 79)] * 100:
+        # Similarities of exactly 0.8 and 0.82, and one of 0.78 that is no link.
+        same = made(shared + 4)
+        texts += [f"{same} {made(n - shared)}", f"{same} {made(n - shared)}"]
+    found = simhash.similar_documents(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    assert {r["id"]: r["component_id"] for r in found} == {i: i - (i % 2 and i // 2 % 3 < 2) for i in range(len(texts))}
+
+
 # --- 3: language ------------------------------------------------------------------------------
 
 
