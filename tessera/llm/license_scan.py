@@ -14,7 +14,7 @@ from .licenses import EQUIVALENT, LICENSES
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;%<!-]*(copyright[^\n]*([0-9]{4}|\(c\)|©|<year>|\[year\])|\(c\)|©)[^\n]*$"
 #: ASCII that is neither letter nor digit, and typographic quotes, dashes and spaces.
 PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{2000}-\x{206f}]+"
-#: Every known text has it, so a line without it needs no digest.
+#: Most known texts have it. The SQL form asks it of every line, and so misses the others' lines.
 ANCHOR = "licen"
 RESERVED = " all  rights  reserved "
 
@@ -37,6 +37,26 @@ def known(spark: SparkSession, licenses=LICENSES) -> DataFrame:
     return spark.range(1).select(rows.alias("r")).groupBy(digest(F.col("r.text")).alias("known")).agg(F.min("r.license_id").alias("license_id"))
 
 
+def anchors(spark: SparkSession, licenses=LICENSES) -> list[str]:
+    """Strings of which every line that is a known text has one, in lower case; none at all if a known text offers none.
+
+    A word of a canonical text that no spelling is replaced by stood in the line as it is;
+    ANCHOR also stands in each spelling of the words that hold it.
+    """
+    made = {new for _, new in EQUIVALENT}
+    rows = F.explode(F.array(*(F.lit(t) for _, t in licenses)))
+    out: set[str] = set()
+    for r in spark.range(1).select(rows.alias("t")).select(canonical(F.col("t")).alias("t")).collect():
+        own = [w for w in r["t"].split(" ") if w and w not in made]
+        if ANCHOR not in r["t"] and not own:
+            return []
+        if ANCHOR in r["t"]:
+            out.add(ANCHOR)
+        elif not out.intersection(own):
+            out.add(min(own, key=lambda w: (-len(w), w)))
+    return sorted(out)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licenses=LICENSES) -> DataFrame:
     """(id, digest, license_id, notices): each row's canonical digest and the licences it stands for.
 
@@ -48,7 +68,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licens
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.contains(F.lower(x), F.lit(ANCHOR)))
+    lines, marks = F.split(text, "\n"), anchors(spark, licenses)
+    if marks:
+        lines = F.filter(lines, lambda x: functools.reduce(lambda a, b: a | b, (F.contains(F.lower(x), F.lit(m)) for m in marks)))
     rows = docs.select(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id"), digest(text).alias("digest"), F.array_distinct(F.transform(lines, digest)).alias("lines"))
     rows = materialize(rows, "digests")
     of = F.broadcast(known(spark, licenses))

@@ -52,6 +52,12 @@ def test_every_known_text_is_its_own_licence(spark):
     assert found == {i: name for i, (name, _) in enumerate(license_scan.LICENSES)}
 
 
+def test_every_known_text_is_found_as_a_line(spark):
+    rows = [(i, "before\n" + " ".join(t.split()) + "\nafter", None, None) for i, (_, t) in enumerate(license_scan.LICENSES)]
+    found = {r["id"]: r["notices"] for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert found == {i: name for i, (name, _) in enumerate(license_scan.LICENSES)}
+
+
 # --- 2: SimHash -------------------------------------------------------------------------------
 
 
