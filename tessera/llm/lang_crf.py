@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WORDS = re.compile(r"[^\W\d_]+")
+#: The same characters for Spark's own expressions.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
 BUCKETS = 1 << 15
-#: Labelled rows of each language, windows of each row and words of each window that the fit takes.
+#: Labelled rows of each language, windows of each row and words of each window that the fit takes; a shorter text is one window.
 SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW = 300, 4, 24
 #: Words of each language's lexicon, and languages that are told apart.
 LEXICON, LANGUAGES = 2000, 64
@@ -135,6 +137,7 @@ def forward_backward(scores: np.ndarray, start: np.ndarray, moves: np.ndarray, l
             pair += ahead[i - 1].T @ right * go
             back[i - 1] = right @ go.T
         else:
+            pair += ahead[i - 1].T @ (right * real[i][:, None]) * go
             back[i - 1] = np.where(real[i][:, None], right @ go.T, 1.0)
     logs = np.where(real, np.log(scale) + peak[:, :, 0], 0.0).sum(axis=0)
     return ahead * back * real[:, :, None], pair, logs
@@ -145,14 +148,14 @@ def words_of(text: str) -> list[str]:
 
 
 def fit(rows: list[tuple[str, list[list[str]]]], seed: int = 11) -> Model:
-    """A model of labelled windows of words: (language, windows) for each row.
+    """A model of labelled windows of at most WINDOW words: (language, windows) for each row. A language without words isn't learned.
 
     Half of the training sequences join halves of windows of two languages, so that the
     transitions learn switches. Full-batch Adam on the log-likelihood.
     """
-    langs = sorted({lang for lang, _ in rows})
+    langs = sorted({lang for lang, ws in rows if any(ws)})
     k, rng = len(langs), np.random.Generator(np.random.PCG64(seed))
-    windows: list[tuple[int, list[str]]] = sorted((langs.index(lang), w) for lang, ws in rows for w in ws if len(w) == WINDOW)
+    windows: list[tuple[int, list[str]]] = sorted((langs.index(lang), w) for lang, ws in rows for w in ws if w)
     counts: list[dict[str, int]] = [{} for _ in langs]
     for lang, ws in sorted(rows):
         for w in (x for one in ws for x in one):
@@ -166,27 +169,33 @@ def fit(rows: list[tuple[str, list[list[str]]]], seed: int = 11) -> Model:
     model = Model(langs, np.zeros((k, BUCKETS)), lexicon, np.zeros((k, k)), np.zeros(k), np.zeros(k), np.zeros((k, k)))
     if not windows or k == 1:
         return model
-    half = WINDOW // 2
     mates = rng.permutation(len(windows))
-    seqs = [(w, [i] * WINDOW) for i, w in windows] + [(w[:half] + windows[j][1][half:], [i] * half + [windows[j][0]] * (WINDOW - half)) for (i, w), j in zip(windows, mates.tolist(), strict=True)]
+    seqs = [(w, [i] * len(w)) for i, w in windows]
+    for (i, w), (j, v) in zip(windows, [windows[m] for m in mates.tolist()], strict=True):
+        head, tail = w[: len(w) // 2], v[len(v) // 2 :]
+        seqs.append((head + tail, [i] * len(head) + [j] * len(tail)))
+    sizes = np.array([len(ws) for ws, _ in seqs])
+    longest = int(sizes.max())
+    real = np.arange(longest)[:, None] < sizes[None, :]
+    lengths = None if real.all() else sizes
     vocabulary = sorted({w for w, _ in seqs for w in w})
     index = {w: i for i, w in enumerate(vocabulary)}
-    ids = np.array([[index[w] for w in ws] for ws, _ in seqs]).T
-    gold = np.array([labels for _, labels in seqs]).T
+    ids = np.array([[index[w] for w in ws] + [0] * (longest - len(ws)) for ws, _ in seqs]).T
+    gold = np.array([labels + [0] * (longest - len(labels)) for _, labels in seqs]).T
     kinds = gram_buckets(vocabulary)
     buckets = np.concatenate([b for b, _ in kinds])
     owner = np.concatenate([np.repeat(np.arange(len(vocabulary)), np.diff(begins, append=len(b))) for b, begins in kinds])
     lex = np.stack([lexicon.get(w, np.zeros(k)) for w in vocabulary])
-    one = np.eye(k)[gold]
+    one = np.eye(k)[gold] * real[:, :, None]
     gold_moves = np.zeros((k, k))
-    np.add.at(gold_moves, (gold[:-1].ravel(), gold[1:].ravel()), 1.0)
+    np.add.at(gold_moves, (gold[:-1][real[1:]], gold[1:][real[1:]]), 1.0)
     gold_start = one[0].sum(axis=0)
-    n = ids.size
+    n = int(sizes.sum())
     params = [model.grams, model.of_lexicon, model.bias, model.start, model.moves]
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, STEPS + 1):
         scores = gram_scores(model.grams, kinds) + lex @ model.of_lexicon + model.bias
-        marginals, pair, logs = forward_backward(scores[ids], model.start, model.moves)
+        marginals, pair, logs = forward_backward(scores[ids], model.start, model.moves, lengths)
         model.losses.append(float((logs.sum() - (scores[ids] * one).sum() - (model.moves * gold_moves).sum() - (model.start * gold_start).sum()) / n))
         off = (one - marginals).reshape(-1, k)
         by_word = np.stack([np.bincount(ids.ravel(), off[:, j], len(vocabulary)) for j in range(k)], axis=1)
@@ -253,10 +262,10 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
 def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, rows: int) -> list[tuple[str, list[list[str]]]]:
     """Windows of words of at most so many rows of each language: those of the smallest hash of their id.
 
-    Ids are chosen first, from the id and label columns alone; only windows reach the driver.
+    Ids are chosen first, among the rows that have words; only windows reach the driver.
     At most LANGUAGES languages, the most frequent ones, are told apart.
     """
-    labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).cast("string").rlike(LETTER))
     top = [r[0] for r in labelled.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
     order = Window.partitionBy("lang_").orderBy(F.xxhash64("id_", F.lit(3)), "id_")
     ids = labelled.where(F.col(lang_col).isin(top)).select(F.col(id_col).alias("id_"), F.col(lang_col).alias("lang_"))
@@ -273,7 +282,7 @@ def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text or "")
                 spread = max(1, (len(words) - WINDOW) // SAMPLE_WINDOWS)
-                begins = range(0, max(0, len(words) - WINDOW) + 1, spread) if len(words) >= WINDOW else []
+                begins = range(0, max(0, len(words) - WINDOW) + 1, spread) if words else []
                 langs.append(lang)
                 found.append([words[i : i + WINDOW] for i in list(begins)[:SAMPLE_WINDOWS]])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.list_(pa.list_(pa.string())))], names=["lang", "windows"])

@@ -247,6 +247,25 @@ def test_words_of_code_switched_text_get_their_own_language(spark):
     assert np.mean([x == y for x, y in zip(said, [a] * 20 + [b] * 20, strict=True)]) > 0.85
 
 
+def test_expected_moves_of_a_padded_batch_are_those_of_its_rows():
+    rng = np.random.Generator(np.random.PCG64(2))
+    scores, start, moves, lengths = rng.normal(size=(5, 3, 3)), rng.normal(size=3), rng.normal(size=(3, 3)), np.array([5, 2, 1])
+    _, pair, _ = lang_crf.forward_backward(scores, start, moves, lengths)
+    assert np.allclose(pair, sum(lang_crf.forward_backward(scores[:n, [j]], start, moves)[1] for j, n in enumerate(lengths)))
+
+
+@pytest.mark.parametrize("longer", [1, 10])
+def test_languages_of_texts_shorter_than_a_window(spark, longer):
+    rng = random.Random(4)
+    own = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(60)] for lang, letters in zip("abcde", ("abcdef", "ghijkl", "mnopqr", "stuvwx", "yzäöüß"), strict=True)}
+    # Language e has short texts only, among many that have no words at all.
+    rows = [(i * 5 + j, " ".join(rng.choice(own[lang]) for _ in range(rng.randint(1, 8) * (1 if lang == "e" else longer))), lang, "s") for i in range(40) for j, lang in enumerate(own)]
+    rows += [(1000 + i, rng.choice([None, "", "12 !"]), "e", "s") for i in range(200)]
+    found = lang_crf.label_languages(docs(spark, rows), rows=20).where("id < 1000").collect()
+    want = {i: lang for i, _, lang, _ in rows}
+    assert np.mean([r["lang_pred"] == want[r["id"]] for r in found]) > 0.97 and np.mean([r["score"] for r in found]) > 0.8
+
+
 # --- 4: packing -------------------------------------------------------------------------------
 
 
