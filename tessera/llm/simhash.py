@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import Table, connected_components, materialize
 
 SEED = 42
 BITS = 64
@@ -232,77 +232,95 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, SEED) for x in each]), np.int64))
 
 
-def flat_sets(sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(all members, size of each set)."""
-    return sets.flatten().to_numpy(zero_copy_only=False), sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+def flat_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of all texts one after the other, size of each set)."""
+    found = [shingle_set(t.as_py(), words) for t in texts]
+    return np.concatenate([*found, np.zeros(0, np.int64)]), np.fromiter(map(len, found), np.int64, len(found))
 
 
 def cell(shingles: np.ndarray) -> np.ndarray:
     return (shingles.view(np.uint64) >> np.uint64(48)).astype(np.int64)
 
 
-def shingle_counts(sets: DataFrame) -> np.ndarray:
+def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
     """Shingles in each of COUNTED cells: a common shingle stands out in its cell, whatever the number of texts."""
 
     def run(batches):
         counts = np.zeros(COUNTED, np.int64)
         for batch in batches:
-            counts += np.bincount(cell(flat_sets(batch.column(0))[0]), minlength=COUNTED)
+            counts += np.bincount(cell(flat_sets(batch.column(0), words)[0]), minlength=COUNTED)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
 
     out = np.zeros(COUNTED, np.int64)
-    for r in sets.select("set").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in texts.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r["cell"]] = r["n"]
     return out
 
 
-def rarest(sets: DataFrame, similarity: float) -> DataFrame:
-    """(h, c, size, pos): the first shingles of each set in the order of (count of the cell, hash), so many that two sets of the similarity share one.
+def rarest(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(h, c, size): 32 bits of the first shingles of each set in the order of (count of the cell, hash), so many that two sets of the similarity share one.
 
     Sets that share s of n members lack n - s of them, so one of the first n - s + 1 is shared.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets))
+    shared = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, words))
 
     def run(batches):
         for batch in batches:
-            flat, sizes = flat_sets(batch.column(1))
+            flat, sizes = flat_sets(batch.column(1), words)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((flat, shared.value[cell(flat)], owner))
             pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             take = pos < np.repeat(sizes - np.ceil(similarity * sizes - SLACK).astype(np.int64) + 1, sizes)
-            order, pos, own = order[take], pos[take], owner[take]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[order]), pa.array(batch.column(0).to_numpy()[own]), pa.array(sizes[own].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["h", "c", "size", "pos"])
+            order, own = order[take], owner[take]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[order].astype(np.int32)), pa.array(batch.column(0).to_numpy()[own]), pa.array(sizes[own].astype(np.int32))], names=["h", "c", "size"])
 
-    return sets.select("c", "set").mapInArrow(run, "h long, c long, size int, pos int")
+    return texts.select("c", "text").mapInArrow(run, "h int, c long, size int")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have the similarity."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts have the similarity, by their sets."""
+
+    def shingle(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words) for t in batch.column(1)], pa.list_(pa.int64()))], names=["c", "set"])
+
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     looked = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    some = materialize(sets.join(looked, "c", "left_semi"), "looked")
-    both = pairs.join(some.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(some.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
+    sets = Table(texts.select("c", "text").join(looked, "c", "left_semi").mapInArrow(shingle, "c long, set array<long>"), "shingles")
+    both = pairs.join(sets.df.select(F.col("c").alias("a"), F.col("set").alias("x")), "a").join(sets.df.select(F.col("c").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return materialize(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+    found = materialize(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+    sets.drop()
+    return found
+
+
+def may_link(x, y, n, similarity: float):
+    """Whether sets of sizes x and y that share n of their rarest shingles can have the similarity.
+
+    The one whose rarest shingles end first shares those n and, at most, all that follow.
+    """
+    follow = F.ceil(similarity * F.greatest(x, y) - SLACK) - 1
+    return (F.least(x, y) >= similarity * F.greatest(x, y) - SLACK) & (n + follow >= similarity / (1 + similarity) * (x + y) - SLACK)
 
 
 def meetings(spots: DataFrame, similarity: float, meeting: int) -> DataFrame:
-    """(a, b): pairs of different roots that share a shingle of spots (h, c, size, pos, root) and may have the similarity.
+    """(a, b): pairs of different roots whose shared shingles of spots (h, c, size, root) leave the similarity possible.
 
-    Texts of one shingle are cut into blocks, and blocks meet two by two. A pair is judged from
-    every shingle it shares; at the first one, no more can be shared than what follows in both.
+    Texts of one shingle are cut into blocks, and blocks meet two by two.
     """
     mixed = spots.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("q"), F.ceil(F.count("*") / meeting).alias("k")).where("r <> q").select("h", "k")
     own = spots.join(mixed, "h").withColumn("own", F.pmod(F.xxhash64("c"), "k"))
-    dealt_ = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("h", "c", "size", "pos", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    x, y = dealt_.where("own = lo").alias("x"), dealt_.where("own = hi").alias("y")
-    least, most = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    follow = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    fits = (least >= similarity * most - SLACK) & (follow >= similarity / (1 + similarity) * (least + most) - SLACK)
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("h", "c", "size", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    x, y = sent.where("own = lo").alias("x"), sent.where("own = hi").alias("y")
+    near = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - SLACK
     once = (F.col("x.lo") < F.col("x.hi")) | (F.col("x.c") < F.col("y.c"))
     same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("h", "lo", "hi")]
-    return x.join(y, [*same, F.col("x.root") != F.col("y.root"), once, fits]).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    turned = F.col("x.c") > F.col("y.c")
+    pick = lambda k: (F.when(turned, F.col(f"y.{k}")).otherwise(F.col(f"x.{k}")), F.when(turned, F.col(f"x.{k}")).otherwise(F.col(f"y.{k}")))
+    (a, b), (m, n) = pick("c"), pick("size")
+    met = x.join(y, [*same, F.col("x.root") != F.col("y.root"), once, near]).select(a.alias("a"), b.alias("b"), m.alias("m"), n.alias("n"))
+    return met.groupBy("a", "b", "m", "n").agg(F.count("*").alias("shared")).where(may_link(F.col("m"), F.col("n"), F.col("shared"), similarity)).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, meeting: int = MEETING) -> DataFrame:
@@ -310,9 +328,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A fingerprint of 64 bits and a small radius only links texts that are nearly equal. Here no
     link is lost: two texts of the similarity share one of the rarest shingles of each (prefix
-    filter), and the sets of distinct shingles decide. Each text first meets two others of its
-    rare shingles only, which settles most of a large group of near copies at a cost in
-    proportion to its size; then all pairs that aren't in one component yet meet.
+    filter), and the sets of distinct shingles decide. Each text first meets only the one that
+    most of its rare shingles have as their first, which settles most of a large group of near
+    copies at a cost in proportion to its size; then all pairs that aren't in one component yet meet.
     Texts of equal word sequences (A-Z lower-cased) are one class before that, also those
     without words. Columns and odd rows are as in near_duplicates.
     """
@@ -322,23 +340,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([word_mark(t.as_py()) for t in batch.column(2)], pa.binary())], names=["id", "row", "mark"])
 
-    def shingle(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words) for t in batch.column(1)], pa.list_(pa.int64()))], names=["c", "set"])
-
     rows = materialize(source.mapInArrow(sign, "id long, row long, mark binary"), "marks")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row")))
     classes = materialize(rows.groupBy("mark").agg(first.alias("least")).select("mark", "least", F.col("least.row").alias("c")), "classes")
-    texts = source.select("row", "text").join(classes.select("c"), F.col("row") == F.col("c"), "left_semi")
-    sets = materialize(texts.mapInArrow(shingle, "c long, set array<long>"), "shingles")
-    rare = materialize(rarest(sets, similarity), "rarest")
-    shared = rare.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("n > 1").drop("n")
-    spots = materialize(rare.join(shared, "h"), "spots")
-    ends = materialize(spots.groupBy("c").agg(F.min("low").alias("low"), F.max("high").alias("high")), "ends")
-    stars = ends.select(F.col("c").alias("a"), F.col("low").alias("b")).union(ends.select("c", "high")).where("a <> b")
-    settled = materialize(connected_components(verified(stars, sets, similarity)), "settled")
-    rooted = materialize(spots.join(settled, F.col("c") == F.col("node"), "left").select("h", "c", "size", "pos", F.coalesce("root", "c").alias("root")), "rooted")
-    rest = verified(meetings(rooted, similarity, meeting), sets, similarity)
+    texts = materialize(source.select(F.col("row").alias("c"), "text").join(classes.select("c"), "c", "left_semi"), "texts")
+    rare = Table(rarest(texts, words, similarity), "rarest")
+    shared = rare.df.groupBy("h").agg(F.min("c").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    spots = materialize(rare.df.join(shared, "h"), "spots")
+    rare.drop()
+    starts = spots.where("c <> low").groupBy("c", "low").agg(F.count("*").alias("n"), F.any_value("size").alias("size")).where(F.col("n") + F.ceil(similarity * F.col("size")) - 1 >= similarity * 2 / (1 + similarity) * F.col("size")).groupBy("c").agg(F.max_by("low", F.struct("n", "low")).alias("low"))
+    settled = materialize(connected_components(verified(starts.select(F.col("c").alias("a"), F.col("low").alias("b")), texts, words, similarity)), "settled")
+    rooted = materialize(spots.join(settled, F.col("c") == F.col("node"), "left").select("h", "c", "size", F.coalesce("root", "c").alias("root")), "rooted")
+    rest = verified(meetings(rooted, similarity, meeting), texts, words, similarity)
     roots = connected_components(settled.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
     led = materialize(classes.select("mark", "c", "least").join(roots, F.col("c") == F.col("node"), "left").select("mark", "least", F.coalesce("root", "c").alias("root")), "roots")
     named = led.groupBy("root").agg(F.min("least").alias("best"))
