@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as C
@@ -38,6 +38,22 @@ def tokenize(text: Column, keep_stopwords: bool = False) -> Column:
     return F.flatten(F.transform(words(F.coalesce(text, F.lit(""))), of))
 
 
+def word_tokens(word: Column, keep_stopwords: bool = False) -> Column:
+    """The tokens of one word of ``words``, as an array: what tokenize makes of it."""
+    stop = C.STOPWORDS
+    low = F.lower(word)
+    good = F.length(low) > 1 if keep_stopwords else (F.length(low) > 1) & ~low.isin(stop)
+    whole = F.when(good, F.array(low)).otherwise(F.array().cast("array<string>"))
+    parts = F.filter(subtokens(word), lambda p: (p != low) if keep_stopwords else (p != low) & ~p.isin(stop))
+    return F.when(word.rlike("^[A-Z]?[a-z]*$"), whole).otherwise(F.concat(whole, parts))
+
+
+def exploded_tokens(rows: DataFrame, keep: list[str], text: str, name: str = "term") -> DataFrame:
+    """A row with the kept columns for each token of a text. Words are rows before they are cut, so that every step is generated code."""
+    each = rows.select(*keep, F.explode(words(F.coalesce(F.col(text), F.lit("")))).alias("word_"))
+    return each.select(*keep, F.explode(word_tokens(F.col("word_"))).alias(name))
+
+
 def normalize_symbol(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), r"^[()]+|[()]+$", ""))
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import constants as C
-from ..functions.text import tokenize
+from ..functions.text import exploded_tokens, tokenize
+from ..plans.storage import materialize
 
 
 def top(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), digits: int = 6) -> DataFrame:
@@ -38,6 +39,7 @@ class Bm25Index:
         n, avgdl = F.col("n"), F.col("avgdl")
         weighted = asked.join(self.terms, "term").crossJoin(F.broadcast(self.stats))  # stats is one row
         weighted = weighted.select("query_id", "term", "avgdl", (F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (1 + C.QUERY_BOOST * (F.col("qtf") - 1))).alias("w"))
+        # The postings are a table, so that a frequent term's list can be split here.
         norm = k1 * (1 - b + b * F.col("dl") / avgdl)
         part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
         scored = weighted.join(postings, "term").groupBy("query_id", "row_id").agg(F.sum(part).alias("score"))
@@ -47,14 +49,26 @@ class Bm25Index:
 def build(rows: DataFrame, text: str = "content", within: DataFrame | None = None) -> Bm25Index:
     """An index of rows (row_id, text). within (term) keeps postings of those terms only; statistics are the same.
 
-    Only postings are shuffled; lengths and counts come from the token arrays where they are.
+    Texts are read and tokenised once; what comes of it is written, and lengths, counts and
+    statistics are made of that. Postings are a written table, so that a frequent term's list can
+    be split among tasks where a search joins it.
     """
-    tokens = rows.select("row_id", tokenize(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
-    stats = tokens.agg(F.count("*").alias("n"), F.when(F.avg("dl") > 0, F.avg("dl")).otherwise(1.0).alias("avgdl"))
-    each = tokens.select("row_id", "dl", F.explode("tokens").alias("term"))
-    if within is not None:
-        each = each.join(within.select("term").distinct(), "term", "left_semi")
-    postings = each.groupBy("term", "row_id", "dl").agg(F.count("*").alias("tf"))
+    n = rows.count()
+    tokens = exploded_tokens(rows, ["row_id"], text)
+    if within is None:
+        counts = materialize(tokens.groupBy("row_id", "term").agg(F.count("*").alias("tf")), "terms")
+        lengths = counts.groupBy("row_id").agg(F.sum("tf").alias("dl"))
+        postings = counts.join(lengths, "row_id")
+    else:
+        # One row for each text: its length and those of its tokens that are asked for.
+        asked = materialize(within.select("term").distinct().withColumn("asked", F.lit(True)), "asked")
+        own = tokens.join(asked, "term", "left").groupBy("row_id").agg(F.count("*").alias("dl"), F.collect_list(F.when(F.col("asked"), F.col("term"))).alias("terms"))
+        lengths = materialize(own, "lengths")
+        postings = lengths.select("row_id", "dl", F.explode("terms").alias("term")).groupBy("term", "row_id", "dl").agg(F.count("*").alias("tf"))
+    postings = materialize(postings.select("term", "row_id", F.col("dl").cast("int").alias("dl"), "tf"), "postings")
+    # Texts without tokens count, with no length.
+    mean = F.coalesce(F.sum("dl"), F.lit(0)) / F.lit(float(max(1, n)))
+    stats = lengths.agg(F.lit(n).cast("long").alias("n"), F.when(mean > 0, mean).otherwise(1.0).alias("avgdl"))
     return Bm25Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 

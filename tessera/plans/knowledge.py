@@ -15,6 +15,7 @@ from ..config import Config
 from ..operators import bm25, chunking, fusion, symbols, vectors
 from ..sources import files, git
 from .schema import first_wins, indexed_text, with_columns
+from .storage import materialize
 
 TABLES = ("chunks", "postings", "terms", "stats", "vectors", "symbols", "edges")
 
@@ -54,6 +55,7 @@ class KnowledgeBase:
 
     @classmethod
     def build(cls, config: Config, chunks: DataFrame, embeddings: bool = True) -> KnowledgeBase:
+        chunks = materialize(chunks, "chunks")  # parsed once, read by every index
         rows = chunks.withColumn("indexed", indexed_text())
         return cls(chunks, bm25.build(rows, "indexed"), vectors.hashing_vectors(rows, "indexed", config.embedding.dimension) if embeddings else None, symbols.postings(chunks), symbols.edges(chunks), {"fingerprint": config.fingerprint()})
 
