@@ -14,6 +14,7 @@ from .functions import text as X
 from .operators import bm25, context, evaluate, fusion, symbols, vectors
 from .plans import adapters, schema
 from .plans.session import ship
+from .plans.storage import materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -88,21 +89,23 @@ def sql_bm25(name: str, text: str = "content", k: int = 10, allowed: str = "true
 
 @query(f"WITH {sql_tokens('t', 'documents', 'doc_id', 'text')} SELECT id AS doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2")
 def term_frequencies(spark, d):
-    tokens = load(spark, d, "documents").select("doc_id", F.explode(X.tokenize(F.col("text"))).alias("term"))
+    tokens = X.exploded_tokens(load(spark, d, "documents"), ["doc_id"], "text")
     return tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 @query(f"WITH {sql_tokens('t', 'documents', 'doc_id', 'text')} SELECT term, count(DISTINCT id) AS df FROM t GROUP BY 1")
 def term_df(spark, d):
-    tokens = load(spark, d, "documents").select(F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("term"))
-    return tokens.groupBy("term").agg(F.count("*").alias("df"))
+    tokens = X.exploded_tokens(load(spark, d, "documents"), ["doc_id"], "text")
+    return tokens.distinct().groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(f"""WITH {sql_tokens('t', 'documents', 'doc_id', 'text')}, l AS (SELECT d.doc_id, count(t.id) AS dl FROM documents d LEFT JOIN t ON t.id = d.doc_id GROUP BY 1)
 SELECT count(*) AS n, round(avg(dl), 6) AS avgdl, max(dl) AS longest, count(*) FILTER (WHERE dl = 0) AS empty FROM l""")
 def doc_length_stats(spark, d):
-    lengths = load(spark, d, "documents").select(F.size(X.tokenize(F.col("text"))).cast("long").alias("dl"))
-    return lengths.agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"), F.max("dl").alias("longest"), F.count_if(F.col("dl") == 0).alias("empty"))
+    rows = load(spark, d, "documents").select("doc_id", "text")
+    lengths = X.exploded_tokens(rows, ["doc_id"], "text").groupBy("doc_id").agg(F.count("*").alias("dl"))
+    every = rows.select("doc_id", F.lit(0).cast("long").alias("dl")).union(lengths).groupBy("doc_id").agg(F.max("dl").alias("dl"))
+    return every.agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"), F.max("dl").alias("longest"), F.count_if(F.col("dl") == 0).alias("empty"))
 
 
 SQL_SYMBOLS = """sym AS (
@@ -111,9 +114,10 @@ SQL_SYMBOLS = """sym AS (
     ['class', 'function', 'method', 'module', 'file', 'section'][(p_partkey % 6 + 1)::INT] AS symbol_type, p_partkey % 8 AS shape FROM part),
 symbols AS (
   SELECT row_id, string_split(qualified_name, '.')[2] AS symbol, qualified_name, symbol_type, replace(
-    ['Where is `{}` implemented and what does it do?', 'Which configuration object defines {} settings?', 'Which tests cover the behaviour of {}?',
-     'If I change {}, what would be affected?', 'Why was {}() introduced?', 'What does the documentation say about {}?',
-     'What error does {} raise?', 'How does {} interact with the overall pipeline?'][(shape + 1)::INT], '{}', qualified_name) AS question FROM sym)"""
+    ['In which file is `{}` defined, and what is it for?', 'Which config flag turns {} on?',
+     'What tests exercise {}?', 'Who calls {} and would notice a rename?',
+     'When was {}() added to the code?', 'Is there a guide that explains {}?',
+     'Why does {} crash with an exception?', 'Which components take part in a call of {}?'][(shape + 1)::INT], '{}', qualified_name) AS question FROM sym)"""
 
 
 def sql_variants(name: str) -> str:
@@ -506,9 +510,12 @@ def gold_pairs(spark, d) -> DataFrame:
     A document that holds a passage has the longest token between its first and last word, so pairs come from a join on that and not from all.
     """
     inner = F.nullif(F.regexp_replace("query", r"^\S+\s+|\s+\S+$", ""), F.lit(""))
-    q = asked(spark, d).withColumn("token", F.element_at(F.array_sort(X.tokenize(F.coalesce(inner, F.col("query"))), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(F.when(a > b, 1).otherwise(0))), 1))
-    terms = docs(spark, d).select("row_id", "content", F.explode(F.array_distinct(X.tokenize(F.col("content")))).alias("token"))
-    return terms.join(q, "token").where(F.contains("content", F.col("query"))).select("query_id", "row_id").distinct()
+    longer = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(F.when(a > b, 1).otherwise(0))
+    q = asked(spark, d).withColumn("token", F.element_at(F.array_sort(X.tokenize(F.coalesce(inner, F.col("query"))), longer), 1))
+    q = materialize(q, "passages")
+    pairs = X.exploded_tokens(docs(spark, d), ["row_id"], "content", "token").join(q.select("query_id", "token"), "token").select("query_id", "row_id").distinct()
+    both = pairs.join(q.select("query_id", "query"), "query_id").join(docs(spark, d).select("row_id", "content"), "row_id")
+    return both.where(F.contains("content", F.col("query"))).select("query_id", "row_id")
 
 
 SQL_GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id AS row_id, d.source || '/' || d.doc_id AS path FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -669,15 +676,38 @@ def echo_answers(spark, d):
     return echo(_packed(spark, d).join(docs(spark, d).select("row_id", "path", "start_line", "end_line"), "row_id"))
 
 
-@query("""SELECT doc_id, 'documentation' AS kind, 'What does the documentation say about ' || string_split(text, chr(10))[1] || '?' AS template FROM documents WHERE doc_id % 5 = 0 AND length(text) > 600
-UNION ALL SELECT doc_id, 'code_lookup', 'Where is `' || source || '` implemented and what does it do?' FROM documents WHERE doc_id % 5 = 4 AND length(text) > 120 AND len(string_split(text, chr(10))) >= 9
-UNION ALL SELECT doc_id, 'historical', 'Why was the change described as "' || string_split(text, chr(10))[1] || '" made?' FROM documents WHERE doc_id % 5 = 3 AND length(text) > 500 AND length(string_split(text, chr(10))[1]) >= 20""")
+# A document is a chunk that names its first word or, if its id is even, its source's settings class, has a field of its source's name and raises what it begins with.
+SQL_CANDIDATES = f"""{SQL_GRAPH}, c AS (SELECT d.doc_id, g.path, g.chunk_id, g.artifact_type, string_split(d.text, chr(10))[1] AS first, len(string_split(d.text, chr(10))) AS lines, length(d.text) AS chars, d.text,
+    CASE WHEN d.doc_id % 2 = 0 THEN 'Config' || d.source ELSE g.words[1] END AS symbol, d.source, substr(regexp_replace(d.text, '[^A-Za-z]+', '', 'g'), 1, 60) AS letters FROM documents d JOIN g ON g.row_id = d.doc_id),
+rel AS (SELECT g.kind, g.name, count(*) AS n, list_sort(list(DISTINCT x.path)) AS files FROM graph g JOIN g x ON x.chunk_id = g.target WHERE g.kind IN ('tests', 'callers') GROUP BY 1, 2),
+def AS (SELECT g.name, x.row_id AS doc_id, x.path FROM graph g JOIN g x ON x.chunk_id = g.target WHERE g.kind = 'definitions' AND g.pos = 1),
+linked AS (SELECT def.doc_id, def.name, rel.kind, rel.n, list_filter(rel.files, lambda f: f <> def.path) AS files FROM def JOIN rel USING (name))"""
+
+
+@query(f"""WITH {SQL_CANDIDATES}
+SELECT doc_id, 'documentation' AS kind, 'What do the docs explain under ' || first || '?' AS template FROM c WHERE artifact_type = 'doc' AND chars > 600
+UNION ALL SELECT doc_id, 'code_lookup', 'In which file is `' || symbol || '` defined, and what is it for?' FROM c WHERE artifact_type = 'source' AND chars > 120 AND lines >= 9 AND symbol IS NOT NULL
+UNION ALL SELECT doc_id, 'historical', 'What led to the commit "' || first || '"?' FROM c WHERE artifact_type = 'commit' AND chars > 500 AND length(first) >= 20 AND NOT regexp_matches(lower(first), '^(bump|chore)')
+UNION ALL SELECT doc_id, 'configuration', 'Which config class declares ' || source || ', and what reads it?' FROM c WHERE artifact_type = 'source' AND doc_id % 2 = 0 AND length(text || chr(10) || '    ' || source || ': int = 1' || chr(10) || '    raise ValueError("' || letters || '")') > 300
+UNION ALL SELECT doc_id, 'debugging', 'Where does a ValueError that says "' || letters || '" come from?' FROM c WHERE artifact_type = 'source' AND length(letters) >= 20
+UNION ALL SELECT doc_id, 'tests', 'What tests exercise `' || name || '`?' FROM linked WHERE kind = 'tests' AND n >= 2 AND length(name) > 5 AND len(files) >= 1
+UNION ALL SELECT doc_id, 'change_impact', 'Which code depends on `' || name || '`, and would notice another behaviour?' FROM linked WHERE kind = 'callers' AND n >= 4 AND len(files) >= 2""")
 def dataset_candidates(spark, d):
+    """All seven kinds of candidates, those of the graph included."""
     from .operators.dataset import candidates
 
-    text, first = F.col("content"), F.substring_index("content", "\n", 1)
-    rows = docs(spark, d).select("row_id", "path", "artifact_type", "content", F.col("folder").alias("symbol"), F.lit("function").alias("symbol_type"), text.alias("docstring"), "start_line", "end_line", F.array(first).alias("heading_path"), F.array(F.lit("a.py")).alias("files_changed"), first.alias("subject"))
-    return candidates(rows, ("documentation", "code_lookup", "historical")).select(F.col("row_id").alias("doc_id"), "kind", "template")
+    rows = graph_chunks(spark, d)
+    base = load(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text", "source")
+    first, letters = F.substring_index("text", "\n", 1), F.substring(F.regexp_replace("text", "[^A-Za-z]+", ""), 1, 60)
+    content = F.concat("text", F.lit("\n    "), F.col("source"), F.lit(': int = 1\n    raise ValueError("'), letters, F.lit('")'))
+    chunks = rows.join(base, "row_id")
+    chunks = chunks.select(
+        "row_id", "chunk_id", "path", "artifact_type", "symbol_type", F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("Config"), F.col("source"))).otherwise(F.col("symbol")).alias("symbol"),
+        F.when(F.col("artifact_type") == "source", content).otherwise(F.col("text")).alias("content"), F.col("text").alias("docstring"), F.lit(1).alias("start_line"),
+        F.size(F.split("text", "\n")).alias("end_line"), F.array(first).alias("heading_path"), F.array(F.lit("a.py")).alias("files_changed"), first.alias("subject"),
+    )
+    kinds = ("documentation", "code_lookup", "historical", "configuration", "debugging", "tests", "change_impact")
+    return candidates(chunks, kinds, symbols.edges(rows)).select(F.col("row_id").alias("doc_id"), "kind", "template")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(avg(value), 4) AS mean, max(value) AS max FROM events GROUP BY 1, 2")

@@ -35,9 +35,10 @@ def symbols(part: DataFrame) -> DataFrame:
     name = F.concat(camel, F.lit("."), tail)
     kinds = F.array(*map(F.lit, ("class", "function", "method", "module", "file", "section")))
     templates = (
-        "Where is `{}` implemented and what does it do?", "Which configuration object defines {} settings?", "Which tests cover the behaviour of {}?",
-        "If I change {}, what would be affected?", "Why was {}() introduced?", "What does the documentation say about {}?",
-        "What error does {} raise?", "How does {} interact with the overall pipeline?",
+        "In which file is `{}` defined, and what is it for?", "Which config flag turns {} on?",
+        "What tests exercise {}?", "Who calls {} and would notice a rename?",
+        "When was {}() added to the code?", "Is there a guide that explains {}?",
+        "Why does {} crash with an exception?", "Which components take part in a call of {}?",
     )
     asked = F.element_at(F.array(*map(F.lit, templates)), (F.col("p_partkey") % 8 + 1).cast("int"))
     return part.select(
