@@ -69,6 +69,16 @@ def related(packed: DataFrame, chunks: DataFrame, graph: DataFrame, budget: int
     return best.where(F.col("b.total") + F.col("b.tokens") <= budget).select("query_id", F.col("b.found").alias("row_id"))
 
 
+def with_related(packed: DataFrame, chunks: DataFrame, graph: DataFrame, budget: int = C.BUDGET, chunk_tokens: int = C.CHUNK_TOKENS) -> DataFrame:
+    """packed with each question's related definition, if there is one, kept as its last block."""
+    found = related(packed, chunks, graph, budget).join(chunks.select("row_id", estimate_tokens(truncate(F.col("content"), chunk_tokens)).alias("tokens")), "row_id")
+    last = packed.groupBy("query_id").agg((F.max("rank") + 1).alias("rank"))
+    more = found.join(last, "query_id").select("query_id", "row_id", "rank", "tokens", F.lit("kept").alias("decision"))
+    # What was dropped under another decision gives way to the block that is kept now.
+    rest = packed.join(more.select("query_id", "row_id"), ["query_id", "row_id"], "left_anti")
+    return rest.select("query_id", "row_id", "rank", "tokens", "decision").unionByName(more)
+
+
 def render(packed: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, evidence): kept blocks in order, each under a header that says how to cite it."""
     kept = packed.where("decision = 'kept'").join(chunks, "row_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,6 +65,33 @@ def rerank(hits: DataFrame, scorer: Callable[[DataFrame], Column], k: int) -> Da
     return top(hits.withColumnRenamed("score", "pre_score").withColumnRenamed("rank", "pre_rank").withColumn("score", scorer(hits)), k)
 
 
+def cross_encoder(chunks: DataFrame, questions: DataFrame, score: Callable[[list[tuple[str, str]]], list[float]], most: int = 3000, batch: int = 32) -> Callable[[DataFrame, int], DataFrame]:
+    """A reranker by a model that scores (question, title and the first ``most`` characters of a chunk) pairs on the executors.
+
+    chunks has (row_id, title, content), questions (query_id, query). The earlier score and rank
+    stay as pre_score and pre_rank, and component_scores, where there are any, get the model's.
+    """
+
+    def run(batches):
+        for own in batches:
+            for at in range(0, own.num_rows, batch):
+                some = own.slice(at, batch)
+                found = score(list(zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True)))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([float(x) for x in found], pa.float64())], names=["query_id", "row_id", "model_score"])
+
+    def reranker(hits: DataFrame, k: int) -> DataFrame:
+        text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.substring("content", 1, most))
+        pairs = hits.select("query_id", "row_id").join(questions.select("query_id", "query"), "query_id").join(chunks.select("row_id", text.alias("text")), "row_id").select("query_id", "row_id", "query", "text")
+        scored = hits.join(pairs.mapInArrow(run, "query_id long, row_id long, model_score double"), ["query_id", "row_id"])
+        if "component_scores" in hits.columns:
+            own = F.create_map(F.lit("rerank"), F.round("model_score", 6))
+            scored = scored.withColumn("component_scores", F.map_concat(F.map_filter("component_scores", lambda k, v: k != "rerank"), own))
+        ranked = scored.withColumnRenamed("score", "pre_score").withColumnRenamed("rank", "pre_rank").withColumnRenamed("model_score", "score")
+        return top(ranked, k)
+
+    return reranker
+
+
 def hybrid(sources: dict[str, DataFrame], method: str = "rrf", candidates: int = C.CANDIDATES, final: int = C.FINAL, rrf_k: int = C.RRF_K, weights: dict[str, float] | None = None, depths: dict[str, int] | None = None, reranker: Callable[[DataFrame, int], DataFrame] = identity_rerank) -> DataFrame:
     """Cuts each source to its depth, fuses (a single source passes as it is) and reranks the candidates last."""
     depths = depths or C.DEPTHS

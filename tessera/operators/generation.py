@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 from typing import Protocol
 
@@ -34,10 +35,57 @@ class EchoModel:
         return "Based on the evidence: " + " ".join(cited)
 
 
-def build_model(name: str) -> Model:
-    if name in ("echo", "none", "test"):
+class HttpModel:
+    """A model behind an HTTP endpoint that takes {model, messages} and answers {choices: [{message: {content}}]}.
+
+    The key is read from an environment variable where the call is made, so that it isn't sent along.
+    """
+
+    def __init__(self, url: str, name: str, key_variable: str | None = None, seconds: float = 120.0, tokens: int = 1024):
+        self.url, self.name, self.key_variable, self.seconds, self.tokens = url, name, key_variable, seconds, tokens
+
+    def complete(self, prompt: str, system: str | None = None) -> str:
+        import os
+        import urllib.request
+
+        messages = [*([{"role": "system", "content": system}] if system else []), {"role": "user", "content": prompt}]
+        headers = {"Content-Type": "application/json"}
+        if self.key_variable and os.environ.get(self.key_variable):
+            headers["Authorization"] = f"Bearer {os.environ[self.key_variable]}"
+        body = json.dumps({"model": self.name, "messages": messages, "max_tokens": self.tokens}).encode()
+        with urllib.request.urlopen(urllib.request.Request(self.url, body, headers), timeout=self.seconds) as reply:
+            return json.load(reply)["choices"][0]["message"]["content"]
+
+
+class Retrying:
+    """A model that is asked again after a failure, with pauses that double up to a limit."""
+
+    def __init__(self, model: Model, attempts: int = 4, pause: float = 1.0, longest: float = 8.0):
+        self.model, self.attempts, self.pause, self.longest = model, attempts, pause, longest
+
+    def complete(self, prompt: str, system: str | None = None) -> str:
+        import time
+
+        for nth in range(self.attempts):
+            try:
+                return self.model.complete(prompt, system)
+            except Exception:  # noqa: BLE001  the last failure is raised
+                if nth + 1 == self.attempts:
+                    raise
+                time.sleep(min(self.longest, self.pause * 2**nth))
+        raise ValueError("a model needs an attempt at least")
+
+
+def build_model(kind: str, **options) -> Model:
+    """echo, none or test: the echo model; an http(s) address: the model behind it, retried; module:name: what that makes."""
+    if kind in ("echo", "none", "test"):
         return EchoModel()
-    raise ValueError(f"unknown model {name!r}")
+    if kind.startswith(("http://", "https://")):
+        return Retrying(HttpModel(kind, **{"name": "default"} | options))
+    module, _, attribute = kind.partition(":")
+    if not attribute:
+        raise ValueError(f"unknown model {kind!r}")
+    return getattr(importlib.import_module(module), attribute)(**options)
 
 
 def echo(packed: DataFrame, most: int = 3) -> DataFrame:

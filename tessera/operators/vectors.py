@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Iterator
+from typing import Protocol
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,3 +61,46 @@ def hashing_vectors(rows: DataFrame, text: str = "content", dimension: int = 256
     packed = counts.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "c")))).alias("m"), F.sqrt(F.sum(F.when(F.col("bucket").isNotNull(), F.col("c") * F.col("c")).otherwise(0.0))).alias("norm"))
     value = lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)
     return packed.select("row_id", F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), value).alias("vector"))
+
+
+class Embedder(Protocol):
+    """What turns texts into rows of a matrix; an instance is sent to the executors and loads its model there.
+
+    Texts of questions and of documents may take different prefixes.
+    """
+
+    query_prefix: str
+    document_prefix: str
+
+    def encode(self, texts: list[str]) -> np.ndarray: ...
+
+
+def build_embedder(name: str, **options) -> Embedder | None:
+    """None for the hashing embedder (hashing, test or none), which needs no model; module:name for what that makes."""
+    if name in ("hashing", "test", "none"):
+        return None
+    module, _, attribute = name.partition(":")
+    if not attribute:
+        raise ValueError(f"unknown embedder {name!r}")
+    return getattr(importlib.import_module(module), attribute)(**options)
+
+
+def encode(rows: DataFrame, embedder: Embedder, text: str = "content", query: bool = False, batch: int = 64) -> DataFrame:
+    """(row_id, vector): an embedder's vectors of rows, with their prefix, of unit length; a zero vector stays."""
+    prefix = getattr(embedder, "query_prefix" if query else "document_prefix", "") or ""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for own in batches:
+            for at in range(0, own.num_rows, batch):
+                some = own.slice(at, batch)
+                found = np.asarray(embedder.encode([prefix + t for t in some.column(1).to_pylist()]), np.float64).reshape(some.num_rows, -1)
+                size = np.sqrt((found * found).sum(axis=1, keepdims=True))
+                found = found / np.where(size > 0, size, 1.0)
+                bounds = pa.array(np.arange(some.num_rows + 1, dtype=np.int32) * found.shape[1])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(bounds, pa.array(found.ravel()))], names=["row_id", "vector"])
+
+    return rows.select(F.col("row_id").cast("long").alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "row_id long, vector array<double>")
+
+
+def text_vectors(rows: DataFrame, text: str, embedder: Embedder | None, dimension: int = 256, query: bool = False) -> DataFrame:
+    return hashing_vectors(rows, text, dimension) if embedder is None else encode(rows, embedder, text, query)
