@@ -2,52 +2,145 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import os
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import evaluate
+from ..plans.storage import materialize
+from . import evaluate, fusion, vectors
 
 
-def sweep(hits: DataFrame, gold: DataFrame, n: int, first: tuple[float, ...], second: tuple[float, ...], rrf_ks: tuple[int, ...]) -> DataFrame:
-    """(w_body, w_head, rrf_k, mrr): mean reciprocal rank of n questions for every weighting of two sources, in one job.
+def grid(spark: SparkSession, weights: dict[str, tuple[float, ...]], rrf_ks: tuple[int, ...]) -> DataFrame:
+    """Every combination of weights (w_<source>) and rrf_k."""
+    made = spark.range(1).select(F.explode(F.array(*map(F.lit, rrf_ks))).alias("rrf_k"))
+    for source, values in weights.items():
+        made = made.select("*", F.explode(F.array(*(F.lit(float(x)) for x in values))).alias(f"w_{source}"))
+    return made
 
-    The grid is a literal of the caller's, so it is broadcast.
+
+def sweep(hits: DataFrame, gold: DataFrame, n: int, weights: dict[str, tuple[float, ...]], rrf_ks: tuple[int, ...], k: int = 10) -> DataFrame:
+    """(w_<source>..., rrf_k, recall, mrr, objective) for every weighting of tagged hits, in one job, retrieved once.
+
+    recall is the mean share of a question's gold rows (query_id, row_id) among its first k,
+    mrr the mean reciprocal rank, objective their sum, over n questions; one without gold scores 0.
+    The grid is a literal of the caller's, so it is broadcast. best picks the best combination.
     """
-    axes = [F.explode(F.array(*(F.lit(float(x)) for x in xs))) for xs in (first, second)]
-    grid = hits.sparkSession.range(1).select(axes[0].alias("w_body")).select("w_body", axes[1].alias("w_head")).select("*", F.explode(F.array(*map(F.lit, rrf_ks))).alias("rrf_k"))
-    key = ["w_body", "w_head", "rrf_k"]
-    weight = F.when(F.col("source") == "body", F.col("w_body")).otherwise(F.col("w_head"))
-    fused = hits.crossJoin(F.broadcast(grid)).groupBy(*key, "query_id", "row_id").agg(F.round(F.sum(weight / (F.col("rrf_k") + F.col("rank"))), 6).alias("score"))
+    combinations = grid(hits.sparkSession, weights, rrf_ks)
+    key = combinations.columns
+    weight = functools.reduce(lambda rest, s: F.when(F.col("source") == s, F.col(f"w_{s}")).otherwise(rest), weights, F.lit(0.0))
+    fused = hits.crossJoin(F.broadcast(combinations)).groupBy(*key, "query_id", "row_id").agg(F.round(F.sum(weight / (F.col("rrf_k") + F.col("rank"))), 6).alias("score"))
     order = Window.partitionBy(*key, "query_id").orderBy(F.desc("score"), "row_id")
-    ranked = fused.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
-    hit = ranked.join(gold, ["query_id", "row_id"]).groupBy(*key, "query_id").agg(F.min("rank").alias("first"))
-    return hit.groupBy(*key).agg(F.round(F.sum(1.0 / F.col("first")) / n, 6).alias("mrr"))
+    ranked = fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    sizes = gold.groupBy("query_id").agg(F.count("*").alias("size"))
+    hit = ranked.join(gold, ["query_id", "row_id"]).groupBy(*key, "query_id").agg(F.min("rank").alias("first"), F.count("*").alias("found")).join(sizes, "query_id")
+    figures = hit.groupBy(*key).agg(F.round(F.sum(F.col("found") / F.col("size")) / n, 6).alias("recall"), F.round(F.sum(1.0 / F.col("first")) / n, 6).alias("mrr"))
+    every = combinations.join(figures, key, "left").select(*key, F.coalesce("recall", F.lit(0.0)).alias("recall"), F.coalesce("mrr", F.lit(0.0)).alias("mrr"))
+    return every.withColumn("objective", F.round(F.col("recall") + F.col("mrr"), 6))
+
+
+def best(figures: DataFrame, objective: str = "objective") -> DataFrame:
+    """The row with the largest objective; equal ones by the other columns."""
+    return figures.orderBy(F.desc(objective), *[c for c in figures.columns if c != objective]).limit(1)
 
 
 def fingerprint(spec: dict) -> str:
     return hashlib.sha1(json.dumps(spec, sort_keys=True, default=str).encode()).hexdigest()[:12]
 
 
-def run(name: str, questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], gold: DataFrame, spec: dict, split: str | None = None, limit: int | None = None) -> dict:
+def file_hash(path: str) -> str:
+    """12 hex digits of a file's SHA-1."""
+    digest = hashlib.sha1()
+    with open(path, "rb") as f:
+        while block := f.read(1 << 20):
+            digest.update(block)
+    return digest.hexdigest()[:12]
+
+
+def portable_path(path: str, root: str) -> str:
+    """A path below root as one relative to it, any other as its last part, so that reports of two machines agree."""
+    own, base = os.path.abspath(path), os.path.abspath(root)
+    return os.path.relpath(own, base).replace(os.sep, "/") if os.path.commonpath([own, base]) == base else os.path.basename(own)
+
+
+def run(name: str, questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], gold: DataFrame, spec: dict, split: str | None = None, limit: int | None = None, by: tuple[str, ...] = (), singly: int = 0, warm_up: bool = True) -> dict:
     """A report of one system: filter and cut the questions, retrieve for all of them at once, score.
 
-    retrieve returns (query_id, rank, unit, grade); a failure is recorded and scores nothing.
+    retrieve takes (query_id, query) and returns (query_id, rank, unit, grade); questions may have
+    the columns of by, whose values get figures of their own. If the batch fails, its questions
+    are asked one by one, so that one that fails is named in errors and scores nothing, while the
+    others count. singly asks so many questions alone after a warm-up, for latencies.
     """
     chosen = questions if split is None else questions.where(F.col("split") == split)
-    chosen = chosen.orderBy("query_id").limit(limit) if limit else chosen
-    began, error = time.time(), None
+    chosen = materialize(chosen.orderBy("query_id").limit(limit) if limit else chosen, "questions")
+    own, began, errors = gold.join(chosen.select("query_id"), "query_id"), time.time(), {}
+    schema = "query_id long, rank int, unit string, grade int"
+
+    def saved(asked: DataFrame) -> DataFrame:
+        return materialize(retrieve(asked).select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("unit").cast("string").alias("unit"), F.col("grade").cast("int").alias("grade")), "ranked")
+
     try:
-        metrics = evaluate.question_metrics(retrieve(chosen), gold.join(chosen.select("query_id"), "query_id"))
-        figures = evaluate.aggregate(metrics).first().asDict()
-    except Exception as e:  # noqa: BLE001
-        figures, error = {}, str(e)[:500]
-    return {"system": name, "spec": spec, "fingerprint": fingerprint(spec), "retrieval": figures, "seconds": round(time.time() - began, 3), "error": error}
+        hits = saved(chosen)
+    except Exception:  # noqa: BLE001  one question may fail the batch
+        parts = []
+        for r in chosen.select("query_id").orderBy("query_id").collect():  # a benchmark's questions, hundreds at most
+            try:
+                parts.append(saved(chosen.where(F.col("query_id") == r[0])))
+            except Exception as e:  # noqa: BLE001
+                errors[r[0]] = str(e)[:200]
+        hits = functools.reduce(DataFrame.union, parts) if parts else questions.sparkSession.createDataFrame([], schema)
+    seconds = time.time() - began
+    metrics = evaluate.question_metrics(hits, own).join(chosen.select("query_id", *by), "query_id")
+    rows = [r.asDict() for r in evaluate.aggregate(metrics, by).collect()]
+    report = {"system": name, "spec": spec, "fingerprint": fingerprint(spec), "questions": chosen.count(), "seconds": round(seconds, 3), "errors": errors}
+    whole = [r for r in rows if not by or r["level"] == 2 ** len(by) - 1]
+    report["retrieval"] = {k: v for k, v in whole[0].items() if k != "level" and k not in by} if whole else {}
+    for c in by:
+        report[f"by_{c}"] = {str(r[c]): {k: v for k, v in r.items() if k != "level" and k not in by} for r in rows if r["level"] != 2 ** len(by) - 1 and r[c] is not None}
+    if singly:
+        taken, ids = [], [r[0] for r in chosen.select("query_id").orderBy("query_id").limit(singly).collect() if r[0] not in errors]
+        for i in [*ids[: int(warm_up)], *ids]:
+            start = time.time()
+            retrieve(chosen.where(F.col("query_id") == i)).collect()
+            taken.append((time.time() - start) * 1000)
+        taken = taken[int(warm_up) :]
+        if taken:
+            report["latency_ms"] = evaluate.latency(questions.sparkSession.createDataFrame([(x,) for x in taken], "value double")).first().asDict()
+    return report
+
+
+def save_report(report: dict, folder: str) -> str:
+    """Writes a report as <system>-<fingerprint>.json into a folder of the driver; returns its path."""
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{report['system'].replace('/', '_')}-{report['fingerprint']}.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(report, f, indent=2, sort_keys=True, default=str)
+    return path
+
+
+def compare_embedders(chunks: DataFrame, questions: DataFrame, gold: DataFrame, embedders: dict, others: Callable[[DataFrame], dict[str, DataFrame]], graded: Callable[[DataFrame], DataFrame], text: str = "content", k: int = 40) -> list[dict]:
+    """Reports of each embedder alone and fused with the other sources: two runs for each.
+
+    embedders maps a name to an embedder (None: hashing), others gives the other sources' hits for
+    questions, graded makes (query_id, rank, unit, grade) of hits.
+    """
+    out = []
+    for name, embedder in embedders.items():
+        table = materialize(vectors.text_vectors(chunks, text, embedder), "vectors")
+
+        def dense(asked, table=table, embedder=embedder):
+            rows = asked.select(F.col("query_id").alias("row_id"), F.col("query").alias(text))
+            return vectors.dense_search(table, vectors.text_vectors(rows, text, embedder, query=True).withColumnRenamed("row_id", "query_id"), k)
+
+        out.append(run(f"dense-{name}", questions, lambda asked, dense=dense: graded(dense(asked)), gold, {"embedder": name}))
+        out.append(run(f"hybrid-{name}", questions, lambda asked, dense=dense: graded(fusion.hybrid({"dense": dense(asked), **others(asked)})), gold, {"embedder": name, "sources": "all"}))
+    return out
 
 
 ORDER = ("dense", "bm25", "symbol", "hybrid", "hybrid+rerank", "agentic")

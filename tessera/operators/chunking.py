@@ -44,6 +44,27 @@ def cut_at_blanks(text: Column, limit: int = DOC_MOST) -> Column:
     return F.when(F.length(text) <= limit, F.array().cast("array<int>")).otherwise(F.aggregate(lines, start, step, lambda acc: acc["cuts"]))
 
 
+def section_pieces(df: DataFrame, text: str = "content", limit: int = DOC_MOST) -> DataFrame:
+    """df with start_line, end_line and content of each piece of a text: cut after blank lines, and evenly where a piece has over twice the limit.
+
+    A text of at most limit characters is one piece; what follows the last cut is one if it isn't blank.
+    """
+    lines, cuts = F.split(F.col(text), "\n"), cut_at_blanks(F.col(text), limit)
+    base = df.withColumn("lines_", lines).withColumn("cuts_", cuts).withColumn("short_", F.length(F.col(text)) <= limit)
+    ends = F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("cuts_")).alias("a"), F.concat(F.col("cuts_"), F.array(F.size("lines_"))).alias("b"))
+    each = base.withColumn("p_", F.explode(ends)).withColumn("a_", F.col("p_.a")).withColumn("b_", F.col("p_.b")).where("a_ < b_")
+    own = F.slice(F.col("lines_"), F.col("a_") + 1, F.col("b_") - F.col("a_"))
+    written = F.exists(own, lambda x: F.trim(x) != "")
+    each = each.where(F.col("short_") | F.array_contains("cuts_", F.col("b_")) | written)
+    chars = F.aggregate(own, F.lit(0), lambda n, x: n + F.length(x)) + F.col("b_") - F.col("a_") - 1
+    n = F.col("b_") - F.col("a_")
+    step = F.when(F.col("short_") | (chars <= 2 * limit), n).otherwise(F.greatest(F.floor(n / (F.floor(chars / limit) + 1)).cast("int"), F.lit(1)))
+    each = each.withColumn("step_", step).withColumn("i_", F.explode(F.sequence(F.col("a_"), F.col("b_") - 1, F.col("step_"))))
+    end = F.least(F.col("i_") + F.col("step_"), F.col("b_"))
+    content = F.array_join(F.slice(F.col("lines_"), F.col("i_") + 1, end - F.col("i_")), "\n")
+    return each.withColumn("start_line", F.col("i_") + 1).withColumn("end_line", end).withColumn("content", content).drop("lines_", "cuts_", "short_", "p_", "a_", "b_", "step_", "i_")
+
+
 def html_headings(html: Column) -> Column:
     """(level, title) of the headings of a page, in order."""
     pattern = r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>"
@@ -59,6 +80,10 @@ def split_long(start: int, lines: list[str], limit: int, overlap: int) -> Iterat
         yield start + at, lines[at : at + limit]
 
 
+#: What a module's overview lists at most: imports, lines of its interface, methods of a class.
+IMPORTS, API_LINES, METHODS = 60, 80, 25
+
+
 class PythonChunks:
     """Chunks of a Python module: an overview of it, of each class, and each function and method of a module or class body."""
 
@@ -87,15 +112,21 @@ class PythonChunks:
         returns = f" -> {ast.unparse(node.returns)}" if node.returns else ""
         return f"{'async ' * isinstance(node, ast.AsyncFunctionDef)}def {node.name}({ast.unparse(node.args)}){returns}"
 
-    def rows(self) -> Iterator[dict]:
-        parts = [f"module {self.module}", ast.get_docstring(self.tree) or "", *(f"import {i}" for i in self.imports[:60])]
+    def overview(self) -> list[str]:
+        """Signatures of a module's classes, with the first of their methods, and functions, and its constants, annotated ones too."""
+        out = []
         for node in self.tree.body:
             if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
-                parts.append(self.signature(node))
+                out.append(self.signature(node))
                 if isinstance(node, ast.ClassDef):
-                    parts += ["    " + self.signature(m) for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))][:25]
-            elif isinstance(node, ast.Assign):
-                parts += [t.id for t in node.targets if isinstance(t, ast.Name) and t.id.isupper()]
+                    out += ["    " + self.signature(m) for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))][:METHODS]
+            elif isinstance(node, (ast.Assign, ast.AnnAssign)):
+                targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+                out += [t.id for t in targets if isinstance(t, ast.Name) and t.id.isupper()]
+        return out[:API_LINES]
+
+    def rows(self) -> Iterator[dict]:
+        parts = [f"module {self.module}", ast.get_docstring(self.tree) or "", *(f"import {i}" for i in self.imports[:IMPORTS]), *self.overview()]
         yield self.row(1, "\n".join(p for p in parts if p), end=len(self.lines), symbol=self.module.split(".")[-1], symbol_type="module", qualified_name=self.module, docstring=ast.get_docstring(self.tree))
         for node in self.tree.body:
             yield from self.of(node, None)

@@ -17,6 +17,73 @@ def grade(path: Column, chunk_id: Column, commit: Column, name: Column, files: C
     return F.when(has(chunks, chunk_id) | has(commits, commit) | F.coalesce(by_name, F.lit(False)), 2).when(has(files, path), 1).otherwise(0)
 
 
+def gold_units(files: Column, commits: Column, chunks: Column) -> Column:
+    """What counts as found: gold files and commit:sha of gold commits, or the gold chunks if there are neither."""
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    named = F.array_union(some(files), F.transform(some(commits), lambda c: F.concat(F.lit("commit:"), c)))
+    return F.when(F.size(named) > 0, named).otherwise(F.array_distinct(some(chunks)))
+
+
+def unit_of(artifact_type: Column, commit: Column, path: Column) -> Column:
+    return F.when(artifact_type == "commit", F.concat(F.lit("commit:"), F.coalesce(commit, F.lit("")))).otherwise(path)
+
+
+def is_multi_hop(difficulty: Column, files: Column) -> Column:
+    """A question that is labelled so, or whose answer lies in more than one file."""
+    return F.coalesce(difficulty == "multi_hop", F.lit(False)) | (F.size(F.array_distinct(F.coalesce(files, F.array().cast("array<string>")))) > 1)
+
+
+def graded(hits: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, rank, unit, grade) of hits that carry their chunk's columns, against questions (query_id, relevant_*)."""
+    gold = questions.select("query_id", "relevant_files", "relevant_chunks", "relevant_commits", "relevant_symbols")
+    both = hits.join(gold, "query_id")
+    value = grade(F.col("path"), F.col("chunk_id"), F.col("commit_sha"), F.col("qualified_name"), F.col("relevant_files"), F.col("relevant_chunks"), F.col("relevant_commits"), F.col("relevant_symbols"))
+    return both.select("query_id", "rank", unit_of(F.col("artifact_type"), F.col("commit_sha"), F.col("path")).alias("unit"), value.alias("grade"))
+
+
+def units(questions: DataFrame) -> DataFrame:
+    """(query_id, units) of questions."""
+    return questions.select("query_id", gold_units(F.col("relevant_files"), F.col("relevant_commits"), F.col("relevant_chunks")).alias("units"))
+
+
+def evidence_rows(hits: DataFrame, questions: DataFrame) -> DataFrame:
+    """hits, each with whether it is gold of its question (is_gold)."""
+    found = graded(hits, questions).select("query_id", "rank", (F.col("grade") > 0).alias("is_gold"))
+    return hits.join(found, ["query_id", "rank"], "left").withColumn("is_gold", F.coalesce("is_gold", F.lit(False)))
+
+
+def browse(questions: DataFrame, category: str | None = None, split_: str | None = None, source: str | None = None, difficulty: str | None = None, contains: str | None = None) -> DataFrame:
+    """Questions that fit everything that is given. A source also stands for its family: a fits a:b. contains ignores case."""
+    for name, value in (("category", category), ("split", split_), ("difficulty", difficulty)):
+        questions = questions if value is None else questions.where(F.col(name) == value)
+    if source is not None:
+        questions = questions.where((F.col("source") == source) | F.col("source").startswith(source + ":"))
+    return questions if contains is None else questions.where(F.contains(F.lower("question"), F.lit(contains.lower())))
+
+
+def summary(questions: DataFrame) -> DataFrame:
+    """(category, source, split, n, multi_hop) of questions: their number and the share that is multi-hop."""
+    hop = is_multi_hop(F.col("difficulty"), F.col("relevant_files")).cast("double")
+    return questions.groupBy("category", "source", "split").agg(F.count("*").alias("n"), F.round(F.avg(hop), 4).alias("multi_hop"))
+
+
+def answer_scores(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Means of an answer's figures (correctness, faithfulness, unsupported, validity, precision, completeness, as far as they are there).
+
+    A figure that is null doesn't count in its mean; judge_failures counts rows without correctness.
+    """
+    names = [c for c in ("correctness", "faithfulness", "unsupported", "validity", "precision", "completeness") if c in scores.columns]
+    figures = [F.round(F.avg(c), 4).alias(c) for c in names]
+    failed = [F.count_if(F.col("correctness").isNull()).alias("judge_failures")] if "correctness" in names else []
+    grouped = scores.groupBy(*by) if by else scores.groupBy()
+    return grouped.agg(F.count("*").alias("n"), *failed, *figures)
+
+
+def string_keys(value: Column) -> Column:
+    """A map with its keys as text, as JSON wants them."""
+    return F.transform_keys(value, lambda k, v: k.cast("string"))
+
+
 def question_metrics(hits: DataFrame, gold: DataFrame, ks: tuple[int, ...] = C.METRIC_KS) -> DataFrame:
     """One row for each question of gold (query_id, units): recall, precision and ndcg at each k, mrr, first_hit_rank, n_gold.
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions.text import extract_symbols, leaf, normalize_symbol, symbol_variants
+from ..plans.storage import materialize
 from .bm25 import top
 
 
@@ -34,18 +35,39 @@ def lookup(index: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "name", "row_id", "f.score", "rank")
 
 
+def _marks(text):
+    """Each character with how many of its like stand before it or at its place."""
+    chars = F.filter(F.split(text, ""), lambda x: x != "")
+    times = lambda i, x: i + 1 - F.length(F.replace(F.substring(text, F.lit(1), i + 1), x, F.lit("")))
+    return F.transform(chars, lambda x, i: F.concat(x, times(i, x).cast("string")))
+
+
 def close_names(names: DataFrame, known: DataFrame, k: int = 10, cutoff: float = C.FUZZY_CUTOFF) -> DataFrame:
     """(query_id, name, match, ratio): the k known names (key) most like each name by matching blocks, at least cutoff.
 
-    Candidates share a character bigram with the name and have a length that the cutoff allows:
-    a ratio of 0.72 needs matching blocks over two characters for names of three or more.
+    No pair is lost: a ratio of at least the cutoff needs m matching characters, at least cutoff / 2 of
+    both lengths, whatever their order. A character that a name has for the i-th time is one of
+    its marks; two names share at least m marks, so each pair shares one of the first
+    length - m + 1 marks of either in the order of rarity (prefix filter). Pairs join on those, on
+    lengths that the cutoff allows, and only those with enough marks in common are compared.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
     low = F.lower("name")
-    asked = names.select("query_id", "name", low.alias("low"), F.explode(grams(low)).alias("g"))
-    keys = known.select("key").distinct().select("key", F.explode(grams(F.col("key"))).alias("g"))
+    keys = known.select("key").distinct().where("key <> ''")
+    wanted = names.select(low.alias("low")).distinct().where("low <> ''")
+    every = keys.select(F.explode(_marks(F.col("key"))).alias("g")).union(wanted.select(F.explode(_marks(F.col("low"))).alias("g")))
+    # A mark is a character with a count, so the alphabet bounds their number.
+    rare = materialize(every.groupBy("g").agg(F.count("*").alias("often")), "marks")
+    least = F.ceil(F.lit(cutoff / (2 - cutoff)) * F.col("length") - 1e-9)  # the shortest partner matches whole
+
+    def first(rows: DataFrame, c: str) -> DataFrame:
+        each = rows.select(c, F.length(c).alias("length"), F.explode(_marks(F.col(c))).alias("g")).join(rare, "g")
+        ranked = each.groupBy(c, "length").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("gs"))
+        return ranked.select(c, F.explode(F.slice("gs", F.lit(1), (F.col("length") - least + 1).cast("int"))).alias("x")).select(c, F.col("x.g").alias("g"))
+
+    near = first(wanted, "low").join(first(keys, "key"), "g").select("low", "key").distinct()
     a, b = F.length("low"), F.length("key")
-    near = asked.join(keys, "g").where(2 * F.least(a, b) >= cutoff * (a + b)).groupBy("query_id", "name", "low", "key").agg(F.count("*").alias("shared"))
+    near = near.where(2 * F.least(a, b) >= cutoff * (a + b))
+    near = names.select("query_id", "name", low.alias("low")).join(near, "low")
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -92,12 +114,16 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int = 10, fuzzy: bool = Tr
 
 
 def definition_of(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """(name, row_id): the first row whose qualified name is the name, else ends with it in any case."""
-    rows = chunks.where("qualified_name is not null").select("row_id", "qualified_name")
-    # Equal ends have equal last characters, which is what the rows are joined on.
-    tail = lambda c: F.right(F.lower(c), F.lit(3))  # noqa: E731  names have three characters or more
-    joined = names.select("name", tail(F.col("name")).alias("t")).join(rows.withColumn("t", tail(F.col("qualified_name"))), "t")
-    fits = joined.where(F.endswith(F.lower("qualified_name"), F.lower("name")))
+    """(name, row_id): the first row whose qualified name is the name, else ends with it in any case.
+
+    Rows are joined on their ends of the lengths that the names have, so that only true ends meet.
+    """
+    wanted = names.select("name").distinct().where("name <> ''")
+    lengths = wanted.agg(F.sort_array(F.collect_set(F.length("name"))).alias("lengths"))  # one row; names are short
+    rows = chunks.where("qualified_name is not null").select("row_id", "qualified_name").crossJoin(F.broadcast(lengths))
+    ends = rows.select("row_id", "qualified_name", F.explode(F.filter("lengths", lambda n: n <= F.length("qualified_name"))).alias("n"))
+    ends = ends.select("row_id", "qualified_name", F.right(F.lower("qualified_name"), F.col("n")).alias("end"))
+    fits = wanted.join(ends, F.lower("name") == F.col("end"))
     best = fits.groupBy("name").agg(F.min(F.struct((F.col("qualified_name") != F.col("name")).alias("far"), "row_id")).alias("b"))
     return best.select("name", "b.row_id")
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import Config
 from ..operators import bm25, chunking, fusion, symbols, vectors
@@ -31,11 +31,28 @@ def ingest(spark: SparkSession, root: str, config: Config) -> DataFrame:
     parsed = parsed.withColumn("commit", F.lit(git.head(root)))
     ordered = parsed.drop("row_id").withColumn("row_id", F.struct("path", "start_line", "end_line", "qualified_name", "content"))
     unique = first_wins(ordered)
-    # Numbers without one task that sees all rows: a count for each path, then places within the path.
-    paths = unique.groupBy("path").agg(F.count("*").alias("n_"))
-    base = paths.withColumn("base_", F.sum("n_").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))).select("path", F.coalesce("base_", F.lit(0)).alias("base_"))
-    place = F.row_number().over(Window.partitionBy("path").orderBy("row_id"))
-    return unique.withColumn("place_", place).join(base, "path").withColumn("row_id", F.col("base_") + F.col("place_")).drop("base_", "place_")
+    return numbered(unique.drop("row_id"), ["path", "start_line", "end_line", "qualified_name", "content"])
+
+
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with row_id, their place from 1 in that order.
+
+    A range partitioning orders the partitions, each numbers its own rows, and only the number of
+    rows of each partition is gathered.
+    """
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    table = materialize(sorted_.select(F.spark_partition_id().alias("part_"), F.monotonically_increasing_id().alias("at_"), "*"), "numbered")
+    shifts, total = [F.lit(-1), F.lit(0).cast("long")], 1
+    for r in table.groupBy("part_").agg(F.count("*").alias("n"), F.min("at_").alias("first")).orderBy("part_").collect():
+        shifts += [F.lit(r["part_"]), F.lit(total - r["first"]).cast("long")]
+        total += r["n"]
+    place = F.col("at_") + F.element_at(F.create_map(*shifts), F.col("part_"))
+    return table.select(place.alias("row_id"), *rows.columns)
+
+
+def touches(path: str) -> Column:
+    """Whether a commit changed a file whose path has that in it."""
+    return F.exists("files_changed", lambda f: F.contains(f, F.lit(path)))
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
@@ -57,10 +74,14 @@ class KnowledgeBase:
     def build(cls, config: Config, chunks: DataFrame, embeddings: bool = True) -> KnowledgeBase:
         chunks = materialize(chunks, "chunks")  # parsed once, read by every index
         rows = chunks.withColumn("indexed", indexed_text())
-        return cls(chunks, bm25.build(rows, "indexed"), vectors.hashing_vectors(rows, "indexed", config.embedding.dimension) if embeddings else None, symbols.postings(chunks), symbols.edges(chunks), {"fingerprint": config.fingerprint()})
+        dense = vectors.text_vectors(rows, "indexed", vectors.build_embedder(config.embedding.model), config.embedding.dimension) if embeddings else None
+        return cls(chunks, bm25.build(rows, "indexed"), dense, symbols.postings(chunks), symbols.edges(chunks), {"fingerprint": config.fingerprint()})
 
     def save(self, folder: str) -> str:
-        """Writes every table into a new version below folder, then names it in folder/current: readers see a whole version or the one before."""
+        """Writes every table into a new version below folder, then names it in a new numbered pointer: readers see a whole version or the one before.
+
+        A pointer is never changed or removed, so that no reader finds none; the newest one counts.
+        """
         spark, began = self.chunks.sparkSession, time.time()
         at = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
         parts = {"chunks": self.chunks, "vectors": self.vectors, "symbols": self.symbols, "edges": self.edges}
@@ -75,12 +96,14 @@ class KnowledgeBase:
                 seconds[name] = round(time.time() - start, 3)
         meta = self.meta | {"tables": sorted(seconds), "seconds": seconds, "total_seconds": round(time.time() - began, 3), "built_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
         _write(spark, f"{at}/meta.json", json.dumps(meta))
-        _write(spark, f"{folder.rstrip('/')}/current", at)
+        newest = _pointers(spark, folder)
+        _write(spark, f"{folder.rstrip('/')}/current-{(newest[-1][0] if newest else 0) + 1:09d}", at)
         return at
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, with_vectors: bool = True) -> KnowledgeBase:
-        at = (_read(spark, f"{folder.rstrip('/')}/current") or folder).strip()
+        newest = _pointers(spark, folder)
+        at = ((_read(spark, newest[-1][1]) if newest else None) or folder).strip()
         meta = json.loads(_read(spark, f"{at}/meta.json") or "{}")
         if "chunks" not in meta.get("tables", []):
             raise FileNotFoundError(f"no chunks in {at}")
@@ -88,20 +111,32 @@ class KnowledgeBase:
         index = bm25.Bm25Index(get("postings"), get("terms"), get("stats")) if "postings" in meta["tables"] else None
         return cls(get("chunks"), index, get("vectors") if with_vectors else None, get("symbols"), get("edges"), meta)
 
+    def by(self, column: str, *values: str) -> DataFrame:
+        """Chunks by chunk_id, path, qualified_name or symbol, in order."""
+        if column not in ("chunk_id", "path", "qualified_name", "symbol"):
+            raise ValueError(f"chunks aren't looked up by {column!r}")
+        return self.chunks.where(F.col(column).isin(*values)).orderBy("row_id")
+
+    def paths(self) -> DataFrame:
+        return self.chunks.select("path").distinct().orderBy("path")
+
     def summary(self) -> DataFrame:
         return self.chunks.groupBy("artifact_type").agg(F.count("*").alias("n"))
 
-    def sources(self, queries: DataFrame, config: Config, names: list[str] | None = None, allowed: Column | None = None) -> dict[str, DataFrame]:
+    def sources(self, queries: DataFrame, config: Config, names: list[str] | None = None, allowed: Column | None = None, touching: str | None = None) -> dict[str, DataFrame]:
         """Hits of each source for queries (query_id, query); unknown names and missing indexes are left out.
 
         allowed is a predicate on chunks. It holds for every source, unless strict_filters is
-        off: then symbol and git ignore it.
+        off: then symbol and git ignore it. touching keeps commits that change a file whose path has it.
         """
         depth, out = config.retrieval.depths, {}
         names = names or ["dense", "bm25", "symbol", "git"]
         kept = None if allowed is None else self.chunks.where(allowed).select("row_id")
         late = kept if config.retrieval.strict_filters else None
-        ask = vectors.hashing_vectors(queries.select(F.col("query_id").alias("row_id"), F.col("query").alias("content")), "content", config.embedding.dimension).select(F.col("row_id").alias("query_id"), "vector") if self.vectors is not None else None
+        ask = None
+        if self.vectors is not None and {"dense", "git"} & set(names):
+            rows = queries.select(F.col("query_id").alias("row_id"), F.col("query").alias("content"))
+            ask = vectors.text_vectors(rows, "content", vectors.build_embedder(config.embedding.model), config.embedding.dimension, query=True).select(F.col("row_id").alias("query_id"), "vector")
         within = lambda df, rows: df if rows is None else df.join(rows, "row_id", "left_semi")
         if "bm25" in names and self.index is not None:
             out["bm25"] = self.index.search(queries, depth["bm25"], kept)
@@ -110,7 +145,9 @@ class KnowledgeBase:
         if "symbol" in names and self.symbols is not None:
             out["symbol"] = symbols.retrieve(within(self.symbols, late), queries, depth["symbol"])
         if "git" in names and self.index is not None:
-            commits = within(self.chunks.where("artifact_type = 'commit'").select("row_id"), late)
+            changed = self.chunks.where("artifact_type = 'commit'")
+            changed = changed if touching is None else changed.where(touches(touching))
+            commits = within(changed.select("row_id"), late)
             two = {"bm25": self.index.search(queries, 2 * depth["git"], commits)}
             if ask is not None:
                 two["dense"] = vectors.dense_search(within(self.vectors, commits), ask, 2 * depth["git"])
@@ -123,15 +160,24 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _pointers(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(number, path) of the pointers to versions, the newest last."""
+    where, fs = _path(spark, folder)
+    if not fs.exists(where):
+        return []
+    names = [str(f.getPath()) for f in fs.listStatus(where)]
+    return sorted((int(m[1]), n) for n in names if (m := re.search(r"/current-([0-9]+)$", n)))
+
+
 def _write(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, written beside its place and renamed into it."""
+    """A small new file, written beside its place and renamed into it."""
     where, fs = _path(spark, path)
     side, _ = _path(spark, f"{path}.{uuid.uuid4().hex[:8]}")
     out = fs.create(side, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(where, False)
-    fs.rename(side, where)
+    if not fs.rename(side, where):
+        raise FileExistsError(path)  # another writer took the number
 
 
 def _read(spark: SparkSession, path: str) -> str | None:

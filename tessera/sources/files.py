@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +53,46 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUESTION).json(path)
 
 
+def write_questions(questions: DataFrame, path: str) -> None:
+    """Questions as JSON lines, one file for each partition."""
+    questions.write.mode("overwrite").json(path)
+
+
+def write_audit(answers: DataFrame, path: str, n: int = 20, seed: int = 0) -> None:
+    """A sheet of n answers (query_id, question, text, correctness, faithfulness) for a person to judge, as JSON lines; the same answers on every run."""
+    from ..operators.evaluate import sample
+
+    rows = sample(answers, "query_id", n, seed)
+    none = F.lit(None).cast("double")
+    sheet = rows.select(F.col("query_id").cast("string").alias("question_id"), "question", F.col("text").alias("answer"), F.col("correctness").alias("judge_correctness"), F.col("faithfulness").alias("judge_faithfulness"), none.alias("human_correctness"), none.alias("human_faithfulness"), F.lit("").alias("note"))
+    sheet.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+AUDIT = "question_id string, question string, answer string, judge_correctness double, judge_faithfulness double, human_correctness double, human_faithfulness double, note string"
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(AUDIT).json(path)
+
+
+def write_trace(trace: dict, folder: str) -> str:
+    """A trace (trace_id, steps, usage ...) as one JSON file of the driver; returns its path."""
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"{trace['trace_id']}.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(trace, f, default=str)
+    return path
+
+
+def read_trace(spark: SparkSession, folder: str, trace_id: str) -> DataFrame:
+    """The trace of that id; KeyError if there is none."""
+    found = read_traces(spark, folder, 1 << 30)
+    found = found.where(F.col("trace_id") == trace_id) if "trace_id" in found.columns else found.limit(0)
+    if found.isEmpty():
+        raise KeyError(trace_id)
+    return found
+
+
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     """Reports of a folder of JSON files, by file name; files that aren't reports are left out."""
     found = spark.read.option("multiLine", "true").option("mode", "DROPMALFORMED").json(folder).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
