@@ -299,17 +299,59 @@ def history_search(spark, d):
     return fusion.reciprocal_rank(fusion.tagged(sources), 10).select(*FUSED)
 
 
-@query(f"""WITH RECURSIVE {sql_two()}, w AS (SELECT unnest([0.25, 0.5, 1.0, 2.0])::DOUBLE AS w_body, x.w_head, y.rrf_k FROM (SELECT unnest([0.0, 0.3, 0.5])::DOUBLE AS w_head) x, (SELECT unnest([10, 60]) AS rrf_k) y),
-s AS (SELECT w_body, w_head, rrf_k, query_id, row_id, round(sum(CASE source WHEN 'body' THEN w_body ELSE w_head END / (rrf_k + rank)), 6) AS score FROM hits, w GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY w_body, w_head, rrf_k, query_id ORDER BY score DESC, row_id) AS rank FROM s QUALIFY rank <= 10),
-g AS (SELECT b.item_id AS query_id, d.doc_id AS row_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-m AS (SELECT w_body, w_head, rrf_k, r.query_id, min(rank) AS first FROM r JOIN g USING (query_id, row_id) GROUP BY ALL)
-SELECT w_body, w_head, rrf_k, round(sum(1.0 / first) / (SELECT count(*) FROM benchmark), 6) AS mrr FROM m GROUP BY ALL""")
-def fusion_sweep(spark, d):
-    """Mean reciprocal rank of every weighting: retrieved once, fused for all."""
+# Four sources: whole texts, first lines, last lines, and commits only.
+LAST_LINE = "string_split(content, chr(10))[-1]"
+SWEEP = {"body": (0.5, 1.0, 1.5, 2.0), "head": (1.0,), "tail": (0.0, 0.3, 0.6), "git": (0.0, 0.2, 0.4)}
+SWEEP_KS = (10, 30, 60)
+
+
+def four_sources(spark, d, k: int = 20) -> dict[str, DataFrame]:
+    rows, q = docs(spark, d), asked(spark, d)
+    ends = rows.withColumn("tail", F.element_at(F.split("content", "\n"), -1))
+    return two_sources(spark, d, k) | {"tail": bm25.search(ends, q, k, "tail"), "git": bm25.search(rows, q, k, allowed=F.col("artifact_type") == "commit")}
+
+
+def _sql_sweep() -> str:
+    axes = " ".join(f"CROSS JOIN (SELECT unnest([{', '.join(map(str, v))}])::DOUBLE AS w_{s}) {s}_w" for s, v in SWEEP.items())
+    weight = "CASE source " + " ".join(f"WHEN '{s}' THEN w_{s}" for s in SWEEP) + " END"
+    key = ", ".join([*(f"w_{s}" for s in SWEEP), "rrf_k"])
+    return f"""WITH {SQL_CHUNKS}, {sql_bm25('body', k=20)}, {sql_bm25('head', FIRST_LINE, 20)}, {sql_bm25('tail', LAST_LINE, 20)}, {sql_bm25('git', k=20, allowed="artifact_type = 'commit'")},
+hits AS ({" UNION ALL ".join(f"SELECT *, '{s}' AS source FROM {s}" for s in SWEEP)}), w AS (SELECT * FROM (SELECT unnest([{", ".join(map(str, SWEEP_KS))}])::INT AS rrf_k) r {axes}),
+s AS (SELECT {key}, query_id, row_id, round(sum({weight} / (rrf_k + rank)), 6) AS score FROM hits, w GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY {key}, query_id ORDER BY score DESC, row_id) AS rank FROM s QUALIFY rank <= 10),
+g AS (SELECT b.item_id AS query_id, d.doc_id AS row_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), z AS (SELECT query_id, count(*) AS size FROM g GROUP BY 1),
+m AS (SELECT {key}, r.query_id, min(rank) AS first, count(*) AS found FROM r JOIN g USING (query_id, row_id) GROUP BY ALL),
+f AS (SELECT {key}, round(sum(found / size) / (SELECT count(*) FROM benchmark), 6) AS recall, round(sum(1.0::DOUBLE / first) / (SELECT count(*) FROM benchmark), 6) AS mrr FROM m JOIN z USING (query_id) GROUP BY ALL),
+figures AS (SELECT {key}, coalesce(recall, 0)::DOUBLE AS recall, coalesce(mrr, 0)::DOUBLE AS mrr, round(coalesce(recall, 0)::DOUBLE + coalesce(mrr, 0)::DOUBLE, 6) AS objective FROM w LEFT JOIN f USING ({key}))"""
+
+
+def _sweep(spark, d):
     from .operators.benchmark import sweep
 
-    return sweep(fusion.tagged(two_sources(spark, d)), gold_pairs(spark, d), load(spark, d, "benchmark").count(), (0.25, 0.5, 1.0, 2.0), (0.0, 0.3, 0.5), (10, 60))
+    return sweep(fusion.tagged(four_sources(spark, d)), gold_pairs(spark, d), load(spark, d, "benchmark").count(), SWEEP, SWEEP_KS)
+
+
+@query(f"{_sql_sweep()} SELECT * FROM figures")
+def fusion_sweep(spark, d):
+    """Recall and mean reciprocal rank of all 108 weightings of four sources: retrieved once, fused for all."""
+    return _sweep(spark, d)
+
+
+@query(f"{_sql_sweep()} SELECT objective FROM figures ORDER BY objective DESC LIMIT 1")
+def fusion_sweep_best(spark, d):
+    """The largest objective of the sweep."""
+    from .operators.benchmark import best
+
+    return best(_sweep(spark, d)).select("objective")
+
+
+@query(f"""WITH {SQL_CHUNKS}, {sql_bm25('h', k=20, allowed="artifact_type = 'commit' AND (contains(folder || '/a.py', '1/') OR contains('lib/' || c.row_id, '/7'))")} SELECT query_id, row_id, score, rank FROM h""")
+def history_touching(spark, d):
+    """Search among the commits that changed a file whose path has either part in it."""
+    from .plans.knowledge import touches
+
+    rows = docs(spark, d).withColumn("files_changed", F.array(F.concat("folder", F.lit("/a.py")), F.concat(F.lit("lib/"), F.col("row_id").cast("string"))))
+    return bm25.search(rows, asked(spark, d), 20, allowed=(F.col("artifact_type") == "commit") & (touches("1/") | touches("/7")))
 
 
 # --- chunks -----------------------------------------------------------------------------------
@@ -346,16 +388,23 @@ def line_windows(spark, d):
     return windows(load(spark, d, "documents"), "text", 12, 3).select("doc_id", "start_line", "end_line", F.sha1(F.col("content").cast("binary")).alias("digest"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) AS t FROM documents), s AS (SELECT doc_id, string_split(t, chr(10)) AS lines, length(t) AS n FROM l),
-r AS (SELECT doc_id, lines, 0 AS i, 0 AS size, 0 AS cuts FROM s WHERE n > 400
+@query("""WITH RECURSIVE l AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, ' ', chr(10)) ELSE replace(text, '. ', '.' || chr(10) || chr(10)) END AS t FROM documents), s AS (SELECT doc_id, string_split(t, chr(10)) AS lines, length(t) AS n FROM l),
+r AS (SELECT doc_id, lines, 0 AS i, 0 AS size, []::INT[] AS cuts FROM s WHERE n > 400
   UNION ALL SELECT doc_id, lines, i + 1, CASE WHEN size + length(lines[i + 1]) + 1 >= 400 AND trim(lines[i + 1]) = '' THEN 0 ELSE size + length(lines[i + 1])::INT + 1 END,
-    cuts + CASE WHEN size + length(lines[i + 1]) + 1 >= 400 AND trim(lines[i + 1]) = '' THEN 1 ELSE 0 END FROM r WHERE i < len(lines))
-SELECT s.doc_id, coalesce((SELECT max(cuts) FROM r WHERE r.doc_id = s.doc_id), 0)::INT AS cuts FROM s""")
+    CASE WHEN size + length(lines[i + 1]) + 1 >= 400 AND trim(lines[i + 1]) = '' THEN list_append(cuts, i + 1) ELSE cuts END FROM r WHERE i < len(lines)),
+c AS (SELECT doc_id, arg_max(cuts, i) AS cuts FROM r GROUP BY 1), b AS (SELECT s.doc_id, s.lines, s.n, coalesce(c.cuts, []::INT[]) AS cuts FROM s LEFT JOIN c USING (doc_id)),
+p AS (SELECT doc_id, lines, n, cuts, unnest(list_concat([0], cuts)) AS a, unnest(list_append(cuts, len(lines)::INT)) AS b FROM b),
+q AS (SELECT *, list_sum(list_transform(lines[a + 1:b], lambda x: length(x))) + b - a - 1 AS chars FROM p WHERE a < b AND (n <= 400 OR list_contains(cuts, b) OR len(list_filter(lines[a + 1:b], lambda x: trim(x) <> '')) > 0)),
+z AS (SELECT *, CASE WHEN n <= 400 OR chars <= 800 THEN b - a ELSE greatest((b - a) // (chars // 400 + 1), 1) END AS step FROM q),
+y AS (SELECT *, unnest(range(a, b, step::BIGINT)) AS i FROM z)
+SELECT doc_id, (i + 1)::INT AS start_line, least(i + step, b)::INT AS end_line, sha1(array_to_string(lines[i + 1:least(i + step, b)], chr(10))) AS digest FROM y""")
 def blank_line_split(spark, d):
-    from .operators.chunking import cut_at_blanks
+    """Pieces of every text, a third of them texts of a word a line, which have to be cut evenly."""
+    from .operators.chunking import section_pieces
 
-    text = F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n"))
-    return load(spark, d, "documents").select("doc_id", F.size(cut_at_blanks(text, 400)).alias("cuts"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(" "), F.lit("\n"))).otherwise(F.replace("text", F.lit(". "), F.lit(".\n\n")))
+    pieces = section_pieces(load(spark, d, "documents").select("doc_id", text.alias("content")), "content", 400)
+    return pieces.select("doc_id", "start_line", "end_line", F.sha1(F.col("content").cast("binary")).alias("digest"))
 
 
 @query(r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 1) AS lv, regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 2) AS tx FROM pages)
@@ -366,9 +415,11 @@ def html_sections(spark, d):
     return load(spark, d, "pages").select("page_id", F.posexplode(html_headings(F.col("html"))).alias("p", "h")).select("page_id", (F.col("p") + 1).alias("pos"), "h.level", "h.title")
 
 
-@query(f"WITH {SQL_CHUNKS} SELECT artifact_type, coalesce(folder, 'none') AS folder, count(*) AS n, sum(end_line)::BIGINT AS lines FROM chunks GROUP BY 1, 2")
+@query("SELECT ['doc', 'test', 'config', 'commit', 'source'][(doc_id % 5 + 1)::INT] AS artifact_type, CASE WHEN doc_id % 4 = 0 THEN 'none' ELSE source END AS symbol_type, count(*) AS n FROM documents GROUP BY 1, 2")
 def ingest_stats(spark, d):
-    return docs(spark, d).groupBy("artifact_type", F.coalesce("folder", F.lit("none")).alias("folder")).agg(F.count("*").alias("n"), F.sum("end_line").alias("lines"))
+    from .plans.knowledge import statistics
+
+    return statistics(docs(spark, d).withColumn("symbol_type", F.when(F.col("row_id") % 4 != 0, F.col("folder"))))
 
 
 # --- graph ------------------------------------------------------------------------------------
@@ -547,6 +598,42 @@ def question_metrics(spark, d):
     return _metrics(spark, d).withColumn("first_hit_rank", F.coalesce("first_hit_rank", F.lit(0)))
 
 
+# A question's gold: the files that hold its passage, the commit of its number, and a symbol; every third has no file.
+SQL_GRADED = f"""{SQL_CHUNKS}, {sql_bm25('h', k=20)}, {SQL_GOLD},
+q AS (SELECT b.item_id AS query_id, CASE WHEN b.item_id % 3 = 0 THEN [] ELSE coalesce(list(DISTINCT g.path ORDER BY g.path) FILTER (WHERE g.path IS NOT NULL), []) END AS files, CASE WHEN b.item_id % 2 = 0 THEN [sha1(b.item_id::VARCHAR)] ELSE [] END AS commits, 'Word' || b.item_id % 5 AS name, [sha1(b.item_id::VARCHAR)[1:16]] AS chunks FROM benchmark b LEFT JOIN gold g ON g.query_id = b.item_id GROUP BY b.item_id),
+x AS (SELECT h.query_id, h.rank, h.row_id, c.path, c.artifact_type, sha1(h.row_id::VARCHAR) AS sha, 'Word' || h.row_id % 5 AS name, q.files, q.commits, q.chunks, q.name AS wanted FROM h JOIN chunks c USING (row_id) JOIN q USING (query_id)),
+graded AS (SELECT query_id, rank, CASE WHEN artifact_type = 'commit' THEN 'commit:' || sha ELSE path END AS unit, CASE WHEN list_contains(chunks, sha[1:16]) OR list_contains(commits, sha) OR name = wanted THEN 2 WHEN list_contains(files, path) THEN 1 ELSE 0 END AS grade FROM x)"""
+
+
+def _graded(spark, d):
+    rows, q = docs(spark, d), asked(spark, d)
+    files = gold_pairs(spark, d).join(rows.select("row_id", "path"), "row_id").groupBy("query_id").agg(F.array_sort(F.collect_set("path")).alias("files"))
+    none, own = F.array().cast("array<string>"), F.col("query_id").cast("string").cast("binary")
+    questions = q.join(files, "query_id", "left").select(
+        "query_id", F.when(F.col("query_id") % 3 == 0, none).otherwise(F.coalesce("files", none)).alias("relevant_files"), F.when(F.col("query_id") % 2 == 0, F.array(F.sha1(own))).otherwise(none).alias("relevant_commits"),
+        F.array(F.substring(F.sha1(own), 1, 16)).alias("relevant_chunks"), F.array(F.concat(F.lit("mod.Word"), (F.col("query_id") % 5).cast("string"))).alias("relevant_symbols"),
+    )
+    sha = F.sha1(F.col("row_id").cast("string").cast("binary"))
+    named = rows.select("row_id", "path", "artifact_type", sha.alias("commit_sha"), F.substring(sha, 1, 16).alias("chunk_id"), F.concat(F.lit("x.Word"), (F.col("row_id") % 5).cast("string")).alias("qualified_name"))
+    return bm25.search(rows, q, 20).join(named, "row_id"), questions
+
+
+@query(f"WITH {SQL_GRADED} SELECT query_id, rank, unit, grade FROM graded")
+def graded_hits(spark, d):
+    """Units and relevance grades of hits: by chunk, commit, symbol and file."""
+    return evaluate.graded(*_graded(spark, d))
+
+
+@query(f"WITH {SQL_GRADED} SELECT query_id, unnest(CASE WHEN len(files) + len(commits) > 0 THEN list_concat(files, list_transform(commits, lambda c: 'commit:' || c)) ELSE chunks END) AS unit FROM q")
+def gold_units(spark, d):
+    return evaluate.units(_graded(spark, d)[1]).select("query_id", F.explode("units").alias("unit"))
+
+
+@query(f"WITH {SQL_GRADED} SELECT x.query_id, x.row_id, x.rank, g.grade > 0 AS is_gold FROM x JOIN graded g USING (query_id, rank)")
+def evidence_rows(spark, d):
+    return evaluate.evidence_rows(*_graded(spark, d)).select("query_id", "row_id", "rank", "is_gold")
+
+
 _NAMES = [f"{m}_{k}" for k in C.METRIC_KS for m in ("recall", "precision", "ndcg")] + ["mrr"]
 
 
@@ -584,10 +671,37 @@ def split_assignment(spark, d):
     return load(spark, d, "documents").select("doc_id", evaluate.split(F.col("doc_id")).alias("split"))
 
 
-@query(f"SELECT lang AS category, source, {SQL_SPLIT} AS split, count(*) AS n, round(avg(CASE WHEN n_chars > 2000 THEN 1.0 ELSE 0.0 END), 4) AS multi_hop FROM documents GROUP BY 1, 2, 3")
+# Documents as questions: of the language's category, with two files if the text is long, labelled multi-hop now and then.
+SQL_QUESTIONS = f"""questions AS (SELECT doc_id AS query_id, text AS question, lang AS category, source || ':' || doc_id % 3 AS source, {SQL_SPLIT} AS split,
+  CASE WHEN doc_id % 10 = 0 THEN 'multi_hop' ELSE 'single_hop' END AS difficulty, CASE WHEN n_chars > 2000 THEN [source, 'b', source] ELSE [source, source] END AS files FROM documents)"""
+
+
+def _questions(spark, d) -> DataFrame:
+    rows = load(spark, d, "documents")
+    files = F.when(F.col("n_chars") > 2000, F.array(F.col("source"), F.lit("b"), F.col("source"))).otherwise(F.array("source", "source"))
+    return rows.select(
+        F.col("doc_id").alias("query_id"), F.col("text").alias("question"), F.col("lang").alias("category"), F.concat("source", F.lit(":"), (F.col("doc_id") % 3).cast("string")).alias("source"),
+        evaluate.split(F.col("doc_id")).alias("split"), F.when(F.col("doc_id") % 10 == 0, "multi_hop").otherwise("single_hop").alias("difficulty"), files.alias("relevant_files"),
+    )
+
+
+@query(f"WITH {SQL_QUESTIONS} SELECT category, source, split, count(*) AS n, round(avg(CASE WHEN difficulty = 'multi_hop' OR len(list_distinct(files)) > 1 THEN 1.0 ELSE 0.0 END), 4) AS multi_hop FROM questions GROUP BY 1, 2, 3")
 def dataset_summary(spark, d):
-    rows = load(spark, d, "documents").withColumn("split", evaluate.split(F.col("doc_id")))
-    return rows.groupBy(F.col("lang").alias("category"), "source", "split").agg(F.count("*").alias("n"), F.round(F.avg((F.col("n_chars") > 2000).cast("double")), 4).alias("multi_hop"))
+    return evaluate.summary(_questions(spark, d))
+
+
+@query(f"WITH {SQL_QUESTIONS} SELECT query_id FROM questions WHERE category = 'en' AND split = 'test' AND (source = 'src1' OR starts_with(source, 'src1:')) AND difficulty = 'single_hop' AND contains(lower(question), 'the')")
+def dataset_browse(spark, d):
+    return evaluate.browse(_questions(spark, d), "en", "test", "src1", "single_hop", "The").select("query_id")
+
+
+@query("SELECT toxic, count(*) AS n, count(*) FILTER (WHERE doc_id % 5 = 0) AS judge_failures, round(avg(CASE WHEN doc_id % 5 <> 0 THEN quality / 2.0 END), 4) AS correctness, round(avg(CASE WHEN doc_id % 5 <> 0 THEN (quality + toxic) / 2.0 END), 4) AS faithfulness, round(avg(CASE WHEN doc_id % 3 = 0 THEN 0.5 END), 4) AS validity FROM labels GROUP BY 1")
+def answer_scores(spark, d):
+    """Means of judged answers, a fifth of which the judge failed at."""
+    rows = load(spark, d, "labels")
+    judged = F.col("doc_id") % 5 != 0
+    figures = rows.select("toxic", F.when(judged, F.col("quality") / 2).alias("correctness"), F.when(judged, (F.col("quality") + F.col("toxic")) / 2).alias("faithfulness"), F.when(F.col("doc_id") % 3 == 0, F.lit(0.5)).alias("validity"))
+    return evaluate.answer_scores(figures, ("toxic",))
 
 
 @query(f"""WITH {SQL_GOLD}, q AS (SELECT item_id::VARCHAR AS id, CASE WHEN item_id % 7 = 0 THEN '' ELSE text END AS question, item_id, [('src' || item_id % 30 || '/' || item_id)] AS files, [sha1(item_id::VARCHAR)[1:16]] AS chunks, ['Sym' || item_id % 3] AS names, [item_id::VARCHAR] AS commits FROM benchmark),
