@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import Table, anti, free_name, held, materialize, numbered, release
 from tessera.llm.lang_crf import UNDETERMINED, identify, train
 from tessera.llm.mixing import mix
 from tessera.llm.packing import pack
@@ -24,7 +24,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that are in some language: not undetermined, and with a score of at least LEAST_SCORE."""
+    """Keeps documents that are in some language: not undetermined, and with a score of at least LEAST_SCORE.
+
+    Null, empty and letterless texts are undetermined. Every row is judged by its text alone, repeated ones alike.
+    """
+    ship(spark)
     rest = tuple(c for c in docs.columns if c != "doc_id")
     found = identify(docs, train(docs), keep=rest)
     kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
@@ -32,21 +36,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near-duplicates, the one with the smallest id."""
-    kept = similar_documents(docs, words=SHINGLE, similarity=SIMILARITY).where("kept").select(F.col("row").alias("kept_row"))
-    rows = docs.withColumn("own_row", F.monotonically_increasing_id())
-    return rows.join(kept, F.col("own_row") == F.col("kept_row"), "left_semi").select(*docs.columns)
+    """Keeps one document of each component of near-duplicates, the one with the smallest id.
+
+    Documents are equal if their words are (A-Z lower-cased), so null and empty texts are near
+    each other. Of repeated ids one row stays a component; null ids come last.
+    """
+    ship(spark)
+    rows, number = numbered(docs)
+    found = similar_documents(rows, words=SHINGLE, similarity=SIMILARITY, row_col=number)
+    dropped = materialize(found.where(~F.col("kept")).select("row"), "dropped")
+    return anti(rows, number, dropped).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops and repeats documents until the sources have their target weights."""
-    taken = mix(docs).where("copies > 0").select(F.col("row").alias("taken_row"), "copies")
-    rows = docs.withColumn("own_row", F.monotonically_increasing_id()).join(taken, F.col("own_row") == F.col("taken_row"))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(*docs.columns)
+    """Drops and repeats documents until the sources have their target weights.
+
+    A null source is a source; documents without words aren't taken. Repeated rows are documents
+    of their own.
+    """
+    ship(spark)
+    rows, number = numbered(docs)
+    taken = mix(rows, row_col=number).where("copies > 0").select(F.col("row").alias(number), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("turns"))
+    turns = free_name(rows.columns, "turns_")
+    return rows.join(taken.withColumnRenamed("turns", turns), number).withColumn(turns, F.explode(turns)).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token ids of every row into sequences."""
+    """Packs the token ids of every row into sequences. A null or empty text is the end token alone; repeated rows are packed each."""
+    ship(spark)
     return pack(docs).withColumnRenamed("id", "doc_id")
 
 
@@ -59,6 +76,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over documents."""
     docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    before = held()
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        done = Table(stage(spark, docs, sf_dir), name)
+        release(before, keep=(done.path,))
+        docs = done.df
     return docs

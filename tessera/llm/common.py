@@ -1,71 +1,71 @@
-"""What the operators of this subpackage share: tables in the shared folder, connected components, row numbers.
-
-Intermediate results are Parquet tables below the folder that the cluster names in
-``spark.checkpoint.dir``, so a lost executor costs a re-read and not a recomputation.
-"""
+"""What the operators of this subpackage share: connected components, row numbers, tables in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import Table, held, materialize, release, scratch_path, shared_dir
+
+__all__ = ["WORD", "Table", "anti", "connected_components", "free_name", "held", "materialize", "numbered", "release", "scratch_path", "shared_dir", "sketched", "small"]
+
 #: Words as the contracts define them: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: The folder of each session that names none.
-_own: dict[str, str] = {}
+def free_name(columns: list[str], wanted: str) -> str:
+    """wanted, or with as many underscores as it takes not to be the name of a column."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs written once with a column of unique longs, and that column's name.
 
-    It is ``spark.checkpoint.dir``. Where that is unset, a local session (one machine, as in
-    tests) gets a temporary folder and any other session uses its warehouse.
+    A number that is derived anew in each scan follows the file splits, and so the number of
+    executors; this one is stored beside its row.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
-        if app not in _own:
-            alone = master == "local" or master.startswith("local[")
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="tessera-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera"
-        found = _own[app]
-    return found.rstrip("/")
+    name = free_name(docs.columns, "row_number_")
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
 
+#: Bits of a sketch of keys, 64 to a row: it has 2**20 rows at most, which is what may be broadcast.
+SKETCH_BITS = 1 << 26
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder. It is removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
 
+def sketched(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, str]:
+    """rows with a boolean column that is true wherever keys (one column) has the row's key, and that column's name.
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path of the shared folder. A session that has ended leaves it be."""
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    It is seldom true elsewhere, as long as keys are few next to SKETCH_BITS; what is false needs no look at
+    keys. Only a sketch of bounded size moves to the rows.
+    """
+    name, word = free_name(rows.columns, "likely_"), free_name(rows.columns, "word_")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SKETCH_BITS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{c}`), 64) as int))")
+    (only,) = keys.columns
+    words = keys.select(F.floor(place(F.col(only)) / 64).alias(word), bit(only).alias("bits_")).groupBy(word).agg(F.bit_or("bits_").alias("bits_"))
+    words = materialize(words, "sketch")
+    marked = rows.withColumn(word, F.floor(place(F.col(key)) / 64)).join(F.broadcast(words), word, "left")
+    return marked.withColumn(name, F.coalesce(F.col("bits_").bitwiseAND(bit(key)) != 0, F.lit(False))).select(*rows.columns, name), name
 
 
-class Table:
-    """A DataFrame written to the shared folder and read again."""
+#: Rows of a few numbers each up to which a written table is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 1 << 20
 
-    def __init__(self, df: DataFrame, name: str):
-        self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, name)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        remove(self.spark, self.path)
+def small(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has no more than BROADCAST_ROWS of them."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    return Table(df, name).df
+def anti(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key isn't in keys (a written table of one column of distinct values); few of them are shuffled. A null key is in none."""
+    marked, likely = sketched(rows, key, keys)
+    (only,) = keys.columns
+    rest = marked.where(likely).join(small(keys.withColumnRenamed(only, key)), key, "left_anti")
+    return marked.where(~F.col(likely)).select(*rows.columns).union(rest.select(*rows.columns))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
@@ -73,20 +73,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     edges: two columns of node ids (long); direction, order and repeats don't matter; a null
     or an equal end is ignored. Returns (node, root) for every node that has an edge to another.
-    Each step is two joins on a node and two map-side combined aggregations, so that a hub is
-    neither collected nor held by one task. The driver sees a row count and a checksum a round.
+    An edge is kept as (greater end u, smaller end v). Minima are written before they are joined:
+    both sides of a join are scans then, so that a hub's edges can be split among tasks (adaptive
+    skew join) or meet broadcast minima. The driver sees a row count and a checksum a round.
     """
     x, y = F.col(a), F.col(b)
     start = edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     now, mark = Table(start, "edges"), None
     for _ in range(rounds):
-        both = now.df.union(now.df.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = Table(moved.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now.drop()
+        # Large star: a node's greater neighbours go to its smallest one. Only nodes with a smaller neighbour change anything.
+        least = Table(now.df.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "least")
+        large = Table(now.df.join(least.df, F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "large")
+        # Small star: a node's smaller neighbours go to the smallest of them.
+        small = Table(large.df.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "small")
+        moved = large.df.join(small.df, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        step = Table(moved.union(small.df.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        for old in (now, least, large, small):
+            old.drop()
         now = step
         # A star forest doesn't change any more: no smaller end is a larger end elsewhere.
         seen = now.df.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x"), F.expr("sum(xxhash64(v, u) % 1000003)").alias("s")).first()

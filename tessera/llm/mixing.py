@@ -55,13 +55,15 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: flo
     ranked = Table(ordered.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")), "weights").df
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     want, level = share * total, 0.0
-    for _ in range(1000):  # a round caps at least one more source or ends
+    for _ in range(ranked.count() + 2):  # a round caps at least one more source or ends
         full = F.col("cap") <= F.col("weight") * F.lit(level)
         r = ranked.agg(F.sum(F.when(full, F.col("cap"))).alias("capped"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
         new = (want - (r["capped"] or 0.0)) / r["open"] if r["open"] else level
         if new <= level * (1 + 1e-12):
             break
         level = new
+    else:
+        raise RuntimeError("the targets aren't settled")
     return ranked.select("source", "source_size", F.least("cap", F.col("weight") * F.lit(level)).alias("target"))
 
 
@@ -169,16 +171,18 @@ def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
         blocks = -(-blocks // (block // 2))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, row_col: str | None = None) -> DataFrame:
     """(row, id, source, size, source_size, target, copies): how often the mix takes each row of docs.
 
     size is the row's number of words (null and empty texts: 0, copies then is 0). A row gets
     the floor or the ceiling of target / source_size copies, so never more than ``most``
     rounded up. Null is a source of its own, the last one. Repeated rows are documents of their
-    own, each with its own copies. Extra columns are ignored; row is this table's own number.
+    own, each with its own copies. Extra columns are ignored. row_col names a column of unique
+    longs that tell the rows apart; without it row only tells the rows of this result apart.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    base = materialize(base.select(F.monotonically_increasing_id().alias("n"), "*"), "sizes")
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    base = docs.select(number.alias("n"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    base = materialize(base, "sizes")
     sized = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sized, weights, share, most).select(F.col("source").alias("source_"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
