@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .licenses import EQUIVALENT, LICENSES
+from .licenses import DIGESTS, EQUIVALENT, LICENSES
 
 #: A line that only says whose copyright it is, with a year or a sign.
 COPYRIGHT_LINE = r"(?m)^[ \t#*/;%<!-]*(copyright[^\n]*([0-9]{4}|\(c\)|©|<year>|\[year\])|\(c\)|©)[^\n]*$"
 #: ASCII that is neither letter nor digit, and typographic quotes, dashes and spaces.
 PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{2000}-\x{206f}]+"
-#: Most known texts have it. The SQL form asks it of every line, and so misses the others' lines.
+#: Most known texts have it, and all whose digest alone is known.
 ANCHOR = "licen"
 RESERVED = " all  rights  reserved "
 
@@ -32,9 +32,11 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession, licenses=LICENSES) -> DataFrame:
-    """(license_id, known): the digests of the known texts, one row for each distinct digest."""
+    """(license_id, known): the digests of the known texts and those of whole licence files, one row for each distinct digest."""
     rows = F.explode(F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in licenses)))
-    return spark.range(1).select(rows.alias("r")).groupBy(digest(F.col("r.text")).alias("known")).agg(F.min("r.license_id").alias("license_id"))
+    files = F.explode(F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(d).alias("known")) for i, d in DIGESTS)))
+    every = spark.range(1).select(rows.alias("r")).select("r.license_id", digest(F.col("r.text")).alias("known")).union(spark.range(1).select(files.alias("r")).select("r.*"))
+    return every.groupBy("known").agg(F.min("license_id").alias("license_id"))
 
 
 def anchors(spark: SparkSession, licenses=LICENSES) -> list[str]:
@@ -45,7 +47,7 @@ def anchors(spark: SparkSession, licenses=LICENSES) -> list[str]:
     """
     made = {new for _, new in EQUIVALENT}
     rows = F.explode(F.array(*(F.lit(t) for _, t in licenses)))
-    out: set[str] = set()
+    out: set[str] = {ANCHOR} if DIGESTS else set()
     for r in spark.range(1).select(rows.alias("t")).select(canonical(F.col("t")).alias("t")).collect():
         own = [w for w in r["t"].split(" ") if w and w not in made]
         if ANCHOR not in r["t"] and not own:
@@ -63,7 +65,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licens
     license_id is the licence whose known text is the row's entire text, else null. notices
     lists, sorted and joined by commas, the licences whose known text is an entire line of it
     (empty if none). A null text counts as empty; the empty text is no licence. Rows are kept
-    as they are, repeated ones too, null ids too. Extra columns are ignored.
+    as they are, repeated ones too, null ids too; texts of any length are read whole. Where two
+    known texts have one digest, the first identifier in order counts. Extra columns are ignored.
     The known digests are a fixed list of a few dozen rows, so both joins broadcast it.
     """
     spark = docs.sparkSession
@@ -81,7 +84,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licens
 
 
 def scan_sql() -> str:
-    """The same in DuckDB SQL, over the view documents."""
+    """The same in DuckDB SQL, over the view documents. Every line is looked up, whatever words it has."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def sql(text: str) -> str:
@@ -92,10 +95,11 @@ def scan_sql() -> str:
         return f"sha256(trim(replace(replace({x}, '{RESERVED}', ' '), '  ', ' ')))"
 
     values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in LICENSES)
+    files = ", ".join(f"('{i}', '{d}')" for i, d in DIGESTS)
     return f"""
-        WITH k AS (SELECT min(i) AS license_id, {sql("t")} AS known FROM (VALUES {values}) v(i, t) GROUP BY 2),
+        WITH k AS (SELECT min(i) AS license_id, known FROM (SELECT i, {sql("t")} AS known FROM (VALUES {values}) v(i, t) UNION ALL SELECT * FROM (VALUES {files}) f(i, known)) GROUP BY known),
         d AS (SELECT doc_id, {sql("coalesce(text, '')")} AS digest FROM documents),
-        l AS (SELECT DISTINCT doc_id, {sql("line")} AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(lower(line), '{ANCHOR}')),
+        l AS (SELECT DISTINCT doc_id, {sql("line")} AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
         n AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM l JOIN k ON l.digest = k.known GROUP BY 1)
         SELECT d.doc_id, d.digest, k.license_id, coalesce(n.notices, '') AS notices
         FROM d LEFT JOIN k ON d.digest = k.known LEFT JOIN n USING (doc_id)
