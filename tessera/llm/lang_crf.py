@@ -22,19 +22,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialize, small
+
+#: Runs of letters and of other numbers than decimal digits (fractions, superscripts, circled numbers); words_of parts those.
 WORDS = re.compile(r"[^\W\d_]+")
-#: The same characters for Spark's own expressions.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
+#: Letters for Spark's own expressions.
+LETTER = r"\p{L}"
 BUCKETS = 1 << 15
 #: Labelled rows of each language, windows of each row and words of each window that the fit takes; a shorter text is one window.
 SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW = 300, 4, 24
-#: Words of each language's lexicon, and languages that are told apart.
-LEXICON, LANGUAGES = 2000, 64
+#: Characters of a word of the sample; longer ones are learned by their beginnings.
+WORD_CHARS = 64
+#: Words of each language's lexicon.
+LEXICON = 2000
 STEPS, RATE, DECAY = 60, 0.15, 1e-4
 #: Words of a block of rows and cells of a padded batch that a task holds at once.
 BLOCK_WORDS, BATCH_CELLS = 1_000_000, 200_000
 #: Scored words after which a worker forgets those it has.
-SEEN_WORDS = 500_000
+SEEN_WORDS = 250_000
 UNDETERMINED = "und"
 
 
@@ -144,7 +149,11 @@ def forward_backward(scores: np.ndarray, start: np.ndarray, moves: np.ndarray, l
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    """Runs of letters, in lower case."""
+    found = WORDS.findall(text.lower())
+    if text.isascii() or "".join(found).isalpha():
+        return found
+    return [p for w in found for p in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def fit(rows: list[tuple[str, list[list[str]]]], seed: int = 11) -> Model:
@@ -260,34 +269,33 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
 
 
 def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, rows: int) -> list[tuple[str, list[list[str]]]]:
-    """Windows of words of at most so many rows of each language: those of the smallest hash of their id.
+    """Windows of words of at most so many rows of each language: those of the smallest hash of id and text.
 
-    Ids are chosen first, among the rows that have words; only windows reach the driver.
-    At most LANGUAGES languages, the most frequent ones, are told apart.
+    Rows without words or without an id aren't chosen, rows of equal id and text count once.
+    Every language is learned. A row gives at most SAMPLE_WINDOWS windows of WINDOW words, spread
+    over its text; only they reach the driver. A hash bound that follows from an estimate of the
+    languages' different rows lets some 8 times the rows through, so that no task ranks a whole language.
     """
-    labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).cast("string").rlike(LETTER))
-    top = [r[0] for r in labelled.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
-    order = Window.partitionBy("lang_").orderBy(F.xxhash64("id_", F.lit(3)), "id_")
-    ids = labelled.where(F.col(lang_col).isin(top)).select(F.col(id_col).alias("id_"), F.col(lang_col).alias("lang_"))
-    # Bounded by languages times rows, so it may be broadcast and collected.
-    ids = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows).select("id_").distinct()
-    chosen = [r[0] for r in ids.collect()]
-    if not chosen:
-        return []
-    texts = labelled.where(F.col(id_col).isin(chosen)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    text, digest = F.col(text_col).cast("string"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & text.rlike(LETTER))
+    labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.pmod(digest, F.lit(1 << 40)).alias("h"), text.alias("text"))
+    counts = labelled.groupBy(F.col("lang").alias("lang_")).agg(F.approx_count_distinct("h").alias("n"))
+    near = labelled.join(small(materialize(counts, "languages")), F.col("lang") == F.col("lang_")).where(F.col("h") * F.col("n") <= F.lit(float(8 * rows) * (1 << 40)))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    chosen = near.dropDuplicates(["lang", "h"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows).select("lang", "text")
 
     def cut(batches):
         for batch in batches:
             langs, found = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text or "")
+            for lang, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(own)
                 spread = max(1, (len(words) - WINDOW) // SAMPLE_WINDOWS)
                 begins = range(0, max(0, len(words) - WINDOW) + 1, spread) if words else []
                 langs.append(lang)
-                found.append([words[i : i + WINDOW] for i in list(begins)[:SAMPLE_WINDOWS]])
+                found.append([[w[:WORD_CHARS] for w in words[i : i + WINDOW]] for i in list(begins)[:SAMPLE_WINDOWS]])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.list_(pa.list_(pa.string())))], names=["lang", "windows"])
 
-    got = texts.mapInArrow(cut, "lang string, windows array<array<string>>").collect()
+    got = chosen.mapInArrow(cut, "lang string, windows array<array<string>>").collect()
     return sorted((r["lang"], [list(w) for w in r["windows"]]) for r in got)
 
 
