@@ -2,8 +2,10 @@
 
 Outside an archive a record is rows (record, chunk number, data): no one ever holds more of a
 payload than a chunk. Writers stream chunk rows into gzip members, readers stream them out
-again, and both carry the digests along: every chunk row has the CRC-32 and the length of the
-payload up to its end, the last one also its SHA-256.
+again, and digests go along: a row to be written has its chunk's CRC-32 and the payload's length
+up to its end, which the writer checks as it goes, with the whole payload's SHA-256 at the end; a
+row that was read has the CRC-32 and the length of the payload up to its end, the last one also
+its SHA-256.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import Table, materialize, scratch_path
 
 CHUNK = 1 << 20
 #: Payloads from this size on are written once; equal ones revisit the first.
@@ -45,15 +47,19 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
     The payload is the text in UTF-8, a null one is empty. Of equal payloads of at least
     revisit_from bytes the row with the smallest id is the response and the others revisit it;
-    of rows with that same id one is (null ids come last). Sizes and digests are computed where
-    the row is; only digests and ids are grouped.
+    of rows with that same id one is (null ids come last). Sizes, digests and row numbers are
+    written once beside the payload, so that both readings of them agree; only digests and ids
+    are grouped. A payload moves only if there are too many repeated digests to broadcast, and
+    then a frequent digest's rows can be split among tasks, as both sides of the join are scans.
     """
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("target_uri"), F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     own = own.withColumn("n", F.monotonically_increasing_id()).withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
+    own = Table(own, "payloads", "zstd").df
     at = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), F.col("n"))
     firsts = own.where(F.col("size") >= revisit_from).groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("c")).where("c > 1")
     name = lambda null, i, n: F.concat(F.lit("urn:page:"), F.when(null, "null").otherwise(i.cast("string")), F.lit(":"), n.cast("string"))
     firsts = firsts.select(F.col("digest").alias("digest_"), "first", name(F.col("first.none"), F.col("first.id"), F.col("first.n")).alias("first_id"))
+    firsts = materialize(firsts, "firsts")
     joined = own.join(firsts, (F.col("digest") == F.col("digest_")) & (F.col("size") >= revisit_from), "left")
     again = F.coalesce(F.col("first.n") != F.col("n"), F.lit(False))
     return joined.select(
@@ -73,7 +79,8 @@ def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     last = F.greatest(F.ceil(sent / chunk) - 1, F.lit(0))
     numbered = rows.withColumn("sent", sent).select("*", F.posexplode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("chunk_no", "k"))
     data = F.when(F.col("sent") > 0, F.substring("payload", (F.col("k") * chunk + 1).cast("int"), F.lit(chunk))).otherwise(F.unhex(F.lit("")))
-    return numbered.select("record_id", "record_type", "target_uri", "refers_to", "size", "digest", "chunk_no", data.alias("data"))
+    numbered = numbered.select("record_id", "record_type", "target_uri", "refers_to", "size", "digest", "chunk_no", data.alias("data"), F.least(F.col("sent"), (F.col("k") + 1) * chunk).cast("long").alias("bytes"))
+    return numbered.withColumn("crc32", F.crc32("data"))
 
 
 def header(row: dict, date: str) -> bytes:
@@ -122,6 +129,8 @@ def write_warc(chunks: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z
                 out.write(pack.compress(row["data"]))
                 sha.update(row["data"])
                 size[0] += len(row["data"])
+                if size[0] != row["bytes"] or zlib.crc32(row["data"]) != row["crc32"]:
+                    raise ValueError(f"{row['record_id']}: chunk {row['chunk_no']} isn't the one that was cut")
         if out is not None:
             out.write(_closed(*open_))
             bytes_ = out.tell()
