@@ -1,14 +1,15 @@
 """Exact top-k inner products by distributed histogram selection.
 
-Every query scores every candidate, block by block. A global histogram of the scores in a
+Every query scores every candidate once, block by block. A block keeps each query's scores down
+to its own k-th best, as the global one is not below it. A global histogram of the scores in a
 query's current range locates the bin of its k-th best score; that bin is the next range, until
-it holds one value. A last pass keeps what lies above that value and the ties with the smallest
-ids. A block reports a bin only down to its own k-th best score: the global one is not below it.
+it holds one value. What lies above that value is kept, and of the ties those with the smallest ids.
 """
 
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql.window import Window
 
 from .common import Table, materialize
 
-#: Rows of a block of queries and of a block of candidates; bins of a histogram.
-QUERIES, CANDIDATES, BINS = 1024, 2048, 2048
+#: Rows of a block of queries and of a block of candidates; candidates scored at once; bins of a histogram.
+QUERIES, CANDIDATES, SCORED, BINS = 1024, 4096, 1024, 2048
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
 
 
@@ -75,59 +76,52 @@ def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k: in
     asked = base.where("q").select("n", "id", "v", (place % spread).alias("h"))
     side = base.select(F.col("id").alias("c_id"), F.col("v").alias("c_v"), (place % groups).alias("c_g"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("c_h"))
 
-    def cells(state: DataFrame, work, out: str) -> DataFrame:
-        """work(query rows, their scores, candidate ids) over all blocks of queries and of candidates."""
-        left = asked.join(state, "n").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
-
-        def run(q, c):
-            if not q.num_rows or not c.num_rows:
-                return work(None, None, None)
-            ids, own = c["c_id"].to_numpy(), q["id"].to_numpy()
-            found = inner(np.floor(matrix(q["v"], width) * scale), np.floor(matrix(c["c_v"], width) * scale), bound)
-            return work(q, np.ma.array(found, mask=own[:, None] == ids[None, :]), ids)
-
-        return left.groupBy("g", "h").cogroup(side.groupBy("c_g", "c_h")).applyInArrow(run, out)
-
-    def histogram(extent: int, step: int):
-        def work(q, found, ids):
-            if q is None:
-                return pa.table({"n": pa.array([], pa.int64()), "bin": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
-            hi, need = q["hi"].to_numpy(), q["need"].to_numpy()
-            below = hi.astype(np.uint64)[:, None] - found.data.astype(np.uint64)
-            inside = ~np.ma.getmaskarray(found) & (found.data <= hi[:, None]) & (below <= np.uint64(extent - 1))
-            bin_ = np.where(inside, below // np.uint64(step), np.uint64(bins)).astype(np.int64)
-            at = np.minimum(need, bin_.shape[1]) - 1
-            last = np.take_along_axis(np.sort(bin_, axis=1) if bin_.shape[1] <= 64 else np.partition(bin_, sorted(set(at.tolist())), axis=1), at[:, None], axis=1)
-            rows, cols = np.nonzero((bin_ <= last) & (bin_ < bins))
-            key, counts = np.unique(rows * (bins + 1) + bin_[rows, cols], return_counts=True)
-            return pa.table({"n": pa.array(q["n"].to_numpy()[key // (bins + 1)]), "bin": pa.array(key % (bins + 1)), "c": pa.array(counts.astype(np.int64))})
-
-        return work
-
-    def select(q, found, ids):
-        if q is None:
-            return pa.table({"n": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        hi, open_ = q["hi"].to_numpy()[:, None], ~np.ma.getmaskarray(found)
-        order = np.argsort(ids, kind="stable")
-        score, open_, ids = found.data[:, order], open_[:, order], ids[order]
-        tied = open_ & (score == hi)
-        rows, cols = np.nonzero((open_ & (score > hi)) | (tied & (np.cumsum(tied, axis=1) <= k)))
-        return pa.table({"n": pa.array(q["n"].to_numpy()[rows]), "query_id": pa.array(q["id"].to_numpy()[rows]), "id": pa.array(ids[cols]), "score": pa.array(score[rows, cols])})
-
+    def run(q, c):
+        """The k best candidates of the block for each query row, ties to the smaller id."""
+        empty = pa.table({"n": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+        if not q.num_rows or not c.num_rows:
+            return empty
+        c = c.sort_by("c_id")
+        ids, own = c["c_id"].to_numpy(), q["id"].to_numpy()
+        asked_, offered = np.floor(matrix(q["v"], width) * scale), np.floor(matrix(c["c_v"], width) * scale)
+        rows, cols, scores = [], [], []
+        for at in range(0, len(ids), SCORED):
+            found = inner(asked_, offered[at : at + SCORED], bound)
+            open_ = own[:, None] != ids[None, at : at + SCORED]
+            found = np.where(open_, found, LOWEST)
+            last = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] > k else np.full(len(found), LOWEST)
+            above, tied = open_ & (found > last[:, None]), open_ & (found == last[:, None])
+            row, col = np.nonzero(above | tied & (np.cumsum(tied, axis=1) + above.sum(axis=1)[:, None] <= k))
+            rows.append(row)
+            cols.append(col + at)
+            scores.append(found[row, col])
+        row, col, score = np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
+        order = np.lexsort((col, ~score, row))  # ~x falls as x rises and can't overflow
+        row, col, score = row[order], col[order], score[order]
+        first = np.searchsorted(row, row, "left")
+        best = np.arange(len(row)) - first < k
+        row, col, score = row[best], col[best], score[best]
+        return pa.table({"n": pa.array(q["n"].to_numpy()[row]), "query_id": pa.array(own[row]), "id": pa.array(ids[col]), "score": pa.array(score)})
+
+    each = asked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
+    scored = each.groupBy("g", "h").cogroup(side.groupBy("c_g", "c_h")).applyInArrow(run, "n long, query_id long, id long, score long")
+    scored = Table(scored, "scores").df
     state = asked.select("n", F.lit(top).cast("long").alias("hi"), F.lit(k).cast("long").alias("need"))
-    extent, bound_low = 2 * top + 1, F.lit(LOWEST + 1).cast("decimal(38,0)")
-    extent = min(extent, 2**64 - 1)
+    extent = min(2 * top + 1, 2**64 - 1)
+    wide = lambda x: x.cast("decimal(20,0)")  # noqa: E731  differences of longs need more than a long
     while extent > 1:
         step = -(-extent // bins)
-        counted = cells(state, histogram(extent, step), "n long, bin long, c long").groupBy("n", "bin").agg(F.sum("c").alias("c"))
+        below = wide(F.col("hi")) - wide(F.col("score"))
+        inside = scored.join(state, "n").where((F.col("score") <= F.col("hi")) & (below < F.lit(Decimal(extent))))
+        counted = inside.groupBy("n", F.floor(below / F.lit(Decimal(step)).cast("decimal(20,0)")).cast("long").alias("bin")).agg(F.count("*").alias("c"))
         upto = Window.partitionBy("n").orderBy("bin")
         ranked = counted.withColumn("sum", F.sum("c").over(upto))
         hit = ranked.join(state, "n").where("sum >= need and sum - c < need")
-        moved = F.greatest(F.col("hi").cast("decimal(38,0)") - F.col("bin").cast("decimal(18,0)") * F.lit(step).cast("decimal(20,0)"), bound_low)
+        moved = F.greatest(wide(F.col("hi")) - F.col("bin").cast("decimal(18,0)") * F.lit(Decimal(step)).cast("decimal(20,0)"), F.lit(LOWEST + 1).cast("decimal(38,0)"))
         hit = hit.select("n", moved.cast("long").alias("hi_"), (F.col("need") - F.col("sum") + F.col("c")).alias("need_"))
         # A query without k candidates never has a k-th: all of them lie above the lowest value.
         state = state.join(hit, "n", "left").select("n", F.coalesce("hi_", F.lit(LOWEST)).alias("hi"), F.coalesce("need_", "need").alias("need"))
         state, extent = Table(state, "ranges").df, step
-    found = cells(state, select, "n long, query_id long, id long, score long")
     order = Window.partitionBy("n").orderBy(F.desc("score"), "id")
+    found = scored.join(state, "n").where("score >= hi")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
