@@ -4,7 +4,9 @@ A vector is rotated by three rounds of random signs and a fast Hadamard transfor
 the signed axis it is nearest to. Several hashes make a bucket, several tables make up for
 missed buckets, and every vector also goes to the buckets that its second-nearest axes name.
 Candidates of a bucket are verified by their cosine. Equal vectors are one class before any of
-this, and a bucket too large for one task is cut into blocks that meet two by two.
+this, and a bucket too large for one task is cut into blocks that meet two by two. The blocks of a
+bucket of M members are so many as the square root of M asks for, so that a member is sent to
+that many tasks, and not to as many as would grow with M.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from .simhash import forest
 from .topk import matrix, usable
 
 SEED = 7
-#: Members of a block of a bucket.
+#: Members of a bucket that is one block; one of as many blocks squared has that many times as many in each.
 BLOCK = 256
+#: Cosines and pairs that a task holds at once.
+CELLS = 1 << 20
 
 
 def signs(tables: int, hashes: int, dim: int) -> np.ndarray:
@@ -107,7 +111,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     spots = materialize(spots, "spots")
     key = ["label", "width", "t", "code"]
     counts = spots.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1")
-    held = spots.join(counts, key).select(*key, "c", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    held = spots.join(counts, key).select(*key, "c", F.ceil(F.sqrt(F.col("members") / block)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("c"), F.col("blocks").cast("long")).cast("int")
     held = held.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     held = held.select(*key, "c", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
@@ -120,19 +124,21 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         x = units(t["v"], t["width"][0].as_py())
         where = t["codes"].combine_chunks().flatten().to_numpy().reshape(n, tables, probes)
         left, right = (np.arange(n), np.arange(n)) if bi == bj else (np.flatnonzero(own_ == bi), np.flatnonzero(own_ == bj))
-        a, b = np.nonzero(x[left] @ x[right].T >= threshold)
-        a, b = left[a], right[b]
-        if bi == bj:
-            a, b = a[a < b], b[a < b]
-        linked = forest(n, a, b)
-        # A pair counts where its smallest common bucket is, so that it counts once.
-        first = np.ones(len(a), bool)
-        for s in range(at + 1):
-            same = where[a, s][:, :, None] == where[b, s][:, None, :]
-            if s == at:
-                same &= where[a, s][:, :, None] < code
-            first &= ~same.any(axis=(1, 2))
-        links = np.bincount(a[first], m[b[first]], n) + np.bincount(b[first], m[a[first]], n)
+        linked, links = np.arange(n), np.zeros(n)
+        for some in np.array_split(left, max(1, len(left) * len(right) // CELLS)):
+            a, b = np.nonzero(x[some] @ x[right].T >= threshold)
+            a, b = some[a], right[b]
+            if bi == bj:
+                a, b = a[a < b], b[a < b]
+            linked = forest(n, np.concatenate((linked, a)), np.concatenate((np.arange(n), b)))
+            # A pair counts where its smallest common bucket is, so that it counts once.
+            first = np.ones(len(a), bool)
+            for s in range(at + 1):
+                same = where[a, s][:, :, None] == where[b, s][:, None, :]
+                if s == at:
+                    same &= where[a, s][:, :, None] < code
+                first &= ~same.any(axis=(1, 2))
+            links += np.bincount(a[first], m[b[first]], n) + np.bincount(b[first], m[a[first]], n)
         out = np.flatnonzero((links > 0) | (linked != np.arange(n)))
         return pa.table({"c": pa.array(c[out]), "links": pa.array(links[out].astype(np.int64)), "peer": pa.array(c[linked[out]])})
 
