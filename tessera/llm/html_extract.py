@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from .html_pages import MARK, page
 
-#: Elements whose content is no text, and elements that end the block around them.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "head")
+#: Elements that end the block around them.
 BLOCKS = frozenset("address article aside blockquote body br button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html input label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A paragraph ends where one of these begins.
