@@ -465,6 +465,14 @@ def test_mix_meets_its_targets(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def test_mix_of_a_very_long_text_and_equal_sizes(spark):
+    rows = [(0, "w " * 1_000_000, "en", "a"), *((i, "w w", "en", "a") for i in range(1, 50)), (50, "w", "en", "b")]
+    found = {r["id"]: r for r in mixing.mix(docs(spark, rows)).collect()}
+    assert found[0]["size"] == 1_000_000 and found[0]["source_size"] == 1_000_098 and len(found) == 51
+    taken = sum(r["copies"] * r["size"] for r in found.values())
+    assert found[0]["copies"] in (1, 2) and abs(taken - 1.5 * 1_000_099) <= 500_001
+
+
 def test_the_flight_keeps_both_sums_and_leaves_two_open():
     rng = np.random.Generator(np.random.PCG64(8))
     sizes, p = rng.integers(1, 500, 400).astype(float), rng.random(400)
@@ -615,6 +623,15 @@ def test_conversations_read_back(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_a_very_long_turn_reads_back(spark):
+    long = "</s>[INST] é " * 100_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long), (2, 0, "user", "x")]
+    done = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    back = {r["conv_id"]: r for r in chat.read_back(done).collect()}
+    assert back[1]["n_turns"] == 3 and back[1]["loss_chars"] == 2 * len(long) and back[1]["loss_sha256"] == hashlib.sha256((long * 2).encode()).hexdigest()
+    assert back[2]["loss_chars"] == 0
+
+
 def test_content_parts_become_ordered_placeholders(spark):
     part = lambda type_, text=None, ref=None, width=None, height=None, seconds=None, pages=None: (type_, text, ref, width, height, seconds, pages)
     rows = [(1, 0, "user", [part("text", "see <|image:1|>"), part("image", ref="a.png", width=56, height=29), part("audio", ref="b.wav", seconds=2.1)]), (1, 1, "assistant", [part("document", ref="c.pdf", pages=3), part("text", "done")])]
