@@ -782,6 +782,21 @@ def agent_evidence(spark, d):
     return finalize(merge(calls), 16).select("query_id", "row_id", "rrf", "best", "calls", "rank")
 
 
+@query(f"""WITH {sql_two(8)}, p AS (SELECT item_id AS query_id, {sql_classify('text')} AS category FROM benchmark),
+calls AS (SELECT query_id, row_id, score, rank FROM body UNION ALL SELECT h.query_id, row_id, score, rank FROM head h JOIN p USING (query_id) WHERE category = 'historical' UNION ALL SELECT query_id, row_id, score, rank FROM head WHERE query_id % 2 = 0),
+f AS (SELECT query_id, row_id, round(sum(1.0::DOUBLE / ({C.RRF_K_FIXED} + rank)), 6) AS rrf, max(score) AS best, count(*) AS calls FROM calls GROUP BY 1, 2)
+SELECT query_id, row_id, rrf, best, calls, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, row_id)::INT AS rank FROM f QUALIFY rank <= 16""")
+def agent_run(spark, d):
+    """The retrieval loop: whole texts searched first, then, for every other question, first lines as the history; other tools are unknown to it."""
+    from .operators.agent import run
+
+    rows = docs(spark, d)
+    tools = {"search": lambda asked: bm25.search(rows, asked, 8), "history": lambda asked: bm25.search(rows.withColumn("head", F.substring_index("content", "\n", 1)), asked, 8, "head")}
+    inspect = lambda found: found.where("query_id % 2 = 0").select("query_id", F.lit("history").alias("tool"), "query").distinct()
+    found, _ = run(asked(spark, d), tools, inspect, lambda df: materialize(df, "agent"))
+    return found.select("query_id", "row_id", "rrf", "best", "calls", "rank")
+
+
 @query(f"""WITH RECURSIVE {SQL_PACK}, k AS (SELECT p.query_id, p.rank, '[' || c.path || ':' || c.start_line || '-' || c.end_line || ']' AS t, row_number() OVER (PARTITION BY p.query_id ORDER BY p.rank) AS n FROM packed p JOIN chunks c USING (row_id) WHERE decision = 'kept')
 SELECT query_id, 'Based on the evidence: ' || string_agg(t, ' ' ORDER BY n) AS answer, count(*) AS cited FROM k WHERE n <= 3 GROUP BY 1""")
 def echo_answers(spark, d):
