@@ -407,12 +407,19 @@ def blank_line_split(spark, d):
     return pieces.select("doc_id", "start_line", "end_line", F.sha1(F.col("content").cast("binary")).alias("digest"))
 
 
-@query(r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 1) AS lv, regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 2) AS tx FROM pages)
-SELECT page_id, generate_subscripts(lv, 1)::INT AS pos, unnest(lv)::INT AS level, trim(regexp_replace(unnest(tx), '<[^>]*>', '', 'g')) AS title FROM h""")
+@query(r"""WITH p AS (SELECT page_id, replace(replace(html, '<b>', '<h3>s</h3><b>'), '<nav>', '<h2 class="x">menu</h2><nav>') AS html FROM pages),
+l AS (SELECT page_id, regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 1) AS lv, regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 2) AS tx, string_split_regex(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS bodies FROM p),
+h AS (SELECT page_id, generate_subscripts(lv, 1)::INT AS pos, unnest(lv)::INT AS level, trim(regexp_replace(unnest(tx), '<[^>]*>', '', 'g')) AS title, unnest(bodies[2:]) AS body FROM l),
+a AS (SELECT i.page_id, i.pos, string_agg(j.title, ' > ' ORDER BY j.pos) AS path FROM h i JOIN h j ON j.page_id = i.page_id AND j.pos <= i.pos
+  WHERE NOT EXISTS (SELECT 1 FROM h k WHERE k.page_id = i.page_id AND k.pos > j.pos AND k.pos <= i.pos AND k.level <= j.level) GROUP BY 1, 2)
+SELECT h.page_id, h.pos, h.level, h.title, a.path, sha1(trim(regexp_replace(regexp_replace(h.body, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g'))) AS digest FROM h JOIN a USING (page_id, pos)""")
 def html_sections(spark, d):
-    from .operators.chunking import html_headings
+    """Sections of every page with the headings they stand under; two more headings are put in so that they nest."""
+    from .operators.chunking import html_sections as sections
 
-    return load(spark, d, "pages").select("page_id", F.posexplode(html_headings(F.col("html"))).alias("p", "h")).select("page_id", (F.col("p") + 1).alias("pos"), "h.level", "h.title")
+    html = F.replace(F.replace("html", F.lit("<b>"), F.lit("<h3>s</h3><b>")), F.lit("<nav>"), F.lit('<h2 class="x">menu</h2><nav>'))
+    rows = load(spark, d, "pages").select("page_id", F.posexplode(sections(html)).alias("p", "h"))
+    return rows.select("page_id", (F.col("p") + 1).alias("pos"), "h.level", "h.title", F.array_join("h.path", " > ").alias("path"), F.sha1(F.col("h.body").cast("binary")).alias("digest"))
 
 
 @query("SELECT ['doc', 'test', 'config', 'commit', 'source'][(doc_id % 5 + 1)::INT] AS artifact_type, CASE WHEN doc_id % 4 = 0 THEN 'none' ELSE source END AS symbol_type, count(*) AS n FROM documents GROUP BY 1, 2")

@@ -72,6 +72,25 @@ def html_headings(html: Column) -> Column:
     return F.transform(pairs, lambda z: F.struct(z["l"].cast("int").alias("level"), F.trim(F.regexp_replace(z["t"], "<[^>]*>", "")).alias("title")))
 
 
+def html_sections(html: Column) -> Column:
+    """(level, title, path, body) of the sections of a page: each heading with those it stands under and the text up to the next one.
+
+    A heading ends the sections of its level and of deeper ones: one fold over the headings keeps the open ones.
+    """
+    head = r"(?is)<h[1-6][^>]*>.*?</h[1-6]>"
+    bodies = F.split(html, head)
+    start = F.struct(F.array().cast("array<struct<level:int,title:string>>").alias("open"), F.array().cast("array<array<string>>").alias("paths"))
+
+    def step(acc, h):
+        still = F.concat(F.filter(acc["open"], lambda o: o["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["title"].alias("title"))))
+        return F.struct(still.alias("open"), F.concat(acc["paths"], F.array(F.transform(still, lambda o: o["title"]))).alias("paths"))
+
+    heads = html_headings(html)
+    paths = F.aggregate(heads, start, step, lambda acc: acc["paths"])
+    text = lambda i: F.trim(F.regexp_replace(F.regexp_replace(F.element_at(bodies, i + 2), "<[^>]*>", " "), r"[ \t\n\r\f]+", " "))
+    return F.transform(heads, lambda h, i: F.struct(h["level"].alias("level"), h["title"].alias("title"), F.element_at(paths, i + 1).alias("path"), text(i).alias("body")))
+
+
 def split_long(start: int, lines: list[str], limit: int, overlap: int) -> Iterator[tuple[int, list[str]]]:
     step = max(limit - overlap, 1)
     for at in range(0, max(len(lines), 1), step):
