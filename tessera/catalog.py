@@ -526,6 +526,22 @@ def context_pack(spark, d):
     return _packed(spark, d)
 
 
+@query(f"""WITH RECURSIVE {SQL_PACK}, {SQL_GRAPH}, kept AS (SELECT * FROM packed WHERE decision = 'kept'),
+t AS (SELECT query_id, sum(tokens) AS total, arg_min(row_id, rank) AS row_id, max(rank) AS deepest FROM kept GROUP BY 1), last AS (SELECT query_id, max(rank) + 1 AS rank FROM packed GROUP BY 1),
+nm AS (SELECT t.query_id, t.total, g.path, unnest(g.words[1:20]) AS name, unnest(range(least(20, len(g.words)))) AS nth FROM t JOIN g USING (row_id)),
+c AS (SELECT nm.query_id, nm.total, nm.nth, x.row_id AS found, greatest(1, length({sql_truncated('dd.text', C.CHUNK_TOKENS)}) // 4) AS tokens FROM nm JOIN graph d ON d.name = nm.name AND d.kind = 'definitions' AND d.pos = 1 JOIN g x ON x.chunk_id = d.target JOIN documents dd ON dd.doc_id = x.row_id
+  WHERE x.path <> nm.path AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.query_id = nm.query_id AND k.row_id = x.row_id)),
+b AS (SELECT query_id, any_value(total) AS total, arg_min(found, nth) AS row_id, arg_min(tokens, nth) AS tokens FROM c GROUP BY 1),
+added AS (SELECT b.query_id, b.row_id, last.rank, 'kept' AS decision FROM b JOIN last USING (query_id) WHERE b.total + b.tokens <= 4000)
+SELECT query_id, row_id, rank, decision FROM packed WHERE (query_id, row_id) NOT IN (SELECT (query_id, row_id) FROM added) UNION ALL SELECT query_id, row_id, rank, decision FROM added""")
+def context_related(spark, d):
+    """Packed evidence with one definition from another file that the best block refers to."""
+    chunks = graph_chunks(spark, d)
+    graph = symbols.edges(chunks)
+    full = chunks.join(load(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("content")), "row_id")
+    return context.with_related(materialize(_packed(spark, d), "packed"), full, graph, 4000).select("query_id", "row_id", "rank", "decision")
+
+
 # Answers cite the three best hits of a question, the third with a range that no block has, and one file that isn't there.
 SQL_ANSWERS = f"""{SQL_CHUNKS}, {sql_bm25('h', k=5)}, b AS (SELECT h.query_id, h.row_id, h.rank, c.path, c.start_line, c.end_line FROM h JOIN chunks c USING (row_id)),
 a AS (SELECT query_id, string_agg('See [' || path || ':' || CASE rank WHEN 1 THEN start_line WHEN 2 THEN start_line + 1 ELSE start_line + 500 END || '-' || CASE rank WHEN 1 THEN end_line WHEN 2 THEN end_line + 4 ELSE end_line + 900 END || ']', ' ' ORDER BY rank) || ' and [no/such.py:1-2], [' || min(path) || ':x-2].' AS text FROM b WHERE rank <= 3 GROUP BY 1),
