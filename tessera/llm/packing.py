@@ -8,6 +8,7 @@ is padded.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -21,11 +22,9 @@ from .common import Table
 
 LONGEST = 2048
 #: Words that a worker's cache holds.
-WORDS = 900_000
-#: The tokenizer's own pre-tokens, in a lower-case text of Latin-1 characters: contractions, letters, digits, the rest.
-PRETOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\\t-\\r \x85\xa0]+")
-#: Words that are tokenised at once.
-MISSES = 8192
+WORDS = 500_000
+#: The tokenizer's own pre-tokens, in a lower-case text of Latin-1 characters: letters, digits, contractions, the rest.
+PRETOKENS = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\\t-\\r \x85\xa0]+")
 #: Rows up to which the table of sequence numbers is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -37,43 +36,69 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The settings of a tokenizer whose split PRETOKENS makes.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def splits_words(path: str) -> bool:
+    """Whether the tokenizer of that file lower-cases, splits as PRETOKENS does and ends words with </w>."""
+    with open(path, encoding="utf-8") as f:
+        settings = json.load(f)
+    model, before = settings["model"], settings.get("pre_tokenizer") or {}
+    first = (before.get("pretokenizers") or [{}])[0]
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    known = (settings.get("normalizer") or {}).get("normalizers") == NORMALIZERS and first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
+    special = all(t["special"] and not t["normalized"] and t["content"].startswith("<|") for t in settings["added_tokens"])
+    return known and plain and special and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and settings.get("truncation") is None
+
+
+def byte_signs() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it has a shape of its own, else one after U+00FF in turn."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
+
+
+SIGNS = byte_signs()
+
+
+def visible(word: str) -> str:
+    return "".join([SIGNS[b] for b in word.encode()])
+
+
 class Encoder:
     """Token ids of whole texts, with a cache of words that have been tokenised before.
 
-    The tokenizer lower-cases a text, splits it into pre-tokens and merges nothing across them.
-    For texts in Latin-1 the same split is made here, and only words that are new go to the
-    tokenizer, many at once: each is one pre-token, whose last id ends a word. Other texts,
-    and those that may hold a special token, go to the tokenizer whole.
+    The tokenizer of the query lower-cases a text, splits it into pre-tokens and merges nothing
+    across them. For texts in Latin-1 the same split is made here, and only words that are new go
+    to the tokenizer's model: each is one pre-token. Other texts,
+    and those that may hold a special token, go to the tokenizer whole, and so do all texts if
+    the tokenizer is of another kind.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        self.by_word = splits_words(path)
+        ids = np.arange(max(self.tokenizer.get_vocab().values()) + 1, dtype="<u4").tobytes()
+        self.raw = [ids[i : i + 4] for i in range(0, len(ids), 4)]
         self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def fresh(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of pre-tokens, as little-endian 32-bit integers."""
-        found: dict[str, bytes] = {}
-        for at in range(0, len(words), MISSES):
-            some = words[at : at + MISSES]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(stops) != len(some):
-                found |= {w: self.whole(w) for w in some}
-                continue
-            raw, stops = ids.tobytes(), stops.tolist()
-            found |= {w: raw[i:j] for w, i, j in zip(some, [0, *stops], stops, strict=False)}
-        return found
+        """Ids of pre-tokens, as little-endian 32-bit integers: what the tokenizer's merges make of their bytes."""
+        raw, tokenize = self.raw, self.model.tokenize
+        return {w: b"".join([raw[t.id] for t in tokenize(w if w.isascii() and w.isprintable() else visible(w))]) for w in words}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. A full cache lets go what these texts added."""
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         words, out, waiting, ask = self.words, [b""] * len(texts), [], {}
         for row, text in enumerate(texts):
             try:
@@ -108,19 +133,28 @@ class Encoder:
         return out
 
 
-def pieces(n: int, longest: int = LONGEST) -> list[int]:
-    """Lengths of a document's pieces: whole longest ones, then powers of two, largest first."""
-    rest = n % longest
-    return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 1, -1, -1) if rest >> k & 1]
+def pieces(n: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length) of the pieces of documents of n tokens: whole longest ones, then powers of two, largest first."""
+    full, rest = n // longest, n % longest
+    row = np.repeat(np.arange(len(n)), full)
+    start = (np.arange(len(row)) - np.repeat(np.cumsum(full) - full, full)) * longest
+    bits = longest >> np.arange(1, longest.bit_length())
+    own, k = np.nonzero(rest[:, None] & bits)
+    above = rest[own] & ~(2 * bits[k] - 1)
+    row, start, length = np.concatenate((row, own)), np.concatenate((start, (full * longest)[own] + above)), np.concatenate((np.full(len(row), longest), bits[k]))
+    order = np.lexsort((start, row))
+    return row[order], start[order], length[order]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, longest: int = LONGEST, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, keep..., start, length, ids, doc_tokens, part, place): the pieces of each row's tokens and end token.
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, longest: int = LONGEST, ids: bool = True) -> DataFrame:
+    """(id, start, length, ids, ids_crc32, doc_tokens, part, place): the pieces of each row's tokens and end token.
 
-    part is the task that cut them, place the piece's rank among that task's pieces of equal length.
+    part is the task that cut them, place the piece's rank among that task's pieces of equal
+    length, ids_crc32 the CRC-32 of its ids as little-endian 32-bit integers. Without ids the
+    ids themselves are left out.
     """
     if longest & (longest - 1):
         raise ValueError("the longest sequence must be a power of two")
@@ -134,58 +168,50 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeniz
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                rows, starts, lengths, ids, totals, own = [], [], [], [], [], []
-                for row, found in enumerate(encoder(some.column(1).to_pylist())):
-                    found = np.frombuffer(found + end, "<i4")
-                    start = 0
-                    for length in pieces(len(found), longest):
-                        rows.append(row)
-                        starts.append(start)
-                        lengths.append(length)
-                        ids.append(found[start : start + length])
-                        totals.append(len(found))
-                        own.append(places.get(length, 0))
-                        places[length] = own[-1] + 1
-                        start += length
-                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                bounds = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
-                rows = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0).take(rows), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(bounds, flat), pa.array(totals, pa.int64()), some.column(2).take(rows), pa.array(own, pa.int64())],
-                    names=["id", "start", "length", "ids", "doc_tokens", "part", "place"],
-                )
-
-    return source.mapInArrow(run, "id long, start long, length long, ids array<int>, doc_tokens long, part int, place long")
-
-
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, longest: int = LONGEST) -> DataFrame:
-    """(id, start, length, ids, doc_tokens, sequence_id, offset): every piece, each the one piece of its sequence.
+                found = encoder(some.column(1).to_pylist())
+                n = np.fromiter((len(x) // 4 + 1 for x in found), np.int64, len(found))
+                raw = end.join([*found, b""])
+                row, start, length = pieces(n, longest)
+                place = np.zeros(len(row), np.int64)
+                for own in np.unique(length).tolist():
+                    mine = np.flatnonzero(length == own)
+                    first = places.get(own, 0)
+                    place[mine] = np.arange(first, first + len(mine))
+                    places[own] = first + len(mine)
+                # The pieces follow each other as the ids do.
+                bounds = np.concatenate(([0], np.cumsum(length)))
+                at_byte = (bounds * 4).tolist()
+                view = memoryview(raw)
+                crc = [zlib.crc32(view[i:j]) for i, j in zip(at_byte, at_byte[1:], strict=False)]
+                rows = pa.array(row)
+                lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.frombuffer(raw, "<i4")))] if ids else []
+                yield pa.RecordBatch.from_arrays([some.column(0).take(rows), pa.array(start), pa.array(length), *lists, pa.array(crc, pa.int64()), pa.array(n[row]), some.column(2).take(rows), pa.array(place)], names=names)
+
+    names = ["id", "start", "length", *(["ids"] if ids else []), "ids_crc32", "doc_tokens", "part", "place"]
+    kinds = {"ids": "array<int>", "part": "int"}
+    return source.mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in names))
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, longest: int = LONGEST, ids: bool = True) -> DataFrame:
+    """(id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset): every piece, each the one piece of its sequence.
 
     Sequences are numbered bucket by bucket, the longest first, without gaps. A null or
     empty text is the end token alone. Repeated rows are packed once each; a null id stays
-    null. Pieces are written once to the shared folder, with their token ids, and the numbers
-    come from a count for each task and bucket. Extra columns are ignored.
+    null. Texts of any length are packed whole. Pieces are written once to the shared folder
+    (without ids: all but the token ids), and the numbers come from a count for each task and
+    bucket. Extra columns are ignored.
     """
-    cuts = Table(cut(docs, id_col, text_col, tokenizer, end_id, longest), "pieces").df
+    cuts = Table(cut(docs, id_col, text_col, tokenizer, end_id, longest, ids), "pieces").df
     counts = Table(cuts.groupBy("length", "part").agg(F.count("*").alias("n")), "buckets").df
-    upto = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(F.col("length").alias("length_"), F.col("part").alias("part_"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first"))
+    begins, at = [F.lit(-1).cast("long"), F.lit(0).cast("long")], 0
+    # One row for each power of two.
+    for r in sorted(counts.groupBy("length").agg(F.sum("n").alias("n")).collect(), key=lambda r: -r["length"]):
+        begins += [F.lit(r["length"]).cast("long"), F.lit(at).cast("long")]
+        at += r["n"]
+    upto = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(upto), F.lit(0)) + F.element_at(F.create_map(*begins), F.col("length"))
+    first = counts.select(F.col("length").alias("length_"), F.col("part").alias("part_"), before.alias("first"))
     first = F.broadcast(first) if counts.count() <= BROADCAST_ROWS else first
     placed = cuts.join(first, (F.col("length") == F.col("length_")) & (F.col("part") == F.col("part_")))
-    return placed.select("id", "start", "length", "ids", "doc_tokens", (F.col("first") + F.col("place")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-
-
-def ids_crc32(packed: DataFrame) -> DataFrame:
-    """The packed table with ids_crc32, the CRC-32 of the ids as little-endian 32-bit integers, in place of ids."""
-    names = [c for c in packed.columns if c != "ids"]
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            raw = memoryview(np.ascontiguousarray(lists.flatten().to_numpy(), "<i4")).cast("B")
-            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))) * 4
-            crc = [zlib.crc32(raw[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
-
-    schema = packed.select(*names, F.lit(0).cast("long").alias("ids_crc32")).schema
-    return packed.mapInArrow(run, schema)
+    own = ["ids", "ids_crc32"] if ids else ["ids_crc32"]
+    return placed.select("id", "start", "length", *own, "doc_tokens", (F.col("first") + F.col("place")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

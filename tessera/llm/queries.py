@@ -31,10 +31,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import ids_crc32, pack
+    from .packing import pack
 
-    packed = ids_crc32(pack(table(spark, sf_dir, "documents")))
-    return packed.withColumnRenamed("id", "doc_id")
+    return pack(table(spark, sf_dir, "documents"), ids=False).withColumnRenamed("id", "doc_id")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
