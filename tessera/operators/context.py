@@ -49,11 +49,17 @@ def pack(hits: DataFrame, budget: int = C.BUDGET, chunk_tokens: int = C.CHUNK_TO
     return each.select("query_id", F.col("z.items.row_id").alias("row_id"), F.col("z.items.rank").alias("rank"), F.col("z.items.tokens").alias("tokens"), F.col("z.said").alias("decision"))
 
 
-def overlapping(spans: DataFrame) -> DataFrame:
-    """(path, a, b) of spans (path, id, start_line, end_line): pairs of one file whose lines meet, a before b."""
-    left = spans.select("path", F.col("id").alias("a"), F.col("start_line").alias("as"), F.col("end_line").alias("ae"))
-    right = spans.select("path", F.col("id").alias("b"), F.col("start_line").alias("bs"), F.col("end_line").alias("be"))
-    return left.join(right, "path").where("a < b and as <= be and bs <= ae").select("path", "a", "b")
+def overlapping(spans: DataFrame, band: int = 64) -> DataFrame:
+    """(path, a, b) of spans (path, id, start_line, end_line): pairs of one file whose lines meet, a before b.
+
+    Spans meet in the bands of lines that both touch and a pair counts in its first one, so that
+    a long file is no cross product of its spans.
+    """
+    first, last = F.floor(F.col("start_line") / band), F.floor(F.greatest("start_line", "end_line") / band)
+    each = spans.select("path", "id", "start_line", "end_line", F.explode(F.sequence(first, last)).alias("band"))
+    side = lambda x: each.select("path", "band", F.col("id").alias(x), F.col("start_line").alias(f"{x}s"), F.col("end_line").alias(f"{x}e"))
+    met = side("a").join(side("b"), ["path", "band"]).where("a < b and as <= be and bs <= ae")
+    return met.where(F.col("band") == F.floor(F.greatest("as", "bs") / band)).select("path", "a", "b")
 
 
 def related(packed: DataFrame, chunks: DataFrame, graph: DataFrame, budget: int = C.BUDGET) -> DataFrame:

@@ -71,6 +71,12 @@ def test_packing_drops_overlaps_caps_and_the_budget(spark):
     assert "quota" in packed(spark, [row(i, f"f{i}", 1, 2, 400) for i in range(1, 9)], budget=800, quotas={"doc": 0.5}).values()
 
 
+def test_spans_that_overlap_across_bands(spark):
+    rows = [("f", 1, 1, 300), ("f", 2, 60, 70), ("f", 3, 200, 201), ("f", 4, 301, 400), ("g", 5, 1, 300), ("f", 6, 70, 200)]
+    found = {(r["a"], r["b"]) for r in context.overlapping(spark.createDataFrame(rows, "path string, id long, start_line int, end_line int")).collect()}
+    assert found == {(1, 2), (1, 3), (1, 6), (2, 6), (3, 6)}
+
+
 def test_citations_inside_a_block_are_valid(spark):
     cited = context.citations(spark.createDataFrame([(0, "[a.py:3-9] [b.py:1-2] [a.py:1-400]")], "query_id long, text string"))
     blocks = spark.createDataFrame([(0, 7, 1, "a.py", 1, 10)], "query_id long, row_id long, rank int, path string, start_line int, end_line int")
