@@ -7,6 +7,7 @@ Intermediate results are Parquet tables below the folder that the cluster names
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -55,6 +56,16 @@ def release(before: frozenset[str] = frozenset(), keep: tuple[str, ...] = ()) ->
             remove(spark, path)
 
 
+@contextlib.contextmanager
+def scratch():
+    """Within it, tables are written as ever; at its end, those that it made are removed. What is to stay must have been written or collected."""
+    before = held()
+    try:
+        yield
+    finally:
+        release(before)
+
+
 @atexit.register
 def _remove_all() -> None:
     release()

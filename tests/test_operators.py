@@ -71,6 +71,20 @@ def test_packing_drops_overlaps_caps_and_the_budget(spark):
     assert "quota" in packed(spark, [row(i, f"f{i}", 1, 2, 400) for i in range(1, 9)], budget=800, quotas={"doc": 0.5}).values()
 
 
+def test_scratch_tables_go_when_they_are_done_with(spark):
+    from tessera.plans import storage
+
+    rows = spark.createDataFrame([(1, "cat cat dog"), (2, "dog")], "row_id long, content string")
+    before = storage.held()
+    with storage.scratch():
+        found = bm25.search(rows, spark.createDataFrame([(0, "cat")], "query_id long, query string"), 10).collect()
+        made = storage.held() - before
+    assert len(found) == 1 and made and storage.held() == before
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def test_spans_that_overlap_across_bands(spark):
     rows = [("f", 1, 1, 300), ("f", 2, 60, 70), ("f", 3, 200, 201), ("f", 4, 301, 400), ("g", 5, 1, 300), ("f", 6, 70, 200)]
     found = {(r["a"], r["b"]) for r in context.overlapping(spark.createDataFrame(rows, "path string, id long, start_line int, end_line int")).collect()}
