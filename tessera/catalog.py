@@ -13,7 +13,7 @@ from .functions import constants as C
 from .functions import text as X
 from .operators import bm25, context, evaluate, fusion, symbols, vectors
 from .plans import adapters, schema
-from .plans.session import ship
+from .plans.session import ship, together
 from .plans.storage import materialize
 
 QUERIES: dict = {}
@@ -239,7 +239,8 @@ FIRST_LINE = "string_split(content, chr(10))[1]"
 
 def two_sources(spark, d, k: int = 20) -> dict[str, DataFrame]:
     rows, q = docs(spark, d), asked(spark, d)
-    return {"body": bm25.search(rows, q, k), "head": bm25.search(rows.withColumn("head", F.substring_index("content", "\n", 1)), q, k, "head")}
+    head = rows.withColumn("head", F.substring_index("content", "\n", 1))
+    return dict(zip(("body", "head"), together(lambda: bm25.search(rows, q, k), lambda: bm25.search(head, q, k, "head")), strict=True))
 
 
 def sql_two(k: int = 20) -> str:
@@ -308,7 +309,8 @@ SWEEP_KS = (10, 30, 60)
 def four_sources(spark, d, k: int = 20) -> dict[str, DataFrame]:
     rows, q = docs(spark, d), asked(spark, d)
     ends = rows.withColumn("tail", F.element_at(F.split("content", "\n"), -1))
-    return two_sources(spark, d, k) | {"tail": bm25.search(ends, q, k, "tail"), "git": bm25.search(rows, q, k, allowed=F.col("artifact_type") == "commit")}
+    two, tail, git = together(lambda: two_sources(spark, d, k), lambda: bm25.search(ends, q, k, "tail"), lambda: bm25.search(rows, q, k, allowed=F.col("artifact_type") == "commit"))
+    return two | {"tail": tail, "git": git}
 
 
 def _sql_sweep() -> str:
