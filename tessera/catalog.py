@@ -240,7 +240,7 @@ FIRST_LINE = "string_split(content, chr(10))[1]"
 def two_sources(spark, d, k: int = 20) -> dict[str, DataFrame]:
     rows, q = docs(spark, d), asked(spark, d)
     head = rows.withColumn("head", F.substring_index("content", "\n", 1))
-    return dict(zip(("body", "head"), together(lambda: bm25.search(rows, q, k), lambda: bm25.search(head, q, k, "head")), strict=True))
+    return dict(zip(("body", "head"), together(spark, lambda: bm25.search(rows, q, k), lambda: bm25.search(head, q, k, "head")), strict=True))
 
 
 def sql_two(k: int = 20) -> str:
@@ -309,7 +309,7 @@ SWEEP_KS = (10, 30, 60)
 def four_sources(spark, d, k: int = 20) -> dict[str, DataFrame]:
     rows, q = docs(spark, d), asked(spark, d)
     ends = rows.withColumn("tail", F.element_at(F.split("content", "\n"), -1))
-    two, tail, git = together(lambda: two_sources(spark, d, k), lambda: bm25.search(ends, q, k, "tail"), lambda: bm25.search(rows, q, k, allowed=F.col("artifact_type") == "commit"))
+    two, tail, git = together(spark, lambda: two_sources(spark, d, k), lambda: bm25.search(ends, q, k, "tail"), lambda: bm25.search(rows, q, k, allowed=F.col("artifact_type") == "commit"))
     return two | {"tail": tail, "git": git}
 
 

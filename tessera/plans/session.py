@@ -23,7 +23,7 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def together(*makers: Callable[[], Any]) -> list:
+def together(spark: SparkSession, *makers: Callable[[], Any]) -> list:
     """What each of the makers returns. Their jobs are submitted side by side, so that one's few tasks leave no cores idle."""
     with ThreadPoolExecutor(max(1, len(makers))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(m)) for m in makers]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(m)) for m in makers]]
