@@ -22,7 +22,7 @@ from .common import Table
 
 LONGEST = 2048
 #: Words that a worker's cache holds.
-WORDS = 500_000
+WORDS = 300_000
 #: The tokenizer's own pre-tokens, in a lower-case text of Latin-1 characters: letters, digits, contractions, the rest.
 PRETOKENS = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾\\t-\\r \x85\xa0]+")
 #: Rows up to which the table of sequence numbers is broadcast; beyond, it is joined by a shuffle.

@@ -34,7 +34,7 @@ BITS = 64
 PART_VALUES = 1 << 21
 LEAST_CODE_BITS = 6
 #: Variants that a reducer holds at once.
-ROUND_VARIANTS = 1 << 22
+ROUND_VARIANTS = 1 << 20
 BLOCK = 1 << 15
 
 
@@ -260,9 +260,9 @@ FELLOWS = 4.0
 #: Of 128 other bits of two texts that meet, so many may differ. At similarity 0.8 some 19 do, 46 with a chance of 1e-9.
 CHECK_BITS, CHECK_MOST = 128, 46
 #: Texts and shingles of a block of texts whose sets are compared with those of another block.
-BLOCK_TEXTS, BLOCK_SHINGLES, CELLS = 2048, 1 << 20, 1 << 22
-#: Shingles that are signed at once, rows of a segment, segments of a batch.
-SIGNED, SEGMENT, SEGMENTS = 1 << 20, 256, 512
+BLOCK_TEXTS, BLOCK_SHINGLES, CELLS = 2048, 1 << 20, 1 << 21
+#: Shingles and texts that are signed at once, rows of a segment, segments of a batch.
+SIGNED, SIGNED_TEXTS, SEGMENT, SEGMENTS = 1 << 18, 2048, 256, 128
 #: Words whose hashes a task keeps.
 KNOWN_WORDS = 1 << 18
 
@@ -401,7 +401,7 @@ def signed(texts: DataFrame, words: int, copies: int, width: int) -> DataFrame:
                 marks.append(word_mark(text))
                 held.append(shingle_set(text, words, known))
                 n += len(held[-1])
-                if n >= SIGNED or i == batch.num_rows - 1:
+                if n >= SIGNED or len(held) == SIGNED_TEXTS or i == batch.num_rows - 1:
                     found = [x.tobytes() for x in signatures(held, copies, width).astype(kind)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), batch.column(1).slice(at, len(held)), pa.array(marks, pa.binary()), pa.array(found, pa.binary())], names=["id", "row", "mark", "signature"])
                     held, marks, at, n = [], [], i + 1, 0
@@ -458,15 +458,18 @@ def linked_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, sim
     order = np.argsort(member, kind="stable")
     member, owner = member[order], owner[order]
     wide = max(1, CELLS // len(sets))
-    shared = np.zeros((len(left), len(right)))
+    shared = np.zeros((len(left), len(right)), np.float32)
     for at in range(0, int(member[-1]) + 1 if len(member) else 0, wide):
         i, j = np.searchsorted(member, [at, at + wide])
         has = np.zeros((len(sets), min(wide, int(member[-1]) + 1 - at)), np.float32)
         has[owner[i:j], member[i:j] - at] = 1
         shared += has[left] @ has[right].T
-    union = sizes[left][:, None] + sizes[right][None, :] - shared
-    a, b = np.nonzero(shared >= similarity * union - 1e-9)
-    a, b = left[a], right[b]
+    found = []
+    for rows in np.array_split(np.arange(len(left)), max(1, len(left) * len(right) >> 18)):
+        both = shared[rows].astype(np.float64)  # whole numbers up to 2**24 are exact in single precision
+        a, b = np.nonzero(both >= similarity * (sizes[left[rows]][:, None] + sizes[right][None, :] - both) - 1e-9)
+        found.append((left[rows[a]], right[b]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     return a[a != b], b[a != b]
 
 
