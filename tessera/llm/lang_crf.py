@@ -36,7 +36,8 @@ WORD_CHARS = 64
 #: Words of each language's lexicon.
 LEXICON = 2000
 STEPS, RATE, DECAY = 60, 0.15, 1e-4
-#: Words of a block of rows and cells of a padded batch that a task holds at once.
+#: Rows that are read at once, words of a block of them and cells of a padded batch that a task holds.
+SLICE = 2000
 BLOCK_WORDS, BATCH_CELLS = 1_000_000, 200_000
 #: Scored words after which a worker forgets those it has.
 SEEN_WORDS = 250_000
@@ -309,7 +310,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(replace(model, seen={}, scores=None))
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             found = predict(shared.value, batch.column(1).to_pylist())
             rest = [batch.column(i) for i in range(batch.num_columns) if i != 1]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["id", *(f"keep_{i}" for i in range(len(keep))), "lang_pred", "score"])
