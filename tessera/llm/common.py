@@ -41,14 +41,14 @@ def sketched(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, str
     It is seldom true elsewhere, as long as keys are few next to SKETCH_BITS; what is false needs no look at
     keys. Only a sketch of bounded size moves to the rows.
     """
-    name, word = free_name(rows.columns, "likely_"), free_name(rows.columns, "word_")
+    name, word, bits = (free_name(rows.columns, x) for x in ("likely_", "word_", "bits_"))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(SKETCH_BITS))
     bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{c}`), 64) as int))")
     (only,) = keys.columns
-    words = keys.select(F.floor(place(F.col(only)) / 64).alias(word), bit(only).alias("bits_")).groupBy(word).agg(F.bit_or("bits_").alias("bits_"))
+    words = keys.select(F.floor(place(F.col(only)) / 64).alias(word), bit(only).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits))
     words = materialize(words, "sketch")
     marked = rows.withColumn(word, F.floor(place(F.col(key)) / 64)).join(F.broadcast(words), word, "left")
-    return marked.withColumn(name, F.coalesce(F.col("bits_").bitwiseAND(bit(key)) != 0, F.lit(False))).select(*rows.columns, name), name
+    return marked.withColumn(name, F.coalesce(F.col(bits).bitwiseAND(bit(key)) != 0, F.lit(False))).select(*rows.columns, name), name
 
 
 #: Rows of a few numbers each up to which a written table is broadcast; a larger one is shuffled.

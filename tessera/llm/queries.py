@@ -77,12 +77,33 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_duplicates
+
+    found = exact_duplicates(table(spark, sf_dir, "documents"), digests=True)
+    return found.withColumnRenamed("id", "doc_id").withColumnRenamed("digest", "text_sha256")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .centroids import cluster_sql
     from .chat import chat_sql
+    from .exact_dedup import exact_sql
     from .license_scan import scan_sql
     from .warc import warc_sql
 
@@ -90,6 +111,8 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": scan_sql(),
         "op9_chat_format": chat_sql(),
         "op6_warc": warc_sql(),
+        "op11_centroid_clustering": cluster_sql(),
+        "op13_exact_dedup": exact_sql(),
         "op7_exact_top_k": """
             WITH v AS (
               SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings

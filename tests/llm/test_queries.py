@@ -111,8 +111,8 @@ def test_op10_gives_the_text_and_its_length(spark):
     assert {r["page_id"]: r["url"] for r in rows} == urls and all(r["n_chars"] == len(r["text"]) > 0 for r in rows)
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_thirteen_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def shingles(text, n):
@@ -162,13 +162,17 @@ def test_pipeline_runs_whole(spark):
     assert p.run(spark, SF).count() > 0
 
 
+#: Names that stages use for columns of their own.
+HELPERS = ["bits_", "likely_", "word_", "bits", "key", "row", "n", "id", "fp", "part", "size", "kept", "keep_0", "digest", "score", "lang_pred", "component_id", "target", "u", "v", "length", "start"]
+
+
 @pytest.mark.parametrize("k", range(4))
 def test_a_stage_keeps_its_rows_whatever_the_number_of_executors(spark, tmp_path, k):
     import corpus_pipeline as p
 
     rows = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
     odd = spark.createDataFrame([(1, None, "en", "a", 0), (1, None, "en", "a", 0), (None, "und das hier", "de", None, 12), (3, "same text", "en", "a", 9), (3, "same text", "en", "a", 9)], rows.schema)
-    rows.unionByName(odd).withColumn("row_number_", F.lit("x")).withColumn("copies", F.lit(7)).withColumn("turns_", F.lit(None).cast("string")).repartition(8).write.parquet(str(tmp_path / "in"))
+    rows.unionByName(odd).withColumn("row_number_", F.lit("x")).withColumn("copies", F.lit(7)).withColumn("turns_", F.lit(None).cast("string")).withColumns({c: F.lit("y") for c in HELPERS}).repartition(8).write.parquet(str(tmp_path / "in"))
     docs = spark.read.parquet(str(tmp_path / "in"))
     _, stage = p.STAGES[k]
     key = "spark.sql.leafNodeDefaultParallelism"
