@@ -13,7 +13,7 @@ from .functions import constants as C
 from .functions import text as X
 from .operators import bm25, context, evaluate, fusion, symbols, vectors
 from .plans import adapters, schema
-from .plans.session import ship, together
+from .plans.session import read_spread, ship, together
 from .plans.storage import materialize
 
 QUERIES: dict = {}
@@ -31,7 +31,8 @@ def query(sql: str | None = None):
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_spread(ship(spark), path) if name in ("documents", "pages") else ship(spark).read.parquet(path)
 
 
 def docs(spark, d) -> DataFrame:
@@ -201,6 +202,17 @@ def bm25_topk(spark, d):
     return bm25.search(docs(spark, d), asked(spark, d), 10)
 
 
+@query(f"WITH {SQL_CHUNKS}, {sql_bm25('h')} SELECT query_id, row_id, score, rank FROM h")
+def bm25_saved(spark, d):
+    """The same from an index that is built, saved as a version of a knowledge base, loaded again and searched with pruning where its blocks lie."""
+    from .plans.knowledge import KnowledgeBase
+    from .plans.storage import scratch_path
+
+    rows, at = docs(spark, d), scratch_path(spark, "saved")
+    KnowledgeBase(rows, bm25.build(rows)).save(at)
+    return KnowledgeBase.load(spark, at).index.search(asked(spark, d), 10, prune=True)
+
+
 @query(f"WITH {SQL_CHUNKS}, {sql_bm25('h', allowed=chr(39).join(['artifact_type IN (', 'source', ',', 'doc', ') AND starts_with(path, ', 'src1', ')']))} SELECT query_id, row_id, score, rank FROM h")
 def bm25_masked(spark, d):
     allowed = F.col("artifact_type").isin("source", "doc") & F.col("path").startswith("src1")
@@ -308,9 +320,14 @@ SWEEP_KS = (10, 30, 60)
 
 def four_sources(spark, d, k: int = 20) -> dict[str, DataFrame]:
     rows, q = docs(spark, d), asked(spark, d)
-    ends = rows.withColumn("tail", F.element_at(F.split("content", "\n"), -1))
-    two, tail, git = together(spark, lambda: two_sources(spark, d, k), lambda: bm25.search(ends, q, k, "tail"), lambda: bm25.search(rows, q, k, allowed=F.col("artifact_type") == "commit"))
-    return two | {"tail": tail, "git": git}
+    head, tail = (rows.withColumn("line", x) for x in (F.substring_index("content", "\n", 1), F.element_at(F.split("content", "\n"), -1)))
+
+    def whole():
+        index = bm25.build(rows)  # commits are searched in it too
+        return together(spark, lambda: index.search(q, k), lambda: index.search(q, k, rows.where("artifact_type = 'commit'")))
+
+    (body, git), first, last = together(spark, whole, lambda: bm25.search(head, q, k, "line"), lambda: bm25.search(tail, q, k, "line"))
+    return {"body": body, "head": first, "tail": last, "git": git}
 
 
 def _sql_sweep() -> str:

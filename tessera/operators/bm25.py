@@ -1,7 +1,19 @@
-"""BM25 over an inverted index that is a set of tables."""
+"""BM25 over an inverted index of blocks, searched with pruning.
+
+Rows take places by their length, and WINDOW places make a window. A block holds a term's postings in one window,
+packed; its maximum is the most that any of them adds to a score for each unit of the term's weight. A search goes by bounds:
+
+1. The maxima alone bound what each query can score in each window. The windows of the highest bounds are scored,
+   and their k-th best score is a threshold that the k best rows reach.
+2. Terms whose greatest contributions add up to less than the threshold can't lift a row over it by themselves. So only
+   the postings of the other, rarer terms are read for all rows, in the windows whose bound reaches the threshold.
+3. A row stays if what it has, with the maxima of the frequent terms in its window, reaches the threshold, which may have
+   risen. Of the frequent terms only the postings of those rows are scored.
+"""
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +22,12 @@ from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions.text import exploded_tokens, tokenize
-from ..plans.storage import materialize
+from ..plans.storage import materialize, numbered
+
+#: Places of a window; windows that a query scores before it has a threshold; how far rounded sums may be off.
+WINDOW, FIRST, SLACK = 128, 2, 1e-5
+#: Postings of a batch of queries up to which bounds cost more than they save.
+PLAIN = 50_000_000
 
 
 def top(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), digits: int = 6) -> DataFrame:
@@ -20,60 +37,126 @@ def top(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), digits: in
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def contribution(tf: Column, dl: Column, avgdl: float, k1: float, b: float) -> Column:
+    """What a posting adds to a score for each unit of its term's weight."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
 @dataclass
 class Bm25Index:
-    """postings(term, row_id, tf, dl), terms(term, df) and stats(n, avgdl). Statistics cover all rows, whatever a search filters."""
+    """blocks(term, window, rows, tfs, dls), maxima(term, window, top, size), terms(term, df, top) and stats(n, avgdl, k1, b). Statistics cover all rows, whatever a search filters."""
 
-    postings: DataFrame
+    blocks: DataFrame
+    maxima: DataFrame
     terms: DataFrame
     stats: DataFrame
 
-    def search(self, queries: DataFrame, k: int, allowed: DataFrame | None = None, k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
+    @property
+    def postings(self) -> DataFrame:
+        """(term, row_id, tf, dl): the blocks unpacked."""
+        each = self.blocks.select("term", F.explode(F.arrays_zip("rows", "tfs", "dls")).alias("p"))
+        return each.select("term", F.col("p.rows").alias("row_id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
+
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        """(query_id, term, w, most, df): the terms of the queries that the index has, a repeated one a quarter heavier each time, the most that each adds to a score, and how many postings it has."""
+        n = self.stats.first()["n"]
+        terms = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        w = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (1 + C.QUERY_BOOST * (F.col("qtf") - 1))
+        return materialize(materialize(terms, "words").join(self.terms, "term").select("query_id", "term", w.alias("w"), (w * F.col("top")).alias("most"), "df"), "asked")
+
+    def _bounds(self, asked: DataFrame, name: str = "bound") -> DataFrame:
+        """(query_id, window, bound, size): the most that those terms add to a row of the window, and how many postings they have there."""
+        return self.maxima.join(asked, "term").groupBy("query_id", "window").agg(F.sum(F.col("w") * F.col("top")).alias(name), F.sum("size").alias("size"))
+
+    def _parts(self, wanted: DataFrame, k1: float, b: float, on: list[str]) -> DataFrame:
+        """(query_id, row_id, window, part) of the postings that are wanted: (query_id, term, w), with a window and maybe the only rows of it. Blocks stay where they lie: what is wanted is broadcast if it is small, or else dealt out as they are."""
+        avgdl, zipped = self.stats.first()["avgdl"], F.arrays_zip("rows", "tfs", "dls")
+        if "only" in wanted.columns:
+            zipped = F.filter(zipped, lambda p: F.array_contains("only", p["rows"]))
+        each = self.blocks.join(wanted, on).select("query_id", "window", "w", F.explode(zipped).alias("p"))
+        part = F.col("w") * contribution(F.col("p.tfs"), F.col("p.dls"), avgdl, k1, b)
+        return each.select("query_id", F.col("p.rows").alias("row_id"), "window", part.alias("part"))
+
+    def search(self, queries: DataFrame, k: int, allowed: DataFrame | None = None, k1: float | None = None, b: float | None = None, prune: bool | None = None) -> DataFrame:
         """(query_id, row_id, score, rank): the k best rows of each query (query_id, query) with a positive score.
 
-        allowed (row_id) keeps its rows only and leaves the statistics as they are. A query term
-        that repeats weighs a quarter more each time.
+        allowed (row_id) keeps its rows only and leaves the statistics as they are. prune is about the work, not
+        the result: by default queries whose terms have no more than PLAIN postings together are scored in one join.
+        The maxima hold for the k1 and b that the index was built with; with others every posting is scored.
         """
-        asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        postings = self.postings if allowed is None else self.postings.join(allowed.select("row_id"), "row_id", "left_semi")
-        n, avgdl = F.col("n"), F.col("avgdl")
-        weighted = asked.join(self.terms, "term").crossJoin(F.broadcast(self.stats))  # stats is one row
-        weighted = weighted.select("query_id", "term", "avgdl", (F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (1 + C.QUERY_BOOST * (F.col("qtf") - 1))).alias("w"))
-        # The postings are a table, so that a frequent term's list can be split here.
-        norm = k1 * (1 - b + b * F.col("dl") / avgdl)
-        part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-        scored = weighted.join(postings, "term").groupBy("query_id", "row_id").agg(F.sum(part).alias("score"))
-        return top(scored, k).where("score > 0")
-
-
-def build(rows: DataFrame, text: str = "content", within: DataFrame | None = None) -> Bm25Index:
-    """An index of rows (row_id, text). within (term) keeps postings of those terms only; statistics are the same.
-
-    Texts are read and tokenised once; what comes of it is written, and lengths, counts and
-    statistics are made of that. Postings are a written table, so that a frequent term's list can
-    be split among tasks where a search joins it.
+        return top(self._scores(queries, k, allowed, k1, b, prune, []), k).where("score > 0")
+
+    def _scores(self, queries: DataFrame, k: int, allowed: DataFrame | None, k1: float | None, b: float | None, prune: bool | None, read: list[DataFrame]) -> DataFrame:
+        """(query_id, row_id, score) of every row that may be among the k best. read takes the tables of postings that are looked at."""
+        own = self.stats.first()
+        given = (own["k1"] if k1 is None else k1, own["b"] if b is None else b)
+        asked = self._asked(queries)
+
+        def scored(wanted: DataFrame, on: list[str]) -> DataFrame:
+            rows = self._parts(wanted, *given, on)
+            read.append(rows)
+            return rows if allowed is None else rows.join(allowed.select("row_id"), "row_id", "left_semi")
+
+        whole = lambda rows: rows.groupBy("query_id", "row_id").agg(F.sum("part").alias("score"))
+        if prune is None:
+            prune = (asked.agg(F.sum("df")).first()[0] or 0) > PLAIN
+        asked = asked.drop("df")
+        if not prune or given != (own["k1"], own["b"]):
+            return whole(scored(asked.drop("most"), ["term"]))
+        bounds = materialize(self._bounds(asked), "bounds")
+        best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "window")
+        ranked = bounds.withColumn("nth", F.row_number().over(best))
+        at = lambda terms, windows: materialize(terms.select("query_id", "term", "w").join(windows, "query_id"), "wanted")
+        early = materialize(whole(scored(at(asked, ranked.where(F.col("nth") <= FIRST).select("query_id", "window")), ["term", "window"])), "early")
+
+        def threshold(rows: DataFrame) -> DataFrame:
+            return top(rows, k).where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("limit"))
+
+        # A query that has found fewer than k rows has no threshold yet: every term of it counts as rare, every window as likely.
+        rising = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+        roles = materialize(asked.join(threshold(early), "query_id", "left").withColumn("frequent", F.coalesce(F.sum("most").over(rising) < F.col("limit"), F.lit(False))), "roles")
+        rare, frequent = roles.where("not frequent"), roles.where("frequent")
+        limit = roles.select("query_id", F.coalesce("limit", F.lit(float("-inf"))).alias("limit")).distinct()
+        likely = materialize(ranked.where(F.col("nth") > FIRST).join(limit, "query_id").where(F.col("bound") >= F.col("limit")).select("query_id", "window"), "likely")
+        some = materialize(scored(at(rare, likely), ["term", "window"]).groupBy("query_id", "row_id", "window").agg(F.sum("part").alias("part")), "some")
+        # What rows have of the rare terms alone may raise the threshold.
+        higher = threshold(early.unionByName(whole(some)))
+        reach = some.join(self._bounds(frequent, "rest").drop("size"), ["query_id", "window"], "left").join(higher, "query_id", "left")
+        kept = materialize(reach.where(F.col("limit").isNull() | (F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("limit"))).select(*some.columns), "kept")
+        only = kept.groupBy("query_id", "window").agg(F.collect_list("row_id").alias("only"))  # no more than a window has
+        more = scored(at(frequent, only), ["term", "window"])
+        return early.unionByName(whole(kept.unionByName(more.select(*kept.columns))))
+
+    def pruning(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, postings, postings_read): how many postings the terms of each query have and how many of them a pruned search for the k best scores."""
+        read: list[DataFrame] = []
+        self._scores(queries, k, None, None, None, True, read)
+        every = self._bounds(self._asked(queries)).groupBy("query_id").agg(F.sum("size").alias("postings"))
+        seen = functools.reduce(DataFrame.unionByName, [r.select("query_id") for r in read]).groupBy("query_id").agg(F.count("*").alias("postings_read"))
+        return every.join(seen, "query_id").select("query_id", "postings", "postings_read")
+
+
+def build(rows: DataFrame, text: str = "content", k1: float = C.BM25_K1, b: float = C.BM25_B, window: int = WINDOW) -> Bm25Index:
+    """An index of all terms of rows (row_id, text).
+
+    Texts are read and tokenised once; what comes of it is written, and lengths, places, blocks and
+    statistics are made of that. Rows of like length lie in one window, so that its maxima are close
+    to what they bound. No group is larger than a window.
     """
     n = rows.count()
-    tokens = exploded_tokens(rows, ["row_id"], text)
-    if within is None:
-        counts = materialize(tokens.groupBy("row_id", "term").agg(F.count("*").alias("tf")), "terms")
-        lengths = counts.groupBy("row_id").agg(F.sum("tf").alias("dl"))
-        postings = counts.join(lengths, "row_id")
-    else:
-        # One row for each text: its length and those of its tokens that are asked for.
-        asked = materialize(within.select("term").distinct().withColumn("asked", F.lit(True)), "asked")
-        own = tokens.join(asked, "term", "left").groupBy("row_id").agg(F.count("*").alias("dl"), F.collect_list(F.when(F.col("asked"), F.col("term"))).alias("terms"))
-        lengths = materialize(own, "lengths")
-        postings = lengths.select("row_id", "dl", F.explode("terms").alias("term")).groupBy("term", "row_id", "dl").agg(F.count("*").alias("tf"))
-    postings = materialize(postings.select("term", "row_id", F.col("dl").cast("int").alias("dl"), "tf"), "postings")
-    # Texts without tokens count, with no length.
-    mean = F.coalesce(F.sum("dl"), F.lit(0)) / F.lit(float(max(1, n)))
-    stats = lengths.agg(F.lit(n).cast("long").alias("n"), F.when(mean > 0, mean).otherwise(1.0).alias("avgdl"))
-    return Bm25Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
+    counts = materialize(exploded_tokens(rows, ["row_id"], text).groupBy("row_id", "term").agg(F.count("*").cast("int").alias("tf")), "counts")
+    lengths = counts.groupBy("row_id").agg(F.sum("tf").cast("int").alias("dl"))
+    places = materialize(numbered(lengths, ["dl", "row_id"], "place").select("row_id", "dl", F.floor((F.col("place") - 1) / window).alias("window")), "places")
+    mean = (places.agg(F.sum("dl")).first()[0] or 0) / max(1, n)  # texts without tokens count, with no length
+    avgdl = mean if mean > 0 else 1.0
+    packed = counts.join(places, "row_id").groupBy("term", "window").agg(F.array_sort(F.collect_list(F.struct("row_id", "tf", "dl"))).alias("p"), F.max(contribution(F.col("tf"), F.col("dl"), avgdl, k1, b)).alias("top"))
+    blocks = materialize(packed.select("term", "window", "top", F.col("p.row_id").alias("rows"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls")), "blocks")
+    maxima = blocks.select("term", "window", "top", F.size("rows").alias("size"))
+    terms = maxima.groupBy("term").agg(F.sum("size").alias("df"), F.max("top").alias("top"))
+    stats = rows.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(float(avgdl)).alias("avgdl"), F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"))
+    return Bm25Index(blocks.drop("top"), maxima, materialize(terms, "terms"), stats)
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int, text: str = "content", allowed: Column | None = None) -> DataFrame:
-    """Builds what the queries need of an index of rows and searches it; allowed is a predicate on rows."""
-    terms = queries.select(F.explode(tokenize(F.col("query"))).alias("term"))
-    index = build(rows, text, terms)
-    return index.search(queries, k, None if allowed is None else rows.where(allowed))
+    """Builds an index of rows and searches it; allowed is a predicate on rows."""
+    return build(rows, text).search(queries, k, None if allowed is None else rows.where(allowed))

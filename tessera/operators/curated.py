@@ -9,7 +9,7 @@ from ..plans.schema import QUESTION
 
 #: (question, category, difficulty, expected answer, gold files)
 QUESTIONS = (
-    ("Where are the postings of the inverted index built?", "code_lookup", "single_hop", "bm25.build tokenises once and writes the postings as a table.", ["tessera/operators/bm25.py"]),
+    ("Where are the postings of the inverted index built?", "code_lookup", "single_hop", "bm25.build tokenises once and packs the postings into blocks with their maxima.", ["tessera/operators/bm25.py"]),
     ("Which function splits an identifier into its camel and snake parts?", "code_lookup", "single_hop", "subtokens in the text functions.", ["tessera/functions/text.py"]),
     ("How does a hit get from the sources to a fused rank?", "architecture", "multi_hop", "The knowledge base asks each source, fusion tags, fuses and ranks the hits.", ["tessera/plans/knowledge.py", "tessera/operators/fusion.py"]),
     ("What happens between a question and its checked citations?", "architecture", "multi_hop", "The engine searches, packs evidence, asks a model and checks what it cites.", ["tessera/engine.py", "tessera/operators/context.py", "tessera/operators/generation.py"]),

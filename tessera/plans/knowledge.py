@@ -15,9 +15,12 @@ from ..config import Config
 from ..operators import bm25, chunking, fusion, symbols, vectors
 from ..sources import files, git
 from .schema import first_wins, indexed_text, with_columns
-from .storage import materialize
+from .storage import materialize, numbered, read_bucketed, write_bucketed
 
-TABLES = ("chunks", "postings", "terms", "stats", "vectors", "symbols", "edges")
+TABLES = ("chunks", "blocks", "maxima", "terms", "stats", "vectors", "symbols", "edges")
+
+#: Blocks of a bucket, as far as the session's shuffle partitions don't make more buckets.
+BLOCKS_A_BUCKET = 1 << 20
 
 
 def ingest(spark: SparkSession, root: str, config: Config) -> DataFrame:
@@ -34,22 +37,6 @@ def ingest(spark: SparkSession, root: str, config: Config) -> DataFrame:
     return numbered(unique.drop("row_id"), ["path", "start_line", "end_line", "qualified_name", "content"])
 
 
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with row_id, their place from 1 in that order.
-
-    A range partitioning orders the partitions, each numbers its own rows, and only the number of
-    rows of each partition is gathered.
-    """
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    table = materialize(sorted_.select(F.spark_partition_id().alias("part_"), F.monotonically_increasing_id().alias("at_"), "*"), "numbered")
-    shifts, total = [F.lit(-1), F.lit(0).cast("long")], 1
-    for r in table.groupBy("part_").agg(F.count("*").alias("n"), F.min("at_").alias("first")).orderBy("part_").collect():
-        shifts += [F.lit(r["part_"]), F.lit(total - r["first"]).cast("long")]
-        total += r["n"]
-    place = F.col("at_") + F.element_at(F.create_map(*shifts), F.col("part_"))
-    return table.select(place.alias("row_id"), *rows.columns)
-
-
 def touches(path: str) -> Column:
     """Whether a commit changed a file whose path has that in it."""
     return F.exists("files_changed", lambda f: F.contains(f, F.lit(path)))
@@ -86,15 +73,17 @@ class KnowledgeBase:
         at = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
         parts = {"chunks": self.chunks, "vectors": self.vectors, "symbols": self.symbols, "edges": self.edges}
         if self.index is not None:
-            parts |= {"postings": self.index.postings, "terms": self.index.terms, "stats": self.index.stats}
-        seconds = {}
+            parts |= {"blocks": self.index.blocks, "maxima": self.index.maxima, "terms": self.index.terms, "stats": self.index.stats}
+        seconds, buckets = {}, 0
         for name, df in parts.items():
             if df is not None:
                 start = time.time()
-                # Postings lie by term, so that a search reads the row groups of its terms only.
-                (df.repartitionByRange("term").sortWithinPartitions("term") if name == "postings" else df).write.parquet(f"{at}/{name}")
+                if name == "blocks":
+                    buckets = write_bucketed(df, f"{at}/{name}", ("term", "window"), BLOCKS_A_BUCKET)
+                else:  # maxima and terms lie by term, so that a search reads the row groups of its terms only
+                    (df.repartitionByRange("term").sortWithinPartitions("term") if name in ("maxima", "terms") else df).write.parquet(f"{at}/{name}")
                 seconds[name] = round(time.time() - start, 3)
-        meta = self.meta | {"tables": sorted(seconds), "seconds": seconds, "total_seconds": round(time.time() - began, 3), "built_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
+        meta = self.meta | {"tables": sorted(seconds), "buckets": buckets, "seconds": seconds, "total_seconds": round(time.time() - began, 3), "built_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
         _write(spark, f"{at}/meta.json", json.dumps(meta))
         newest = _pointers(spark, folder)
         _write(spark, f"{folder.rstrip('/')}/current-{(newest[-1][0] if newest else 0) + 1:09d}", at)
@@ -108,7 +97,9 @@ class KnowledgeBase:
         if "chunks" not in meta.get("tables", []):
             raise FileNotFoundError(f"no chunks in {at}")
         get = lambda name: spark.read.parquet(f"{at}/{name}") if name in meta["tables"] else None
-        index = bm25.Bm25Index(get("postings"), get("terms"), get("stats")) if "postings" in meta["tables"] else None
+        index = None
+        if "blocks" in meta["tables"]:
+            index = bm25.Bm25Index(read_bucketed(spark, f"{at}/blocks", ("term", "window"), meta["buckets"]), get("maxima"), get("terms"), get("stats"))
         return cls(get("chunks"), index, get("vectors") if with_vectors else None, get("symbols"), get("edges"), meta)
 
     def by(self, column: str, *values: str) -> DataFrame:

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -27,3 +27,14 @@ def together(spark: SparkSession, *makers: Callable[[], Any]) -> list:
     """What each of the makers returns. Their jobs are submitted side by side, so that one's few tasks leave no cores idle."""
     with ThreadPoolExecutor(max(1, len(makers))) as pool:
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(m)) for m in makers]]
+
+
+#: Bytes of a table up to which a scan may lie in fewer row groups than there are cores.
+FEW_BYTES = 1 << 30
+
+
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, dealt to all cores if it is small: a small file is one row group, which one task would work on alone. A larger table is read as it lies."""
+    found, where = spark.read.parquet(path), spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return found.repartition(spark.sparkContext.defaultParallelism) if size <= FEW_BYTES else found

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import hashlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The folder of each session that names none.
 _own: dict[str, str] = {}
@@ -94,3 +96,49 @@ class Table:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
+
+
+#: Rows of a few numbers each up to which a written table is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has no more than BROADCAST_ROWS of them."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
+    """rows with a column of their places from 1 in that order.
+
+    A range partitioning orders the partitions, each numbers its own rows, and only the number of
+    rows of each partition is gathered.
+    """
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    table = materialize(sorted_.select(F.spark_partition_id().alias("part_"), F.monotonically_increasing_id().alias("at_"), "*"), "numbered")
+    shifts, total = [F.lit(-1), F.lit(0).cast("long")], 1
+    for r in table.groupBy("part_").agg(F.count("*").alias("n"), F.min("at_").alias("first")).orderBy("part_").collect():
+        shifts += [F.lit(r["part_"]), F.lit(total - r["first"]).cast("long")]
+        total += r["n"]
+    place = F.col("at_") + F.element_at(F.create_map(*shifts), F.col("part_"))
+    return table.select(place.alias(name), *rows.columns)
+
+
+def _bucketed_name(path: str) -> str:
+    return f"tessera_{hashlib.sha1(path.encode()).hexdigest()[:16]}"
+
+
+def write_bucketed(df: DataFrame, path: str, by: tuple[str, ...], rows_a_bucket: int) -> int:
+    """Writes a table hash-bucketed and sorted by some columns; returns the number of buckets. One task writes a bucket, as one file."""
+    spark = df.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_a_bucket))
+    df.repartition(buckets, *by).write.format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(_bucketed_name(path))
+    return buckets
+
+
+def read_bucketed(spark: SparkSession, path: str, by: tuple[str, ...], buckets: int) -> DataFrame:
+    """A table of write_bucketed, in any session: a join on those columns takes its rows as they lie."""
+    name, keys = _bucketed_name(path), ", ".join(by)
+    if not spark.catalog.tableExists(name):
+        columns = spark.read.parquet(path).schema.toDDL()
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import subprocess
+import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 RECORD, FIELD = "\x1e", "\x1f"
 #: The body ends in a field mark of its own, so that all of its lines are kept.
@@ -38,25 +40,83 @@ def parse(record: str, most: int) -> tuple:
     return (sha.strip(), author, when, subject, body.strip(), files, diff[:most])
 
 
-class _Reader(DataSourceReader):
+def git(path: str, *args: str) -> str:
+    """What a git command prints; RuntimeError with what it says if it fails."""
+    done = subprocess.run(["git", "-C", path, *args], capture_output=True, text=True, errors="replace")
+    if done.returncode:
+        raise RuntimeError(f"git {args[0]} in {path} ended with {done.returncode}: {done.stderr.strip()[:500]}")
+    return done.stdout
+
+
+@dataclass
+class Span(InputPartition):
+    """Commits that one task reads."""
+
+    commits: list[str]
+
+
+class _History:
+    """What the batch and the stream reader share: commits are listed once, and tasks read spans of them."""
+
     def __init__(self, options: dict):
         self.options = options
 
-    def partitions(self):
-        return [InputPartition(0)]  # one process reads the whole history
+    def spans(self, *revisions: str) -> list[Span]:
+        o = self.options
+        which = [] if o.get("merges", "false") == "true" else ["--no-merges"]
+        most = [f"--max-count={o.get('maxcommits', '3000')}"]
+        found = git(o["path"], "rev-list", *which, *most, *revisions, "--").split()
+        size = max(1, int(o.get("span", "200")))
+        return [Span(found[at : at + size]) for at in range(0, len(found), size)] or [Span([])]
 
-    def read(self, partition):
+    def read(self, partition: Span) -> Iterator[tuple]:
         o = self.options
-        command = ["git", "-C", o["path"], "log", f"--max-count={o.get('maxcommits', '3000')}", f"--format={FORMAT}", "--raw", "--no-abbrev"]
+        if not partition.commits:
+            return
+        command = ["git", "-C", o["path"], "log", "--no-walk=unsorted", "--stdin", f"--format={FORMAT}", "--raw", "--no-abbrev"]
         command += ["--patch"] if o.get("patch", "true") == "true" else []
-        command += [] if o.get("merges", "false") == "true" else ["--no-merges"]
-        with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, errors="replace") as run:
-            for record in records(run.stdout):
-                yield parse(record, int(o.get("maxdiff", "4000")))
+        with tempfile.TemporaryFile("w+") as asked, tempfile.TemporaryFile("w+") as said:
+            asked.write("".join(f"{c}\n" for c in partition.commits))
+            asked.seek(0)
+            n = 0
+            with subprocess.Popen(command, stdin=asked, stdout=subprocess.PIPE, stderr=said, text=True, errors="replace") as run:
+                for record in records(run.stdout):
+                    n += 1
+                    yield parse(record, int(o.get("maxdiff", "4000")))
+            if run.returncode or n != len(partition.commits):
+                said.seek(0)
+                raise RuntimeError(f"git log in {o['path']} ended with {run.returncode} after {n} of {len(partition.commits)} commits: {said.read(500).strip()}")
+
+
+class _Reader(_History, DataSourceReader):
+    def partitions(self):
+        # A repository without a commit is empty; anything else that has no head is an error.
+        git(self.options["path"], "rev-parse", "--git-dir")
+        return [Span([])] if head(self.options["path"]) == "unknown" else self.spans("HEAD")
+
+
+class _Stream(_History, DataSourceStreamReader):
+    """Offsets are commits: a batch has what the newer one reaches and the older one doesn't."""
+
+    def initialOffset(self):
+        return {"commit": ""}
+
+    def latestOffset(self):
+        git(self.options["path"], "rev-parse", "--git-dir")
+        found = head(self.options["path"])
+        return {"commit": "" if found == "unknown" else found}
+
+    def partitions(self, start, end):
+        if not end["commit"] or start == end:
+            return [Span([])]
+        return self.spans(end["commit"], *([f"^{start['commit']}"] if start["commit"] else []))
 
 
 class Commits(DataSource):
-    """Options: path, maxCommits, maxDiff (characters), patch, merges."""
+    """Options: path (a folder that driver and executors share), maxCommits, maxDiff (characters), patch, merges, span (commits of a task).
+
+    spark.read has the history of HEAD, spark.readStream what is committed from batch to batch.
+    """
 
     @classmethod
     def name(cls):
@@ -65,8 +125,14 @@ class Commits(DataSource):
     def schema(self):
         return SCHEMA
 
+    def _options(self) -> dict:
+        return {k.lower(): v for k, v in self.options.items()}
+
     def reader(self, schema):
-        return _Reader({k.lower(): v for k, v in self.options.items()})
+        return _Reader(self._options())
+
+    def streamReader(self, schema):
+        return _Stream(self._options())
 
 
 def register(spark: SparkSession) -> None:
