@@ -161,6 +161,15 @@ def symbol_fuzzy(spark, d):
     return symbols.close_names(names, rows.select(F.lower("symbol").alias("key")), 3)
 
 
+@query(f"""WITH {SQL_SYMBOLS}, a AS (SELECT DISTINCT CASE WHEN row_id % 3 = 0 THEN upper(e) WHEN row_id % 7 = 0 THEN qualified_name ELSE e END AS name FROM (SELECT *, right(qualified_name, (4 + row_id % 23)::INT) AS e FROM symbols))
+SELECT name, coalesce(min(row_id) FILTER (qualified_name = name), min(row_id)) AS row_id FROM a JOIN symbols ON ends_with(lower(qualified_name), lower(name)) GROUP BY 1""")
+def definition_by_suffix(spark, d):
+    """The first symbol that is each name or ends with it, for ends of 4 to 26 characters of every symbol."""
+    rows = adapters.symbols(load(spark, d, "part"))
+    end = F.right("qualified_name", (4 + F.col("row_id") % 23).cast("int"))
+    return symbols.definition_of(rows, rows.select(F.when(F.col("row_id") % 3 == 0, F.upper(end)).when(F.col("row_id") % 7 == 0, F.col("qualified_name")).otherwise(end).alias("name")))
+
+
 def sql_extract(text: str) -> str:
     b, e = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
     lists = [f"regexp_extract_all({text}, '{p.replace('{b}', b).replace('{e}', e)}', 1)" for p in C.SYMBOL_PATTERNS]
@@ -441,6 +450,54 @@ def html_sections(spark, d):
     return rows.select("page_id", (F.col("p") + 1).alias("pos"), "h.level", "h.title", F.array_join("h.path", " > ").alias("path"), F.sha1(F.col("h.body").cast("binary")).alias("digest"))
 
 
+SQL_PATHS = """p AS (SELECT i.doc_id, i.ln, string_agg(j.title, ' > ' ORDER BY j.ln) AS path FROM h i JOIN h j ON j.doc_id = i.doc_id AND j.ln <= i.ln
+  WHERE NOT EXISTS (SELECT 1 FROM h k WHERE k.doc_id = i.doc_id AND k.ln > j.ln AND k.ln <= i.ln AND k.level <= j.level) GROUP BY 1, 2),
+c AS (SELECT doc_id, ln AS first, path FROM p UNION ALL SELECT doc_id, 1, '' FROM l), s AS (SELECT *, lead(first) OVER (PARTITION BY doc_id ORDER BY first, path <> '') AS next FROM c)
+SELECT s.doc_id, first::INT AS first, (coalesce(next, len(lines) + 1) - 1)::INT AS last, path, sha1(array_to_string(lines[first:coalesce(next, len(lines) + 1) - 1], chr(10))) AS digest
+FROM s JOIN l USING (doc_id) WHERE coalesce(next, len(lines) + 1) > first"""
+
+
+def _sections(spark, d, marked, find):
+    from .operators.chunking import sections
+
+    # Sentences are lines; every so often one is made a heading, a fence or a title's underline.
+    lines = F.split(F.replace(F.col("text"), F.lit(". "), F.lit(".\n")), "\n")
+    rows = load(spark, d, "documents").select("doc_id", F.array_join(F.flatten(F.transform(lines, lambda x, i: marked(x, F.col("doc_id") + i))), "\n").alias("text"))
+    found = sections(rows, "text", find)
+    return found.select("doc_id", "first", "last", F.array_join("heading_path", " > ").alias("path"), F.sha1(F.col("section").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, flatten(list_transform(string_split(replace(text, '. ', '.' || chr(10)), chr(10)), lambda x, i:
+  CASE WHEN (doc_id + i - 1) % 11 = 7 THEN ['  ```py', x] WHEN (doc_id + i - 1) % 3 = 1 THEN [repeat('#', ((doc_id + i - 1) % 4 + 1)::INT) || ' ' || x || ' ##'] ELSE [x] END)) AS lines FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) AS ln FROM l), f AS (SELECT *, sum((x LIKE '  ```%')::INT) OVER (PARTITION BY doc_id ORDER BY ln) AS fences FROM x),
+h AS (SELECT doc_id, ln, length(regexp_extract(x, '^(#+) ', 1)) AS level, regexp_extract(x, '(?s)^#+\\s+(.*?)\\s*#*\\s*$', 1) AS title FROM f WHERE fences % 2 = 0 AND regexp_matches(x, '^#{{1,6}}\\s')), {SQL_PATHS}""")
+def markdown_sections(spark, d):
+    """Sections of every text turned into Markdown, with headings of four levels and open and closed fences."""
+    from .operators.chunking import markdown_sections as find
+
+    def marked(x, n):
+        heading = F.concat(F.repeat(F.lit("#"), (n % 4 + 1).cast("int")), F.lit(" "), x, F.lit(" ##"))
+        return F.when(n % 11 == 7, F.array(F.lit("  ```py"), x)).when(n % 3 == 1, F.array(heading)).otherwise(F.array(x))
+
+    return _sections(spark, d, marked, find)
+
+
+@query(f"""WITH l AS (SELECT doc_id, flatten(list_transform(string_split(replace(text, '. ', '.' || chr(10)), chr(10)), lambda x, i:
+  CASE WHEN (doc_id + i - 1) % 3 = 1 THEN [x, repeat(['=', '-', '~', '^'][((doc_id + i - 1) % 4 + 1)::INT], greatest(length(x), 2)::INT)] ELSE [x] END)) AS lines FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, trim(x) AS title, lead(x) OVER (PARTITION BY doc_id ORDER BY ln) AS under, ln FROM (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) AS ln FROM l)),
+t AS (SELECT doc_id, ln, title, under[1] AS mark FROM x WHERE title <> '' AND length(under) >= greatest(3, length(title) - 2) AND regexp_matches(under, '^(=+|-+|~+|\\^+|\\.+)$') AND NOT regexp_matches(title, '^(=+|-+|~+|\\^+|\\.+)$')),
+k AS (SELECT *, min(ln) OVER (PARTITION BY doc_id, mark) AS seen FROM t), h AS (SELECT doc_id, ln, title, dense_rank() OVER (PARTITION BY doc_id ORDER BY seen) AS level FROM k), {SQL_PATHS}""")
+def rst_sections(spark, d):
+    """Sections of every text turned into reST, with titles of four marks."""
+    from .operators.chunking import rst_sections as find
+
+    def marked(x, n):
+        mark = F.element_at(F.array(*map(F.lit, "=-~^")), (n % 4 + 1).cast("int"))
+        return F.when(n % 3 == 1, F.array(x, F.repeat(mark, F.greatest(F.length(x), F.lit(2))))).otherwise(F.array(x))
+
+    return _sections(spark, d, marked, find)
+
+
 @query("SELECT ['doc', 'test', 'config', 'commit', 'source'][(doc_id % 5 + 1)::INT] AS artifact_type, CASE WHEN doc_id % 4 = 0 THEN 'none' ELSE source END AS symbol_type, count(*) AS n FROM documents GROUP BY 1, 2")
 def ingest_stats(spark, d):
     from .plans.knowledge import statistics
@@ -495,6 +552,13 @@ def same_file_neighbours(spark, d):
     return symbols.neighbours(rows, rows.select(F.col("chunk_id").alias("id")))
 
 
+@query(f"WITH {SQL_GRAPH} SELECT a.chunk_id AS id, b.chunk_id AS other FROM g a JOIN g b USING (path) WHERE a.chunk_id <> b.chunk_id QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY b.row_id) <= 5")
+def nearest_neighbours(spark, d):
+    """The first five other chunks of each chunk's file."""
+    rows = graph_chunks(spark, d)
+    return symbols.neighbours(rows, rows.select(F.col("chunk_id").alias("id")), k=5)
+
+
 @query(f"""WITH {sql_windows(12, 3)}, w AS (SELECT doc_id AS path, doc_id * 1000 + start_line AS id, start_line, end_line FROM windows)
 SELECT a.path, a.id AS a, b.id AS b FROM w a JOIN w b ON a.path = b.path AND a.id < b.id AND a.start_line <= b.end_line AND b.start_line <= a.end_line""")
 def overlap_pairs(spark, d):

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_test_path
+from ..plans.storage import scratch_path
 
 CONFIG_SUFFIXES = ("yaml", "yml", "toml", "json", "cfg", "ini")
 LINES, OVERLAP, LEAST = 220, 20, 60
@@ -38,7 +39,7 @@ def cut_at_blanks(text: Column, limit: int = DOC_MOST) -> Column:
 
     def step(acc, line):
         size, at = acc["size"] + F.length(line) + 1, acc["at"] + 1
-        here = (size >= limit) & (F.trim(line) == "")
+        here = (size >= limit) & line.rlike(r"^\s*$")
         return F.struct(F.when(here, 0).otherwise(size).alias("size"), at.alias("at"), F.when(here, F.concat(acc["cuts"], F.array(at))).otherwise(acc["cuts"]).alias("cuts"))
 
     return F.when(F.length(text) <= limit, F.array().cast("array<int>")).otherwise(F.aggregate(lines, start, step, lambda acc: acc["cuts"]))
@@ -54,7 +55,7 @@ def section_pieces(df: DataFrame, text: str = "content", limit: int = DOC_MOST)
     ends = F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("cuts_")).alias("a"), F.concat(F.col("cuts_"), F.array(F.size("lines_"))).alias("b"))
     each = base.withColumn("p_", F.explode(ends)).withColumn("a_", F.col("p_.a")).withColumn("b_", F.col("p_.b")).where("a_ < b_")
     own = F.slice(F.col("lines_"), F.col("a_") + 1, F.col("b_") - F.col("a_"))
-    written = F.exists(own, lambda x: F.trim(x) != "")
+    written = F.exists(own, lambda x: ~x.rlike(r"^\s*$"))
     each = each.where(F.col("short_") | F.array_contains("cuts_", F.col("b_")) | written)
     chars = F.aggregate(own, F.lit(0), lambda n, x: n + F.length(x)) + F.col("b_") - F.col("a_") - 1
     n = F.col("b_") - F.col("a_")
@@ -184,94 +185,117 @@ def python_chunks(path: str, source: str, limit: int = LINES, overlap: int = OVE
     return [r for r in found if len(r["content"].strip()) >= least]
 
 
-def markdown_sections(lines: list[str]) -> list[tuple[int, int, list[str]]]:
-    """(first line, last line, heading path) of each section; headings inside fences are text, what stands before the first is a section without a path."""
-    cuts, stack, fenced = [(1, [])], [], False
-    for i, line in enumerate(lines, 1):
-        if line.lstrip().startswith(("```", "~~~")):
-            fenced = not fenced
-        m = None if fenced else re.match(r"(#{1,6})\s+(.*?)\s*#*\s*$", line)
-        if m:
-            stack = [x for x in stack if x[0] < len(m[1])] + [(len(m[1]), m[2])]
-            cuts.append((i, [t for _, t in stack]))
-    ends = [at - 1 for at, _ in cuts[1:]] + [len(lines)]
-    return [(at, end, path) for (at, path), end in zip(cuts, ends, strict=True) if end >= at]
-
-
-def rst_sections(lines: list[str]) -> list[tuple[int, int, list[str]]]:
-    """The same for reST: a title has a line of one punctuation mark below it, levels go by the mark's first use."""
-    cuts, stack, marks = [(1, [])], [], []
-    for i in range(1, len(lines)):
-        title, under = lines[i - 1].strip(), lines[i].rstrip()
-        if title and len(under) >= max(3, len(title) - 2) and len(set(under)) == 1 and under[0] in "=-~^\"'`#*+.:_" and not re.fullmatch(r"(\W)\1*", title):
-            if under[0] not in marks:
-                marks.append(under[0])
-            level = marks.index(under[0])
-            stack = [x for x in stack if x[0] < level] + [(level, title)]
-            cuts.append((i, [t for _, t in stack]))
-    ends = [at - 1 for at, _ in cuts[1:]] + [len(lines)]
-    return [(at, end, path) for (at, path), end in zip(cuts, ends, strict=True) if end >= at]
-
-
-def cut_section(start: int, lines: list[str], most: int = DOC_MOST) -> list[tuple[int, list[str]]]:
-    """A long section in pieces: after blank lines once a piece has most characters, and evenly where one still has over twice that."""
-    if sum(map(len, lines)) + len(lines) - 1 <= most:
-        return [(start, lines)]
-    pieces, at, size = [], 0, 0
-    for i, line in enumerate(lines):
-        size += len(line) + 1
-        if size >= most and not line.strip():
-            pieces.append((at, i + 1))
-            at, size = i + 1, 0
-    if any(x.strip() for x in lines[at:]):
-        pieces.append((at, len(lines)))
-    out = []
-    for a, b in pieces:
-        chars = sum(map(len, lines[a:b])) + b - a - 1
-        step = b - a if chars <= 2 * most else max((b - a) // (chars // most + 1), 1)
-        out += [(start + i, lines[i : min(i + step, b)]) for i in range(a, b, step)]
-    return out
-
-
-def document_chunks(path: str, source: str, most: int = DOC_MOST, least: int = DOC_LEAST) -> list[dict]:
-    rst = path.endswith(".rst")
-    lines = source.split("\n")
-    out = []
-    for start, end, heads in (rst_sections if rst else markdown_sections)(lines):
-        for at, some in cut_section(start, lines[start - 1 : end], most):
-            text = "\n".join(some)
-            if len(text.strip()) >= least:
-                out.append({"path": path, "language": "rst" if rst else "markdown", "start_line": at, "end_line": at + len(some) - 1, "content": text, "symbol": heads[-1] if heads else None, "symbol_type": "section", "qualified_name": " > ".join(heads) or None, "heading_path": heads})
-    return out
-
-
-def config_chunks(path: str, source: str, limit: int = LINES, least: int = LEAST) -> list[dict]:
-    rows = [{"path": path, "language": path.rsplit(".", 1)[-1], "start_line": at, "end_line": at + len(some) - 1, "content": "\n".join(some), "symbol_type": "file"} for at, some in split_long(1, source.split("\n"), limit, 0)]
-    return [r for r in rows if len(r["content"].strip()) >= least]
-
-
-def parse_file(path: str, source: str) -> list[dict]:
-    """Chunks of one file by its suffix; an unknown suffix has none."""
-    suffix = path.rsplit(".", 1)[-1].lower()
-    source = re.sub(r"\r\n?", "\n", source)
-    if suffix == "py":
-        return python_chunks(path, source)
-    if suffix in ("md", "rst"):
-        return document_chunks(path, source)
-    return config_chunks(path, source) if suffix in CONFIG_SUFFIXES else []
+_MARKS = "array<struct<at:int,level:int,title:string>>"
+_CUTS = "array<struct<at:int,path:array<string>>>"
+_OPEN = "array<struct<level:int,title:string>>"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _opened(acc: Column, level: Column, title: Column, at: Column) -> tuple[Column, Column]:
+    """The headings that stay open under a new one, with it, and the cuts with the one that it makes."""
+    still = F.concat(F.filter(acc["open"], lambda o: o["level"] < level), F.array(F.struct(level.alias("level"), title.alias("title"))))
+    return still, F.concat(acc["cuts"], F.array(F.struct(at.alias("at"), F.transform(still, lambda o: o["title"]).alias("path"))))
+
+
+def _spans(cuts: Column, n: Column) -> Column:
+    """(first, last, path) between cuts and up to line n; what stands before the first cut has no path, an empty span is left out."""
+    every = F.concat(F.array(F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("path"))), cuts)
+    ends = F.concat(F.transform(cuts, lambda c: c["at"] - 1), F.array(n))
+    spans = F.transform(F.arrays_zip(every.alias("c"), ends.alias("e")), lambda z: F.struct(z["c"]["at"].alias("first"), z["e"].alias("last"), z["c"]["path"].alias("path")))
+    return F.filter(spans, lambda x: x["last"] >= x["first"])
+
+
+def markdown_sections(lines: Column) -> Column:
+    """(first line, last line, heading path) of each section of a text's lines.
+
+    Fences and headings are picked out as arrays; one fold over them keeps whether a fence is open, in which
+    headings are text, and which headings are. What stands before the first heading has no path.
+    """
+    head = r"(?s)^(#{1,6})\s+(.*?)\s*#*\s*$"
+    mark = lambda x, i: F.struct((i + 1).alias("at"), F.when(x.rlike(r"^\s*(```|~~~)"), 0).otherwise(F.length(F.regexp_extract(x, head, 1))).alias("level"), F.regexp_extract(x, head, 2).alias("title"))
+    marks = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda z: z["x"].rlike(r"^\s*(```|~~~)|^#{1,6}\s")), lambda z: mark(z["x"], z["i"])).cast(_MARKS)
+    start = F.struct(F.lit(False).alias("fenced"), F.array().cast(_OPEN).alias("open"), F.array().cast(_CUTS).alias("cuts"))
+
+    def step(acc, m):
+        fence = m["level"] == 0
+        still, cuts = _opened(acc, m["level"], m["title"], m["at"])
+        text = fence | acc["fenced"]
+        return F.struct((acc["fenced"] != fence).alias("fenced"), F.when(text, acc["open"]).otherwise(still).alias("open"), F.when(text, acc["cuts"]).otherwise(cuts).alias("cuts"))
+
+    return _spans(F.aggregate(marks, start, step, lambda acc: acc["cuts"]), F.size(lines))
+
+
+def rst_sections(lines: Column) -> Column:
+    """The same for reST: a title has a line of one punctuation mark below it, levels go by the mark's first use.
+
+    Each line is zipped with the one below it, and one fold over the titles keeps the marks that were seen.
+    """
+    both = F.arrays_zip(lines.alias("t"), F.concat(F.slice(lines, F.lit(2), F.size(lines)), F.array(F.lit(""))).alias("u"))
+    clean = F.transform(both, lambda z, i: F.struct((i + 1).alias("at"), stripped(z["t"]).alias("title"), F.regexp_replace(z["u"], r"\s+$", "").alias("under")))
+    titled = lambda z: (z["title"] != "") & (F.length(z["under"]) >= F.greatest(F.lit(3), F.length(z["title"]) - 2)) & z["under"].rlike("^([=\\-~^\"'`#*+.:_])\\1*$") & ~z["title"].rlike(r"(?U)^(\W)\1*$")
+    start = F.struct(F.lit("").alias("seen"), F.array().cast(_OPEN).alias("open"), F.array().cast(_CUTS).alias("cuts"))
+
+    def step(acc, m):
+        own = F.left(m["under"], F.lit(1))
+        seen = F.when(F.contains(acc["seen"], own), acc["seen"]).otherwise(F.concat(acc["seen"], own))
+        still, cuts = _opened(acc, F.instr(seen, own), m["title"], m["at"])
+        return F.struct(seen.alias("seen"), still.alias("open"), cuts.alias("cuts"))
+
+    return _spans(F.aggregate(F.filter(clean, titled), start, step, lambda acc: acc["cuts"]), F.size(lines))
+
+
+def sections(docs: DataFrame, text: str, find: Callable[[Column], Column]) -> DataFrame:
+    """docs with first, last, heading_path and section (the text) of each section that find sees in the lines of a text."""
+    lined = docs.withColumn("lines_", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    each = lined.withColumn("s_", F.explode(find(F.col("lines_"))))
+    own = F.array_join(F.slice("lines_", F.col("s_.first"), F.col("s_.last") - F.col("s_.first") + 1), "\n")
+    return each.select(*docs.columns, F.col("s_.first").alias("first"), F.col("s_.last").alias("last"), F.col("s_.path").alias("heading_path"), own.alias("section"))
+
+
+def document_chunks(docs: DataFrame, language: str, most: int = DOC_MOST, least: int = DOC_LEAST) -> DataFrame:
+    """Chunks of documents (file, content): their sections, the long ones in pieces, the short ones left out."""
+    cut = section_pieces(sections(docs, "content", rst_sections if language == "rst" else markdown_sections).drop("content"), "section", most)
+    last = F.when(F.size("heading_path") > 0, F.element_at("heading_path", -1))
+    return cut.where(F.length(stripped(F.col("content"))) >= least).select(
+        F.col("file").alias("path"), F.lit(language).alias("language"), (F.col("first") + F.col("start_line") - 1).alias("start_line"), (F.col("first") + F.col("end_line") - 1).alias("end_line"), "content",
+        last.alias("symbol"), F.lit("section").alias("symbol_type"), F.nullif(F.array_join("heading_path", " > "), F.lit("")).alias("qualified_name"), "heading_path",
+    )
+
+
+def config_chunks(files: DataFrame, limit: int = LINES, least: int = LEAST) -> DataFrame:
+    """Chunks of settings (file, content): windows of lines, the short ones left out."""
+    cut = windows(files, "content", limit, 0).where(F.length(stripped(F.col("content"))) >= least)
+    return cut.select(F.col("file").alias("path"), F.lower(F.substring_index("file", ".", -1)).alias("language"), "start_line", "end_line", "content", F.lit("file").alias("symbol_type"))
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Chunks of files (path, content), a file at a time where it lies."""
+    """Chunks of files (path, content) by their suffix; those of an unknown one have none.
+
+    Files are written once by kind, so that each kind is read on its own. Python is parsed a file at a
+    time where it lies; documents and settings are cut by array functions.
+    """
+    suffix = F.lower(F.substring_index("path", ".", -1))
+    kind = F.when(suffix == "py", "py").when(suffix.isin("md", "rst"), suffix).when(suffix.isin(*CONFIG_SUFFIXES), "config")
+    at = scratch_path(files.sparkSession, "files")
+    source = F.regexp_replace(F.coalesce("content", F.lit("")), r"\r\n?", "\n")
+    files.select(F.col("path").alias("file"), source.alias("content"), kind.alias("kind")).where("kind is not null").write.partitionBy("kind").parquet(at)
+    every = files.sparkSession.read.schema("file string, content string, kind string").parquet(at)
+    own = lambda name: every.where(F.col("kind") == name).select("file", "content")
     names = [x.split()[0] for x in re.findall(r"(?:^|, )(\w+ \w+(?:<\w+>)?)", _CHUNK)]
 
     def run(batches):
         for batch in batches:
-            rows = [r for path, source in zip(batch["path"], batch["content"], strict=True) for r in parse_file(path, source or "")]
+            rows = [r for path, text in zip(batch["file"], batch["content"], strict=True) for r in python_chunks(path, text)]
             lists = ("imports", "references", "decorators", "heading_path")
             yield pd.DataFrame([{n: r.get(n, [] if n in lists else None) for n in names} for r in rows], columns=names)
 
-    parsed = files.select("path", "content").mapInPandas(run, _CHUNK)
-    suffix = F.lower(F.substring_index("path", ".", -1))
-    kind = F.when(suffix == "py", F.when(is_test_path(F.col("path")), "test").otherwise("source")).when(suffix.isin("md", "rst"), "doc").otherwise("config")
-    return parsed.withColumn("artifact_type", kind)
+    parsed = own("py").mapInPandas(run, _CHUNK)
+    for some in (document_chunks(own("md"), "markdown"), document_chunks(own("rst"), "rst"), config_chunks(own("config"))):
+        parsed = parsed.unionByName(some, allowMissingColumns=True)
+    empty = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("imports", "references", "decorators", "heading_path")}
+    what = F.lower(F.substring_index("path", ".", -1))
+    artifact = F.when(what == "py", F.when(is_test_path(F.col("path")), "test").otherwise("source")).when(what.isin("md", "rst"), "doc").otherwise("config")
+    return parsed.withColumns(empty).withColumn("artifact_type", artifact).select(*names)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import difflib
+import zlib
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions.text import extract_symbols, leaf, normalize_symbol, symbol_variants
-from ..plans.storage import materialize
+from ..plans.storage import materialize, numbered, small
 from .bm25 import top
 
 
@@ -35,57 +37,99 @@ def lookup(index: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "name", "row_id", "f.score", "rank")
 
 
-def _marks(text):
-    """Each character with how many of its like stand before it or at its place."""
-    chars = F.filter(F.split(text, ""), lambda x: x != "")
-    times = lambda i, x: i + 1 - F.length(F.replace(F.substring(text, F.lit(1), i + 1), x, F.lit("")))
-    return F.transform(chars, lambda x, i: F.concat(x, times(i, x).cast("string")))
+#: Names of a block on either side of a comparison.
+NAMES = 4096
 
 
-def close_names(names: DataFrame, known: DataFrame, k: int = 10, cutoff: float = C.FUZZY_CUTOFF) -> DataFrame:
+def sketch(names: list[str]) -> np.ndarray:
+    """64 bits of each name, one for each of its marks by a hash: a mark is a character with how many of its like stand before it."""
+    out = np.zeros(len(names), np.uint64)
+    bits: dict[tuple[str, int], int] = {}
+    for i, name in enumerate(names):
+        seen: dict[str, int] = {}
+        bit = 0
+        for c in name:
+            seen[c] = nth = seen.get(c, 0) + 1
+            if (c, nth) not in bits:
+                bits[c, nth] = zlib.crc32(f"{c}{nth}".encode()) % 64
+            bit |= 1 << bits[c, nth]
+        out[i] = bit
+    return out
+
+
+def letter_counts(names: list[str]) -> np.ndarray:
+    """How often each name has each of the characters that any of them has."""
+    place = {c: i for i, c in enumerate(sorted(set().union(*names)))}
+    out = np.zeros((len(names), max(1, len(place))), np.int32)
+    for i, name in enumerate(names):
+        for c in name:
+            out[i, place[c]] += 1
+    return out
+
+
+def likely_pairs(low: list[str], keys: list[str], cutoff: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(numbers of low, numbers of keys) of the pairs that may have a ratio of at least cutoff, and how many the sketches left.
+
+    A pair with m matching characters has m in common in any order, so m is at most either length less the
+    marks that the other lacks, and those are at least as many as the bits that its sketch lacks.
+    What the sketches leave, as a matrix, is held against the characters that are in common.
+    """
+    a, b = np.array([len(x) for x in low], np.int32), np.array([len(x) for x in keys], np.int32)
+    x, y = sketch(low), sketch(keys)
+    rows, cols = [], []
+    for at in range(0, len(low), 256):  # 256 times a block of keys at once
+        p, q = x[at : at + 256, None], y[None, :]
+        most = np.minimum(a[at : at + 256, None] - np.bitwise_count(p & ~q).astype(np.int32), b[None, :] - np.bitwise_count(q & ~p).astype(np.int32))
+        row, col = np.nonzero(2 * most >= cutoff * (a[at : at + 256, None] + b[None, :]) - 1e-9)
+        rows.append(row + at)
+        cols.append(col)
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    left, count = len(row), letter_counts(low + keys)
+    keep = []
+    for at in range(0, left, 1 << 16):
+        r, c = row[at : at + (1 << 16)], col[at : at + (1 << 16)]
+        common = np.minimum(count[r], count[len(low) + c]).sum(axis=1)
+        keep.append(2 * common >= cutoff * (a[r] + b[c]) - 1e-9)
+    keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+    return row[keep], col[keep], left
+
+
+def close_names(names: DataFrame, known: DataFrame, k: int = 10, cutoff: float = C.FUZZY_CUTOFF, block: int = NAMES) -> DataFrame:
     """(query_id, name, match, ratio): the k known names (key) most like each name by matching blocks, at least cutoff.
 
-    No pair is lost: a ratio of at least the cutoff needs m matching characters, at least cutoff / 2 of
-    both lengths, whatever their order. A character that a name has for the i-th time is one of
-    its marks; two names share at least m marks, so each pair shares one of the first
-    length - m + 1 marks of either in the order of rarity (prefix filter). Pairs join on those, on
-    lengths that the cutoff allows, and only those with enough marks in common are compared.
+    Names meet in blocks whose lengths the cutoff allows. Within a block pair, bounds on what two names can have in
+    common are evaluated as matrices, and only what they leave becomes pairs and is compared; no pair is lost.
+    A pair goes on as a row only if it is close.
     """
     low = F.lower("name")
-    keys = known.select("key").distinct().where("key <> ''")
-    wanted = names.select(low.alias("low")).distinct().where("low <> ''")
-    every = keys.select(F.explode(_marks(F.col("key"))).alias("g")).union(wanted.select(F.explode(_marks(F.col("low"))).alias("g")))
-    # A mark is a character with a count, so the alphabet bounds their number.
-    rare = materialize(every.groupBy("g").agg(F.count("*").alias("often")), "marks")
-    least = F.ceil(F.lit(cutoff / (2 - cutoff)) * F.col("length") - 1e-9)  # the shortest partner matches whole
-
-    def first(rows: DataFrame, c: str) -> DataFrame:
-        each = rows.select(c, F.length(c).alias("length"), F.explode(_marks(F.col(c))).alias("g")).join(rare, "g")
-        ranked = each.groupBy(c, "length").agg(F.array_sort(F.collect_list(F.struct("often", "g"))).alias("gs"))
-        return ranked.select(c, F.explode(F.slice("gs", F.lit(1), (F.col("length") - least + 1).cast("int"))).alias("x")).select(c, F.col("x.g").alias("g"))
-
-    near = first(wanted, "low").join(first(keys, "key"), "g").select("low", "key").distinct()
-    a, b = F.length("low"), F.length("key")
-    near = near.where(2 * F.least(a, b) >= cutoff * (a + b))
-    near = names.select("query_id", "name", low.alias("low")).join(near, "low")
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+
+    # Names of one length are cut by a hash into groups of about a block.
+    def cut(rows: DataFrame, c: str) -> DataFrame:
+        rows = materialize(rows.withColumn("length", F.length(c)), "names")
+        sizes = rows.groupBy("length").agg(F.ceil(F.count("*") / block).alias("groups"))  # a row for each length of a name
+        return materialize(rows.join(F.broadcast(sizes), "length").select(c, "length", F.pmod(F.xxhash64(c), F.col("groups")).alias("g")), "cut")
+
+    keys = cut(known.select("key").distinct().where("key <> ''"), "key").withColumnRenamed("length", "b")
+    wanted = cut(names.select(low.alias("low")).distinct().where("low <> ''"), "low").withColumnsRenamed({"length": "a", "g": "h"})
+    share = cutoff / (2 - cutoff)  # the least ratio of two lengths
+    reach = F.sequence(F.ceil(F.col("a") * share - 1e-9), F.floor(F.col("a") / share + 1e-9))
+    met = materialize(wanted.select("a", "h").distinct().select("a", "h", F.explode(F.transform(reach, lambda x: x.cast("int"))).alias("b")).join(keys.select("b", "g").distinct(), "b"), "met")
+
+    def compare(asked: pa.Table, offered: pa.Table) -> pa.Table:
+        left, right = sorted(asked["low"].to_pylist()), sorted(offered["key"].to_pylist())
+        row, col, _ = likely_pairs(left, right, cutoff) if left and right else ([], [], 0)
         matcher, out = difflib.SequenceMatcher(None), []
-        for low, key in zip(x, y, strict=True):
-            if matcher.b != low:
-                matcher.set_seq2(low)
-            matcher.set_seq1(key)
-            out.append(matcher.ratio())
-        return pd.Series(out, dtype=float)
-
-    # No more characters can match than the two names have in common, whatever their order.
-    own = F.array_distinct(F.split("low", ""))
-    times = lambda c, x: F.length(c) - F.length(F.replace(F.col(c) if isinstance(c, str) else c, x, F.lit("")))
-    common = F.aggregate(F.filter(own, lambda x: x != ""), F.lit(0), lambda s, x: s + F.least(times("low", x), times("key", x)))
-    likely = near.where(2 * common >= cutoff * (a + b))
-    pairs = likely.select("low", "key").distinct().withColumn("ratio", F.round(ratio("low", "key"), 6)).where(F.col("ratio") >= cutoff)
-    scored = likely.join(pairs, ["low", "key"])
+        for r, c in zip(map(int, row), map(int, col), strict=True):  # rows come in order, so that each name is analysed once
+            if matcher.b != left[r]:
+                matcher.set_seq2(left[r])
+            matcher.set_seq1(right[c])
+            if (found := matcher.ratio()) >= cutoff:
+                out.append({"low": left[r], "key": right[c], "ratio": round(found, 6)})
+        return pa.Table.from_pylist(out, pa.schema([("low", pa.string()), ("key", pa.string()), ("ratio", pa.float64())]))
+
+    blocks = ("a", "h", "b", "g")
+    pairs = wanted.join(small(met), ["a", "h"]).groupBy(*blocks).cogroup(keys.join(small(met), ["b", "g"]).groupBy(*blocks)).applyInArrow(compare, "low string, key string, ratio double")
+    scored = names.select("query_id", "name", low.alias("low")).join(pairs, "low")
     order = Window.partitionBy("query_id", "name").orderBy(F.desc("ratio"), "key")
     return scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select("query_id", "name", F.col("key").alias("match"), "ratio")
 
@@ -113,19 +157,52 @@ def retrieve(index: DataFrame, queries: DataFrame, k: int = 10, fuzzy: bool = Tr
     return top(best, k)
 
 
+#: Places of a block of one level are 16 blocks of the level below.
+FAN = 16
+#: Follows whatever a name may go on with.
+LAST = chr(0x10FFFF)
+
+
+def aligned(lo: Column, hi: Column, levels: int) -> Column:
+    """(level, block) of aligned blocks of FAN**level places that make up the places lo to hi - 1: fewer than twice FAN on each level."""
+    up = lambda x, level: F.ceil(x / float(FAN**level)).cast("long")
+    down = lambda x, level: F.floor(x / float(FAN**level)).cast("long")
+    none, parts = F.array().cast("array<long>"), []
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+    for level in range(levels):
+        a, b, inner, outer = up(lo, level), down(hi, level), up(lo, level + 1) * FAN, down(hi, level + 1) * FAN
+        # Blocks of the level that no block of the next one holds.
+        own = F.when(inner < outer, F.concat(run(a, inner), run(outer, b))).otherwise(run(a, b))
+        parts.append(F.arrays_zip(F.array_repeat(F.lit(level), F.size(own)).alias("level"), own.alias("block")))
+    return F.concat(*parts)
+
+
 def definition_of(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """(name, row_id): the first row whose qualified name is the name, else ends with it in any case.
 
-    Rows are joined on their ends of the lengths that the names have, so that only true ends meet.
+    Reversed, an end is a beginning, and the names with one beginning stand together in sorted order. So names and what
+    is asked for are range-partitioned and numbered together; what is asked for is a range of places, cut into aligned blocks
+    whose first rows are known. Nothing is compared pair by pair, however many names end alike.
     """
     wanted = names.select("name").distinct().where("name <> ''")
-    lengths = wanted.agg(F.sort_array(F.collect_set(F.length("name"))).alias("lengths"))  # one row; names are short
-    rows = chunks.where("qualified_name is not null").select("row_id", "qualified_name").crossJoin(F.broadcast(lengths))
-    ends = rows.select("row_id", "qualified_name", F.explode(F.filter("lengths", lambda n: n <= F.length("qualified_name"))).alias("n"))
-    ends = ends.select("row_id", "qualified_name", F.right(F.lower("qualified_name"), F.col("n")).alias("end"))
-    fits = wanted.join(ends, F.lower("name") == F.col("end"))
-    best = fits.groupBy("name").agg(F.min(F.struct((F.col("qualified_name") != F.col("name")).alias("far"), "row_id")).alias("b"))
-    return best.select("name", "b.row_id")
+    rows = chunks.where("qualified_name is not null").select("row_id", "qualified_name")
+    exact = wanted.join(rows, F.col("name") == F.col("qualified_name")).groupBy("name").agg(F.min("row_id").alias("exact"))
+    text, none = F.reverse(F.lower("name")), F.lit(None)
+    marks = (
+        rows.select(F.reverse(F.lower("qualified_name")).alias("text"), F.lit(1).alias("kind"), none.cast("string").alias("name"), F.col("row_id").cast("long").alias("row_id"))
+        .union(wanted.select(text, F.lit(0), "name", none.cast("long")))
+        .union(wanted.select(F.concat(text, F.lit(LAST)), F.lit(2), "name", none.cast("long")))
+    )
+    placed = numbered(marks, ["text", "kind"], "place")
+    total, levels = max(2, placed.count()), 1
+    while FAN**levels < total:
+        levels += 1
+    ranges = placed.where("kind <> 1").groupBy("name").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
+    blocks = ranges.select("name", F.explode(aligned(F.col("lo") + 1, F.col("hi"), levels)).alias("x")).select("name", "x.*")
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("level"), F.floor(F.col("place") / float(FAN**n)).alias("block")) for n in range(levels))))
+    firsts = placed.where("kind = 1").select("row_id", each.alias("x")).groupBy("x.level", "x.block").agg(F.min("row_id").alias("row_id"))
+    ends = blocks.join(firsts, ["level", "block"]).groupBy("name").agg(F.min("row_id").alias("end"))
+    return wanted.join(exact, "name", "left").join(ends, "name", "left").select("name", F.coalesce("exact", "end").alias("row_id")).where("row_id is not null")
 
 
 def edges(chunks: DataFrame, cap: int = C.GRAPH_EDGES, id_col: str = "chunk_id") -> DataFrame:
@@ -156,7 +233,15 @@ def impact(graph: DataFrame, chunks: DataFrame, symbols: DataFrame, limit: int =
     return kept.unionByName(mates).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("symbol", "relation", "target", "rank")
 
 
-def neighbours(chunks: DataFrame, ids: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """(id, other): the other chunks of a chunk's file."""
-    rows = chunks.select(F.col(id_col).alias("other"), "path")
+def neighbours(chunks: DataFrame, ids: DataFrame, id_col: str = "chunk_id", k: int | None = None, order: str = "row_id") -> DataFrame:
+    """(id, other): the other chunks of a chunk's file; with k only the first k of them in order.
+
+    For those a file's first k + 1 chunks are enough, so no more of them meet.
+    """
+    rows = chunks.select(F.col(id_col).alias("other"), "path", *([F.col(order).alias("at")] if k else []))
+    if k:
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("at", "other")))
+        own = ids.join(rows.select("path", F.col("other").alias("id")), "id")
+        met = own.join(rows.where(F.col("nth") <= k + 1), "path").where("id <> other")
+        return met.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("nth"))).where(F.col("n") <= k).select("id", "other")
     return ids.join(rows, ids["id"] == rows["other"]).select("id", "path").join(rows, "path").where("id <> other").select("id", "other")

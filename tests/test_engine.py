@@ -2,6 +2,7 @@ import json
 import sys
 
 import pytest
+import slow_sections
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -113,17 +114,17 @@ def test_windows_leave_no_gap(spark):
 def test_broken_python_and_deep_headings():
     rows = chunking.python_chunks("a.py", "def broken(:\n" * 10)
     assert rows and all(r["symbol_type"] == "file" for r in rows)
-    paths = [p for _, _, p in chunking.markdown_sections("# A\n## B\n### C\n```\n# no\n```\n# D".split("\n"))]
+    paths = [p for _, _, p in slow_sections.markdown_sections("# A\n## B\n### C\n```\n# no\n```\n# D".split("\n"))]
     assert paths == [["A"], ["A", "B"], ["A", "B", "C"], ["D"]]
-    assert [p for _, _, p in chunking.rst_sections("Top\n===\ntext\nSub\n---\nmore".split("\n"))] == [["Top"], ["Top", "Sub"]]
+    assert [p for _, _, p in slow_sections.rst_sections("Top\n===\ntext\nSub\n---\nmore".split("\n"))] == [["Top"], ["Top", "Sub"]]
 
 
 def test_long_sections_are_cut_at_blank_lines():
     lines = (["word " * 20] * 5 + [""]) * 4
-    pieces = chunking.cut_section(1, lines, 300)
+    pieces = slow_sections.cut_section(1, lines, 300)
     assert len(pieces) == 4 and all(some[-1] == "" for _, some in pieces)
     assert sum(len(some) for _, some in pieces) == len(lines)
-    assert len(chunking.cut_section(1, ["x" * 100] * 30, 500)) > 3
+    assert len(slow_sections.cut_section(1, ["x" * 100] * 30, 500)) > 3
 
 
 def test_globs():
