@@ -506,10 +506,10 @@ def ingest_stats(spark, d):
 
 
 # --- graph ------------------------------------------------------------------------------------
-# A document defines its first word and refers to the words of its first line; it imports its source.
+# A document defines its first word and refers to all of its words; it imports its source.
 
 SQL_GRAPH = f"""g AS (SELECT doc_id AS row_id, sha1(doc_id::VARCHAR)[1:16] AS chunk_id, source || '/' || (doc_id // 20) % 10 AS path, ['doc', 'test', 'config', 'commit', 'source'][(doc_id % 5 + 1)::INT] AS artifact_type,
-  regexp_extract_all(string_split(text, chr(10))[1], '[A-Za-z]+') AS words, 'lib.' || source AS imported FROM documents),
+  regexp_extract_all(text, '[A-Za-z]+') AS words, 'lib.' || source AS imported FROM documents),
 e AS (SELECT DISTINCT 'definitions' AS kind, words[1] AS name, chunk_id AS target FROM g WHERE artifact_type <> 'commit' AND len(words) > 0
   UNION SELECT CASE WHEN artifact_type = 'test' THEN 'tests' ELSE 'callers' END, w, chunk_id FROM (SELECT *, unnest(words) AS w FROM g WHERE artifact_type <> 'commit') WHERE length(w) >= 3 AND w NOT IN ({", ".join(f"'{w}'" for w in C.NOISE)})
   UNION SELECT 'importers', unnest([imported, string_split(imported, '.')[2]]), path FROM g WHERE artifact_type <> 'commit'
@@ -519,7 +519,7 @@ graph AS (SELECT kind, name, target, row_number() OVER (PARTITION BY kind, name
 
 def graph_chunks(spark, d) -> DataFrame:
     base = load(spark, d, "documents")
-    named = F.regexp_extract_all(F.substring_index("text", "\n", 1), F.lit("[A-Za-z]+"), F.lit(0))
+    named = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     kind = F.element_at(F.array(*map(F.lit, adapters.KINDS)), (F.col("doc_id") % 5 + 1).cast("int"))
     return base.select(
         F.col("doc_id").alias("row_id"), F.substring(F.sha1(F.col("doc_id").cast("string").cast("binary")), 1, 16).alias("chunk_id"),
@@ -604,6 +604,18 @@ def _packed(spark, d):
     return context.pack(hits, BUDGET, 400, CAP)
 
 
+@query(f"""WITH RECURSIVE {SQL_PACK}, k AS (SELECT p.query_id, row_number() OVER (PARTITION BY p.query_id ORDER BY p.rank) AS n, c.path || ':' || c.start_line || '-' || c.end_line AS place, {sql_truncated('c.content', 400)} AS t, p.tokens FROM packed p JOIN chunks c USING (row_id) WHERE decision = 'kept')
+SELECT query_id, sha1(string_agg('<<<EVIDENCE ' || n || ' | cite as [' || place || ']>>>' || chr(10) || t || chr(10) || '<<<END EVIDENCE ' || n || '>>>', chr(10) || chr(10) ORDER BY n)) AS digest, sum(length(t))::BIGINT AS chars, sum(tokens) <= {BUDGET} AND sum(length(t)) < 4 * ({BUDGET} + count(*)) AS fits FROM k GROUP BY 1""")
+def evidence_rendered(spark, d):
+    """The evidence of each passage as text: blocks are cut to what packing counted, so that the text keeps to the budget."""
+    packed = materialize(_packed(spark, d), "packed")
+    told = context.render(packed, docs(spark, d), 400)
+    blocks = F.regexp_extract_all("evidence", F.lit(r"(?s)>>>\n(.*?)\n<<<END EVIDENCE [0-9]+>>>"), F.lit(1))
+    chars = F.aggregate(blocks, F.lit(0).cast("long"), lambda s, x: s + F.length(x))
+    counted = packed.where("decision = 'kept'").groupBy("query_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    return told.join(counted, "query_id").select("query_id", F.sha1(F.col("evidence").cast("binary")).alias("digest"), chars.alias("chars"), ((F.col("tokens") <= BUDGET) & (chars < 4 * (F.lit(BUDGET) + F.col("n")))).alias("fits"))
+
+
 @query(f"WITH RECURSIVE {SQL_PACK} SELECT query_id, row_id, rank, tokens, decision FROM packed")
 def context_pack(spark, d):
     return _packed(spark, d)
@@ -612,7 +624,7 @@ def context_pack(spark, d):
 @query(f"""WITH RECURSIVE {SQL_PACK}, {SQL_GRAPH}, kept AS (SELECT * FROM packed WHERE decision = 'kept'),
 t AS (SELECT query_id, sum(tokens) AS total, arg_min(row_id, rank) AS row_id, max(rank) AS deepest FROM kept GROUP BY 1), last AS (SELECT query_id, max(rank) + 1 AS rank FROM packed GROUP BY 1),
 nm AS (SELECT t.query_id, t.total, g.path, unnest(g.words[1:20]) AS name, unnest(range(least(20, len(g.words)))) AS nth FROM t JOIN g USING (row_id)),
-c AS (SELECT nm.query_id, nm.total, nm.nth, x.row_id AS found, greatest(1, length({sql_truncated('dd.text', C.CHUNK_TOKENS)}) // 4) AS tokens FROM nm JOIN graph d ON d.name = nm.name AND d.kind = 'definitions' AND d.pos = 1 JOIN g x ON x.chunk_id = d.target JOIN documents dd ON dd.doc_id = x.row_id
+c AS (SELECT nm.query_id, nm.total, nm.nth, x.row_id AS found, greatest(1, length({sql_truncated('dd.text', 400)}) // 4) AS tokens FROM nm JOIN graph d ON d.name = nm.name AND d.kind = 'definitions' AND d.pos = 1 JOIN g x ON x.chunk_id = d.target JOIN documents dd ON dd.doc_id = x.row_id
   WHERE x.path <> nm.path AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.query_id = nm.query_id AND k.row_id = x.row_id)),
 b AS (SELECT query_id, any_value(total) AS total, arg_min(found, nth) AS row_id, arg_min(tokens, nth) AS tokens FROM c GROUP BY 1),
 added AS (SELECT b.query_id, b.row_id, last.rank, 'kept' AS decision FROM b JOIN last USING (query_id) WHERE b.total + b.tokens <= 4000)
@@ -622,7 +634,7 @@ def context_related(spark, d):
     chunks = graph_chunks(spark, d)
     graph = symbols.edges(chunks)
     full = chunks.join(load(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("content")), "row_id")
-    return context.with_related(materialize(_packed(spark, d), "packed"), full, graph, 4000).select("query_id", "row_id", "rank", "decision")
+    return context.with_related(materialize(_packed(spark, d), "packed"), full, graph, 4000, 400).select("query_id", "row_id", "rank", "decision")
 
 
 # Answers cite the three best hits of a question, the third with a range that no block has, and one file that isn't there.
@@ -844,6 +856,25 @@ def stage_totals(spark, d):
     return stages(load(spark, d, "events"), "user_id", "event_type", "value")
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type AS name, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT e.*, p.event_id AS parent_id FROM e LEFT JOIN e p ON p.user_id = e.user_id AND p.n = e.n // 3 AND e.n % 10 <> 1),
+r AS (SELECT user_id, event_id, [event_id] AS path FROM s WHERE parent_id IS NULL UNION ALL SELECT s.user_id, s.event_id, list_append(r.path, s.event_id) FROM s JOIN r ON s.user_id = r.user_id AND s.parent_id = r.event_id),
+b AS (SELECT user_id, anc AS event_id, count(*) AS all_spans, sum(length(name))::BIGINT AS all_tokens FROM (SELECT user_id, event_id, unnest(path) AS anc FROM r) JOIN s USING (user_id, event_id) GROUP BY 1, 2),
+c AS (SELECT user_id, parent_id AS event_id, sum(value) AS v FROM s WHERE parent_id IS NOT NULL GROUP BY 1, 2)
+SELECT user_id, event_id AS span_id, (len(path) - 1)::INT AS depth, array_to_string(path, '/') AS path, greatest(0.0, round(value - coalesce(v, 0), 4))::DOUBLE AS own_ms, all_spans, all_tokens FROM r JOIN s USING (user_id, event_id) JOIN b USING (user_id, event_id) LEFT JOIN c USING (user_id, event_id)""")
+def trace_tree(spark, d):
+    """Events as spans, each user a trace and an event's parent the one at a third of its place: depths, paths, own times, what is below."""
+    from pyspark.sql.window import Window
+
+    from .operators.traces import tree
+
+    rows = load(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    up = rows.select("user_id", F.col("n").alias("m"), F.col("event_id").alias("parent_id"))
+    placed = rows.withColumn("m", F.when(F.col("n") % 10 != 1, F.floor(F.col("n") / 3).cast("int"))).join(up, ["user_id", "m"], "left")
+    spans = placed.select("user_id", F.col("event_id").alias("span_id"), "parent_id", F.col("event_type").alias("name"), F.col("ts").alias("started_at"), F.col("value").alias("duration_ms"), F.length("event_type").cast("long").alias("tokens"), F.lit(0.0).alias("cost"))
+    return tree(spans, "user_id").select("user_id", "span_id", "depth", F.array_join("path", "/").alias("path"), "own_ms", "all_spans", "all_tokens")
+
+
 @query("SELECT user_id, last_ts, n FROM (SELECT user_id, max(ts) AS last_ts, count(*) AS n FROM events GROUP BY 1) ORDER BY last_ts DESC, user_id LIMIT 50")
 def recent_traces(spark, d):
     from .operators.traces import recent

@@ -52,10 +52,10 @@ class Engine:
         rows = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("query_id"), F.lit(q).alias("query")) for i, q in enumerate(questions))))
         return self.spark.range(1).select(rows.alias("q")).select("q.*")
 
-    def search(self, questions: list[str] | DataFrame, sources: list[str] | None = None, allowed: Column | None = None, final: int | None = None, touching: str | None = None, reranker=None) -> DataFrame:
-        """Fused hits with what names their chunk; texts are joined on last. reranker is one of fusion's, by default none."""
+    def search(self, questions: list[str] | DataFrame, sources: list[str] | None = None, allowed: Column | None = None, final: int | None = None, touching: str | None = None, reranker=None, failed: list[DataFrame] | None = None) -> DataFrame:
+        """Fused hits with what names their chunk; texts are joined on last. reranker is one of fusion's, by default none; failed as for KnowledgeBase.sources."""
         r = self.config.retrieval
-        found = self.base.sources(self.queries(questions), self.config, sources, allowed, touching)
+        found = self.base.sources(self.queries(questions), self.config, sources, allowed, touching, failed)
         hits = fusion.hybrid(found, r.method, r.candidates, final or r.final, r.rrf_k, r.weights, r.depths, reranker or fusion.identity_rerank)
         return self.named(hits)
 
@@ -77,9 +77,9 @@ class Engine:
 
         def expand(asked: DataFrame) -> DataFrame:
             """Neighbours of the chunks that the query names by id."""
-            named = asked.join(base.chunks.select(F.col("chunk_id").alias("query"), "path"), "query").select("query_id", "path", F.col("query").alias("own"))
-            mates = named.join(base.chunks.select("path", "row_id", "chunk_id"), "path").where("chunk_id <> own")
-            return agent.expand_hits(mates.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "own").orderBy("row_id"))).select("query_id", "row_id", "rank"), 5)
+            mates = symbols.neighbours(base.chunks, asked.select(F.col("query").alias("id")).distinct(), k=5)
+            found = asked.select("query_id", F.col("query").alias("id")).join(mates, "id").join(numbers.withColumnRenamed("target", "other"), "other")
+            return agent.expand_hits(found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "id").orderBy("row_id"))).select("query_id", "row_id", "rank"), 5)
 
         every = {
             "search": lambda asked: self._searched(asked, k),
@@ -131,7 +131,7 @@ class Engine:
         packed = materialize(context.pack(hits, c.budget, c.chunk_tokens, c.per_file, c.quotas), "packed")
         if self.base.edges is not None:
             packed = context.with_related(packed, self.base.chunks, self.base.edges, c.budget, c.chunk_tokens)
-        evidence = context.render(packed, self.base.chunks)
+        evidence = context.render(packed, self.base.chunks, c.chunk_tokens)
         blocks = packed.where("decision = 'kept'").join(self.base.chunks.select("row_id", "path", "start_line", "end_line"), "row_id")
         return generation.answer(q, evidence, blocks, model)
 
@@ -144,8 +144,12 @@ class Engine:
     def benchmark(self, name: str, questions: DataFrame, sources: list[str] | None = None, split: str | None = None, limit: int | None = None, agentic: bool = False, singly: int = 0) -> dict:
         """A report of one way to retrieve over questions (query_id, query, relevant_*, category, split ...)."""
         def retrieve(asked: DataFrame) -> DataFrame:
-            hits = self.investigate(asked.select("query_id", "query"))[0] if agentic else self.search(asked.select("query_id", "query"), sources)
-            return evaluate.graded(hits, asked)
+            failed: list[DataFrame] = []
+            hits = self.investigate(asked.select("query_id", "query"))[0] if agentic else self.search(asked.select("query_id", "query"), sources, failed=failed)
+            found = evaluate.graded(hits, asked)
+            for some in failed:  # a question that a source fails at scores nothing, whatever the others find
+                found = found.join(some, "query_id", "left_anti").unionByName(some, allowMissingColumns=True)
+            return found
 
         spec = {"sources": sources, "agentic": agentic, "split": split, "limit": limit, "config": self.config.fingerprint(), "commit": self.base.meta.get("commit")}
         by = tuple(c for c in ("category", "difficulty") if c in questions.columns)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import constants as C
 from ..functions.text import classify, extract_json, extract_symbols
 from .bm25 import top
+from .generation import asked
 
 
 def tool_map():
@@ -60,17 +60,8 @@ Question: {query}
 def replies(rows: DataFrame, model, system: str = "Reply in JSON.") -> DataFrame:
     """(query_id, json): the JSON object of a model's reply to each row (query_id, prompt); null where the call fails or has none."""
 
-    def ask(batches):
-        for batch in batches:
-            out = []
-            for prompt in batch["prompt"]:
-                try:
-                    out.append(model.complete(prompt, system))
-                except Exception:  # noqa: BLE001  a model may fail in any way
-                    out.append(None)
-            yield pd.DataFrame({"query_id": batch["query_id"], "reply": out})
-
-    return rows.select("query_id", "prompt").mapInPandas(ask, "query_id long, reply string").select("query_id", extract_json(F.col("reply")).alias("json"))
+    told = asked(rows.select("query_id", "prompt"), F.col("prompt"), model, system)
+    return told.select("query_id", extract_json(F.col("reply")).alias("json"))
 
 
 def refine(planned: DataFrame, model, subqueries: int = 3, symbols: int = 8) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.storage import materialize
+from ..plans.storage import materialize, numbered
+from ..sources.records import put
 from . import evaluate, fusion, vectors
 
 
@@ -73,9 +74,10 @@ def run(name: str, questions: DataFrame, retrieve: Callable[[DataFrame], DataFra
     """A report of one system: filter and cut the questions, retrieve for all of them at once, score.
 
     retrieve takes (query_id, query) and returns (query_id, rank, unit, grade); questions may have
-    the columns of by, whose values get figures of their own. If the batch fails, its questions
-    are asked one by one, so that one that fails is named in errors and scores nothing, while the
-    others count. singly asks so many questions alone after a warm-up, for latencies.
+    the columns of by, whose values get figures of their own. A question that fails scores nothing, is
+    named in errors, and the others count: retrieve may return a column error, and rows that have one say why a
+    question has no hits. Where one question fails the whole batch, halves of it are asked, and halves of the half that
+    fails: a few batches for each failure. singly asks so many questions alone after a warm-up, for latencies.
     """
     chosen = questions if split is None else questions.where(F.col("split") == split)
     chosen = materialize(chosen.orderBy("query_id").limit(limit) if limit else chosen, "questions")
@@ -83,22 +85,31 @@ def run(name: str, questions: DataFrame, retrieve: Callable[[DataFrame], DataFra
     schema = "query_id long, rank int, unit string, grade int"
 
     def saved(asked: DataFrame) -> DataFrame:
-        return materialize(retrieve(asked).select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("unit").cast("string").alias("unit"), F.col("grade").cast("int").alias("grade")), "ranked")
-
-    try:
-        hits = saved(chosen)
-    except Exception:  # noqa: BLE001  one question may fail the batch
-        parts = []
-        for r in chosen.select("query_id").orderBy("query_id").collect():  # a benchmark's questions, hundreds at most
-            try:
-                parts.append(saved(chosen.where(F.col("query_id") == r[0])))
-            except Exception as e:  # noqa: BLE001
-                errors[r[0]] = str(e)[:200]
-        hits = functools.reduce(DataFrame.union, parts) if parts else questions.sparkSession.createDataFrame([], schema)
+        found = retrieve(asked)
+        told = F.col("error").cast("string") if "error" in found.columns else F.lit(None).cast("string")
+        return materialize(found.select(F.col("query_id").cast("long").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("unit").cast("string").alias("unit"), F.col("grade").cast("int").alias("grade"), told.alias("error")), "ranked")
+
+    def attempt(asked: DataFrame, first: int, last: int) -> list[DataFrame]:
+        """What the questions of places first to last give; those that fail are noted."""
+        try:
+            return [saved(asked.where(F.col("place").between(first, last)).drop("place"))] if first <= last else []
+        except Exception as e:  # noqa: BLE001  one question may fail the batch
+            if first == last:
+                errors[asked.where(F.col("place") == first).first()["query_id"]] = str(e)[:200]
+                return []
+            half = (first + last) // 2
+            return attempt(asked, first, half) + attempt(asked, half + 1, last)
+
+    n = chosen.count()
+    parts = attempt(numbered(chosen, ["query_id"], "place"), 1, n)
+    every = functools.reduce(DataFrame.union, parts) if parts else questions.sparkSession.createDataFrame([], schema + ", error string")
+    for r in every.where("error is not null").select("query_id", "error").distinct().collect():  # a benchmark's questions
+        errors[r["query_id"]] = r["error"][:200]
+    hits = every.where("error is null").drop("error")
     seconds = time.time() - began
     metrics = evaluate.question_metrics(hits, own).join(chosen.select("query_id", *by), "query_id")
     rows = [r.asDict() for r in evaluate.aggregate(metrics, by).collect()]
-    report = {"system": name, "spec": spec, "fingerprint": fingerprint(spec), "questions": chosen.count(), "seconds": round(seconds, 3), "errors": errors}
+    report = {"system": name, "spec": spec, "fingerprint": fingerprint(spec), "questions": n, "seconds": round(seconds, 3), "errors": errors}
     whole = [r for r in rows if not by or r["level"] == 2 ** len(by) - 1]
     report["retrieval"] = {k: v for k, v in whole[0].items() if k != "level" and k not in by} if whole else {}
     for c in by:
@@ -116,12 +127,8 @@ def run(name: str, questions: DataFrame, retrieve: Callable[[DataFrame], DataFra
 
 
 def save_report(report: dict, folder: str) -> str:
-    """Writes a report as <system>-<fingerprint>.json into a folder of the driver; returns its path."""
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"{report['system'].replace('/', '_')}-{report['fingerprint']}.json")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, indent=2, sort_keys=True, default=str)
-    return path
+    """Writes a report as <system>-<fingerprint>.json into a folder, whole or not at all; returns its path."""
+    return put(folder, f"{report['system']}-{report['fingerprint']}", report, indent=2, sort_keys=True)
 
 
 def compare_embedders(chunks: DataFrame, questions: DataFrame, gold: DataFrame, embedders: dict, others: Callable[[DataFrame], dict[str, DataFrame]], graded: Callable[[DataFrame], DataFrame], text: str = "content", k: int = 40) -> list[dict]:

@@ -62,7 +62,7 @@ def overlapping(spans: DataFrame, band: int = 64) -> DataFrame:
     return met.where(F.col("band") == F.floor(F.greatest("as", "bs") / band)).select("path", "a", "b")
 
 
-def related(packed: DataFrame, chunks: DataFrame, graph: DataFrame, budget: int = C.BUDGET) -> DataFrame:
+def related(packed: DataFrame, chunks: DataFrame, graph: DataFrame, budget: int = C.BUDGET, chunk_tokens: int = C.CHUNK_TOKENS) -> DataFrame:
     """(query_id, row_id): one definition from another file that the top kept block refers to among its first 20 names, if it fits."""
     kept = packed.where("decision = 'kept'")
     total = kept.groupBy("query_id").agg(F.sum("tokens").alias("total"), F.min_by("row_id", "rank").alias("row_id"))
@@ -71,13 +71,13 @@ def related(packed: DataFrame, chunks: DataFrame, graph: DataFrame, budget: int
     first = graph.where("kind = 'definitions' and pos = 1").select("name", F.col("target").alias("chunk_id"))
     defined = names.join(first, "name").join(chunks.select("chunk_id", F.col("row_id").alias("found"), F.col("path").alias("of"), "content"), "chunk_id").where("of <> path")
     fresh = defined.join(kept.select("query_id", F.col("row_id").alias("found")), ["query_id", "found"], "left_anti")
-    best = fresh.groupBy("query_id").agg(F.min_by(F.struct("found", "total", estimate_tokens(truncate(F.col("content"))).alias("tokens")), "nth").alias("b"))
+    best = fresh.groupBy("query_id").agg(F.min_by(F.struct("found", "total", estimate_tokens(truncate(F.col("content"), chunk_tokens)).alias("tokens")), "nth").alias("b"))
     return best.where(F.col("b.total") + F.col("b.tokens") <= budget).select("query_id", F.col("b.found").alias("row_id"))
 
 
 def with_related(packed: DataFrame, chunks: DataFrame, graph: DataFrame, budget: int = C.BUDGET, chunk_tokens: int = C.CHUNK_TOKENS) -> DataFrame:
     """packed with each question's related definition, if there is one, kept as its last block."""
-    found = related(packed, chunks, graph, budget).join(chunks.select("row_id", estimate_tokens(truncate(F.col("content"), chunk_tokens)).alias("tokens")), "row_id")
+    found = related(packed, chunks, graph, budget, chunk_tokens).join(chunks.select("row_id", estimate_tokens(truncate(F.col("content"), chunk_tokens)).alias("tokens")), "row_id")
     last = packed.groupBy("query_id").agg((F.max("rank") + 1).alias("rank"))
     more = found.join(last, "query_id").select("query_id", "row_id", "rank", "tokens", F.lit("kept").alias("decision"))
     # What was dropped under another decision gives way to the block that is kept now.
@@ -85,13 +85,13 @@ def with_related(packed: DataFrame, chunks: DataFrame, graph: DataFrame, budget:
     return rest.select("query_id", "row_id", "rank", "tokens", "decision").unionByName(more)
 
 
-def render(packed: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, evidence): kept blocks in order, each under a header that says how to cite it."""
+def render(packed: DataFrame, chunks: DataFrame, chunk_tokens: int = C.CHUNK_TOKENS) -> DataFrame:
+    """(query_id, evidence): kept blocks in order, each under a header that says how to cite it, cut to the tokens that packing counted."""
     kept = packed.where("decision = 'kept'").join(chunks, "row_id")
     order = Window.partitionBy("query_id").orderBy("rank")
     at = F.concat(F.col("path"), F.lit(":"), F.col("start_line"), F.lit("-"), F.col("end_line"))
     numbered = kept.withColumn("n", F.row_number().over(order))
-    block = F.concat(F.lit("<<<EVIDENCE "), F.col("n"), F.lit(" | cite as ["), at, F.lit("]>>>\n"), truncate(F.col("content")), F.lit("\n<<<END EVIDENCE "), F.col("n"), F.lit(">>>"))
+    block = F.concat(F.lit("<<<EVIDENCE "), F.col("n"), F.lit(" | cite as ["), at, F.lit("]>>>\n"), truncate(F.col("content"), chunk_tokens), F.lit("\n<<<END EVIDENCE "), F.col("n"), F.lit(">>>"))
     return numbered.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", block.alias("t")))), lambda x: x["t"]), "\n\n").alias("evidence"))
 
 

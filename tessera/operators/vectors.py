@@ -85,22 +85,43 @@ def build_embedder(name: str, **options) -> Embedder | None:
     return getattr(importlib.import_module(module), attribute)(**options)
 
 
-def encode(rows: DataFrame, embedder: Embedder, text: str = "content", query: bool = False, batch: int = 64) -> DataFrame:
+def encode(rows: DataFrame, embedder: Embedder, text: str = "content", query: bool = False, batch: int = 64, errors: bool = False) -> DataFrame:
     """(row_id, vector): an embedder's vectors of rows, with their prefix, of unit length; a zero vector stays."""
     prefix = getattr(embedder, "query_prefix" if query else "document_prefix", "") or ""
 
+    def vectors_of(texts: list[str]) -> np.ndarray:
+        found = np.asarray(embedder.encode([prefix + t for t in texts]), np.float64).reshape(len(texts), -1)
+        size = np.sqrt((found * found).sum(axis=1, keepdims=True))
+        return found / np.where(size > 0, size, 1.0)
+
     def run(batches: Iterator[pa.RecordBatch]):
         for own in batches:
             for at in range(0, own.num_rows, batch):
                 some = own.slice(at, batch)
-                found = np.asarray(embedder.encode([prefix + t for t in some.column(1).to_pylist()]), np.float64).reshape(some.num_rows, -1)
-                size = np.sqrt((found * found).sum(axis=1, keepdims=True))
-                found = found / np.where(size > 0, size, 1.0)
-                bounds = pa.array(np.arange(some.num_rows + 1, dtype=np.int32) * found.shape[1])
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(bounds, pa.array(found.ravel()))], names=["row_id", "vector"])
-
-    return rows.select(F.col("row_id").cast("long").alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "row_id long, vector array<double>")
-
-
-def text_vectors(rows: DataFrame, text: str, embedder: Embedder | None, dimension: int = 256, query: bool = False) -> DataFrame:
-    return hashing_vectors(rows, text, dimension) if embedder is None else encode(rows, embedder, text, query)
+                texts = some.column(1).to_pylist()
+                try:
+                    found, said = list(vectors_of(texts)), [None] * len(texts)
+                except Exception:  # noqa: BLE001  one text may fail its batch
+                    if not errors:
+                        raise
+                    found, said = [], []
+                    for text in texts:
+                        try:
+                            found.append(vectors_of([text])[0])
+                            said.append(None)
+                        except Exception as e:  # noqa: BLE001
+                            found.append(None)
+                            said.append(f"{type(e).__name__}: {e}"[:200])
+                arrays = [some.column(0), pa.array(found, pa.list_(pa.float64())), pa.array(said, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays[: 2 + errors], names=["row_id", "vector", "error"][: 2 + errors])
+
+    shape = "row_id long, vector array<double>" + (", error string" if errors else "")
+    return rows.select(F.col("row_id").cast("long").alias("row_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, shape)
+
+
+def text_vectors(rows: DataFrame, text: str, embedder: Embedder | None, dimension: int = 256, query: bool = False, errors: bool = False) -> DataFrame:
+    """(row_id, vector), and with errors why a text has none: then a text that the embedder fails at leaves the others their vectors."""
+    if embedder is not None:
+        return encode(rows, embedder, text, query, errors=errors)
+    found = hashing_vectors(rows, text, dimension)
+    return found.withColumn("error", F.lit(None).cast("string")) if errors else found

@@ -114,11 +114,12 @@ class KnowledgeBase:
     def summary(self) -> DataFrame:
         return self.chunks.groupBy("artifact_type").agg(F.count("*").alias("n"))
 
-    def sources(self, queries: DataFrame, config: Config, names: list[str] | None = None, allowed: Column | None = None, touching: str | None = None) -> dict[str, DataFrame]:
+    def sources(self, queries: DataFrame, config: Config, names: list[str] | None = None, allowed: Column | None = None, touching: str | None = None, failed: list[DataFrame] | None = None) -> dict[str, DataFrame]:
         """Hits of each source for queries (query_id, query); unknown names and missing indexes are left out.
 
         allowed is a predicate on chunks. It holds for every source, unless strict_filters is
-        off: then symbol and git ignore it. touching keeps commits that change a file whose path has it.
+        off: then symbol and git ignore it. touching keeps commits that change a file whose path has it. failed takes a table
+        (query_id, error) of the questions that the embedder fails at, which have no hits then; without it the search fails.
         """
         depth, out = config.retrieval.depths, {}
         names = names or ["dense", "bm25", "symbol", "git"]
@@ -127,7 +128,12 @@ class KnowledgeBase:
         ask = None
         if self.vectors is not None and {"dense", "git"} & set(names):
             rows = queries.select(F.col("query_id").alias("row_id"), F.col("query").alias("content"))
-            ask = vectors.text_vectors(rows, "content", vectors.build_embedder(config.embedding.model), config.embedding.dimension, query=True).select(F.col("row_id").alias("query_id"), "vector")
+            ask = vectors.text_vectors(rows, "content", vectors.build_embedder(config.embedding.model), config.embedding.dimension, query=True, errors=failed is not None)
+            if failed is not None:
+                ask = materialize(ask, "asked")
+                failed.append(ask.where("error is not null").select(F.col("row_id").alias("query_id"), "error"))
+                ask = ask.where("error is null")
+            ask = ask.select(F.col("row_id").alias("query_id"), "vector")
         within = lambda df, rows: df if rows is None else df.join(rows, "row_id", "left_semi")
         if "bm25" in names and self.index is not None:
             out["bm25"] = self.index.search(queries, depth["bm25"], kept)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import os
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -10,6 +11,8 @@ from typing import Any
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+from .storage import held
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Python workers of this session find this package where the driver found it.
@@ -25,8 +28,9 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def together(spark: SparkSession, *makers: Callable[[], Any]) -> list:
     """What each of the makers returns. Their jobs are submitted side by side, so that one's few tasks leave no cores idle."""
+    held()  # the threads write into the caller's line of work
     with ThreadPoolExecutor(max(1, len(makers))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(m)) for m in makers]]
+        return [f.result() for f in [pool.submit(contextvars.copy_context().run, inheritable_thread_target(spark)(m)) for m in makers]]
 
 
 #: Bytes of a table up to which a scan may lie in fewer row groups than there are cores.

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import hashlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,25 +37,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths that are in use, in the order they were made.
-_paths: list[tuple[SparkSession, str]] = []
+#: Paths that are in use, in the order they were made, for each line of work: a thread that is started by itself has
+#: its own, and what ``together`` starts shares that of its caller. So one query's release leaves another's tables alone.
+_own_paths: contextvars.ContextVar[list[tuple[SparkSession, str]]] = contextvars.ContextVar("tessera_paths")
+_every: list[list[tuple[SparkSession, str]]] = []
+_lock = threading.Lock()
+
+
+def _paths() -> list[tuple[SparkSession, str]]:
+    try:
+        return _own_paths.get()
+    except LookupError:
+        new: list[tuple[SparkSession, str]] = []
+        _own_paths.set(new)
+        with _lock:
+            _every.append(new)
+        return new
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder. It is removed by release, or when the driver's Python ends."""
     path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _paths.append((spark, path))
+    own = _paths()
+    with _lock:
+        own.append((spark, path))
     return path
 
 
 def held() -> frozenset[str]:
-    """The paths in use; release takes them."""
-    return frozenset(path for _, path in _paths)
+    """The paths in use in this line of work; release takes them."""
+    return frozenset(path for _, path in _paths())
 
 
 def release(before: frozenset[str] = frozenset(), keep: tuple[str, ...] = ()) -> None:
-    """Removes what was written since ``before``, but for the paths to keep. Whatever is made of the rest must have been written."""
-    for spark, path in list(_paths):
+    """Removes what this line of work has written since ``before``, but for the paths to keep. Whatever is made of the rest must have been written."""
+    for spark, path in list(_paths()):
         if path not in before and path not in keep:
             remove(spark, path)
 
@@ -70,12 +88,16 @@ def scratch():
 
 @atexit.register
 def _remove_all() -> None:
-    release()
+    for own in list(_every):
+        for spark, path in list(own):
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder. A session that has ended leaves it be."""
-    _paths[:] = [x for x in _paths if x[1] != path]
+    with _lock:
+        for own in _every:
+            own[:] = [x for x in own if x[1] != path]
     if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
         return
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.schema import CHUNK, QUESTION
+from .records import put, register
 
 
 def glob_pattern(glob: str) -> str:
@@ -76,12 +75,15 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_trace(trace: dict, folder: str) -> str:
-    """A trace (trace_id, steps, usage ...) as one JSON file of the driver; returns its path."""
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"{trace['trace_id']}.json")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(trace, f, default=str)
-    return path
+    """A trace (trace_id, steps, usage ...) as one JSON file of a folder; returns its path."""
+    return put(folder, str(trace["trace_id"]), trace)
+
+
+def write_traces(traces: DataFrame, folder: str, id_col: str = "trace_id") -> None:
+    """Traces, a row each, as one JSON file each; either all of them appear or none."""
+    register(traces.sparkSession)
+    rows = traces.select(F.col(id_col).cast("string").alias("name"), F.to_json(F.struct(*traces.columns)).alias("body"))
+    rows.write.format("records").mode("append").option("path", folder).save()
 
 
 def read_trace(spark: SparkSession, folder: str, trace_id: str) -> DataFrame:
