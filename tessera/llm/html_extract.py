@@ -38,8 +38,10 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 NAME = re.compile(r"[a-z]+")
 
 PATH_BUCKETS, WORD_BUCKETS, SIZES, HIDDEN = 1024, 64, 6, 16
-#: Invented pages, passes over them, pages of a step, rate.
-PAGES, EPOCHS, STEP, RATE = 480, 8, 24, 0.02
+#: Invented pages, passes over them, pages of a step, rate at the start (it falls to nothing), seed.
+PAGES, EPOCHS, STEP, RATE, SEED = 700, 10, 24, 0.02, 8
+#: A block is of the article if its score is above -LEAN: to lose one of its blocks is worse than to keep a stray one.
+LEAN = 0.75
 #: Blocks of a padded batch.
 CELLS = 60_000
 
@@ -223,12 +225,12 @@ class Labeller:
             some = order[at:upto]
             scores, _, _ = self.run(*self.inputs([pages[i] for i in some]))
             for j, i in enumerate(some):
-                out[i] = scores[: len(pages[i]), j] > 0
+                out[i] = scores[: len(pages[i]), j] > -LEAN
             at = upto
         return out
 
 
-def fit(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 3) -> Labeller:
+def fit(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
     """A labeller fitted on so many invented pages by back-propagation through time and Adam."""
     rng = random.Random(seed)
     some = sorted(((blocks(page(rng))) for _ in range(pages)), key=len)
@@ -268,7 +270,7 @@ def fit(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 3) -> Labeller:
             for w, g, (m, v) in zip(net.weights(), grads, moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+                w -= RATE * (1 - step / (1 + epochs * len(batches))) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return net
 
 

@@ -115,7 +115,12 @@ def part(rng: random.Random, kind: str, unseen: bool = False) -> str:
     return begin + inner + closing(begin)
 
 
+#: What the paragraphs of an article stand in; None: bare text that line breaks part.
+PARAGRAPHS = ["<p>{}</p>"] * 10 + ["<div>{}</div>"] * 3 + [None] * 3 + ["<div><span>{}</span></div>", "<div><span>{}</span></div>", "<div><div>{}</div></div>", "<section>{}</section>", "<dd>{}</dd>", "<li>{}</li>", "<blockquote>{}</blockquote>", "<center>{}</center><br>"]
+
+
 def article(rng: random.Random, unseen: bool = False) -> str:
+    paragraph = rng.choice(PARAGRAPHS)
     text = lambda n: MARK + words(rng, n, rng.choice([0.0, 0.0, 0.0, 0.1]))
     out = [f"<h1>{text(rng.randint(2, 10))}</h1>"] if rng.random() < 0.8 else []
     # Unseen pages have the blocks of an article one level deeper.
@@ -124,20 +129,27 @@ def article(rng: random.Random, unseen: bool = False) -> str:
     for _ in range(rng.choice([1, 2, 4, 8, 14])):
         n = rng.choice([1, 2, 5, 12, 30, 80])
         shape = rng.random()
+        if shape < 0.55 and paragraph is None:
+            out.append(f"{text(n)}<br>" + rng.choice(["", "<br>", "<br/>\n"]))
+            continue
         if shape < 0.55:
-            block = f"<p>{text(n)}</p>"
+            block = paragraph.format(text(n))
         elif shape < 0.68:
             block = f"<p><b>{text(n)}<br>"
         elif shape < 0.75:
             block = f"<h2>{text(min(n, 8))}</h2>"
-        elif shape < 0.82:
+        elif shape < 0.78:
             block = "<ul>" + "".join(f"<li>{text(min(n, 12))}</li>" for _ in range(3)) + "</ul>"
+        elif shape < 0.82:
+            block = rng.choice(["<ul>{}</ul>", "<ol>{}</ol>", "<div>{}</div>"]).format("".join(f'<li><a href="/{i}">{text(rng.randint(1, 15))}</a></li>' for i in range(rng.randint(2, 8))))
+        elif shape < 0.84:
+            block = "<dl>" + "".join(f"<dt>{text(rng.randint(1, 3))}</dt><dd>{text(rng.randint(2, 15))}</dd>" for _ in range(rng.randint(2, 7))) + "</dl>"
         elif shape < 0.86:
             block = f"<blockquote><p>{text(n)}</p></blockquote>"
         elif shape < 0.9:
             block = f'<p>{text(n)} <a href="/x">{words(rng, 2)}</a> {words(rng, 3)}</p>'
         elif shape < 0.93:
-            block = f"<table><tr><td>{text(2)}</td><td>{text(2)}</td></tr></table>"
+            block = "<table>" + "".join(f"<tr><td>{text(rng.randint(1, 9))}</td><td>{text(rng.randint(1, 9))}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>"
         elif shape < 0.95:
             block = f"<figure><figcaption>{text(min(n, 12))}</figcaption></figure>"
         else:
@@ -149,11 +161,16 @@ def article(rng: random.Random, unseen: bool = False) -> str:
     if inside and rng.random() < 0.6:
         out += [part(rng, kind, unseen) for kind in rng.sample(["comments", "comments", "comments", "share", "aside", "notice", "footer"], rng.randint(1, 2))]
     begin = rng.choice(ARTICLE[unseen])
+    if not unseen and rng.random() < 0.06:
+        begin = rng.choice(["<div>", f'<div class="{name(rng)}">', "<table><tr><td>"])  # nothing says that it is one
     return begin + "".join(out) + closing(begin)
 
 
 def page(rng: random.Random, unseen: bool = False) -> str:
     """An HTML page; text of the article is marked."""
+    if not unseen and rng.random() < 0.03:  # text with hardly a tag
+        body = rng.choice(["<br>", "<br><br>", "<p>"]).join(MARK + words(rng, rng.choice([1, 5, 20, 80])) for _ in range(rng.choice([1, 1, 2, 5])))
+        return rng.choice(["{}", "<body>{}</body>", "<html><body>{}"]).format(body)
     some = lambda *kinds: "".join(part(rng, k, unseen) for k in kinds if rng.random() < 0.45)
     before = some("notice", "header", "nav", "nav", "ad", "form", "aside")
     after = some("share", "comments", "aside", "ad", "form", "notice", "nav", "footer")

@@ -551,6 +551,29 @@ def test_top_k_agrees_with_brute_force(spark):
     assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in found) == sorted(want)
 
 
+def test_histograms_cut_what_blocks_keep(spark, monkeypatch):
+    rng = np.random.default_rng(70)
+    frame = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(600)], "vec_id long, embedding array<double>")
+    kept = {}
+
+    def table(df, name, **how):
+        kept.setdefault(name, []).append(common.Table(df, name, **how))
+        return kept[name][-1]
+
+    monkeypatch.setattr(topk, "Table", table)
+    found = topk.top_k(frame, "vec_id", "embedding", F.col("vec_id") % 100 == 0, candidates=40, bins=8).collect()
+    v = np.floor(np.array([r["embedding"] for r in frame.orderBy("vec_id").collect()]) * 1024).astype(np.int64)
+    for q in range(0, 600, 100):
+        scores = v @ v[q]
+        order = sorted((i for i in range(600) if i != q), key=lambda i: (-scores[i], i))[:10]
+        assert [(r["id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, scores[i]) for i in order]
+    # 15 blocks would keep 10 scores each of every query.
+    assert kept["scores"][0].df.count() <= topk.FEW * 10 * 6 < 15 * 10 * 6
+    rises = [t.df.groupBy("n").agg(F.min("lo").alias("lo")).agg(F.sum("lo")).first()[0] for t in kept["ranges"]]
+    assert len(rises) > 2 and rises == sorted(rises) and rises[1] < rises[-1]
+    assert topk.exact_quotient(np.array([[2**63 - 1, -(2**63), 5]]), np.array([[-(2**63) + 1]]), np.array([[2**53]])).tolist() == [[2047, -1, 1024]]
+
+
 def test_top_k_of_few_rows_and_huge_numbers(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [-1.0, 0.0], 1)], VECTORS)
     assert [(r["id"], r["score"]) for r in topk.top_k(few, "vec_id", "embedding", F.col("vec_id") == 0).collect()] == [(1, -(1024 * 1024))]
@@ -700,6 +723,49 @@ def test_layouts_and_class_words_that_were_never_learned_from():
     assert min(measured(html_extract.fitted(), True)) > 0.95
 
 
+SENTENCES = ["The river rises in the hills and runs east for forty miles.", "Its valley was settled early, as old maps show.", "Most villages lie on the northern bank.", "Floods came in spring and left good soil.", "A mill stood where the bridge is now.", "Nobody remembers who built it."]
+NAV = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About</a></li><li><a href="/c">Contact</a></li></ul></nav>'
+FOOTER = "<footer><p>&copy; 2021 River Society. All rights reserved.</p></footer>"
+COMMENTS = '<div class="comments"><h3>Comments</h3><div class="comment"><b>Ann</b><p>Nice read, thank you.</p></div><div class="comment"><b>Bo</b><p>I was there in 1999.</p></div></div>'
+NOTICE = '<div class="cookie-notice"><p>We use cookies to improve this site.</p><button>Accept</button></div>'
+
+
+def written_page(body, begin="<article>", end="</article>", head="<h1>The river</h1>", before="", after=""):
+    return f"<!DOCTYPE html><html><head><title>x</title></head><body>{before}{NAV}{begin}{head}{body}{end}{after}{FOOTER}</body></html>"
+
+
+def each_in(frame):
+    return "".join(frame.format(x) for x in SENTENCES)
+
+
+PAIRS = [y for x in SENTENCES for y in (x.split()[1], x)]
+#: Pages written by hand, whatever their article's text stands in, and the blocks of it.
+WRITTEN = {
+    "p": (written_page(each_in("<p>{}</p>")), ["The river", *SENTENCES]),
+    "div": (written_page(each_in("<div>{}</div>")), ["The river", *SENTENCES]),
+    "div in main": (written_page(each_in("<div>{}</div>"), "<main>", "</main>"), ["The river", *SENTENCES]),
+    "br": (written_page("<br><br>".join(SENTENCES)), ["The river", *SENTENCES]),
+    "br in div": (written_page("<br/>".join(SENTENCES), '<div class="content">', "</div>"), ["The river", *SENTENCES]),
+    "dl": (written_page("<dl>" + "".join(f"<dt>{x.split()[1]}</dt><dd>{x}</dd>" for x in SENTENCES) + "</dl>"), ["The river", *PAIRS]),
+    "links": (written_page(f"<p>{SENTENCES[0]}</p><ul>" + "".join(f'<li><a href="/{i}">{x}</a></li>' for i, x in enumerate(SENTENCES[1:])) + "</ul>"), ["The river", *SENTENCES]),
+    "table": (written_page("<table>" + each_in("<tr><td>{}</td></tr>") + "</table>"), ["The river", *SENTENCES]),
+    "span": (written_page(each_in("<div><span>{}</span></div>")), ["The river", *SENTENCES]),
+    "bare": (" ".join(SENTENCES), [" ".join(SENTENCES)]),
+    "bare lines": ("<html><body>" + "<br>".join(SENTENCES) + "</body></html>", SENTENCES),
+    "comments": (written_page(each_in("<p>{}</p>") + COMMENTS + NOTICE), ["The river", *SENTENCES]),
+    "comments after": (written_page(each_in("<div>{}</div>"), after=COMMENTS + NOTICE), ["The river", *SENTENCES]),
+    "notice first": (written_page("<br><br>".join(SENTENCES), "<main>", "</main>", before=NOTICE, after=COMMENTS), ["The river", *SENTENCES]),
+    "aside": (written_page("".join(f"<p>{x}</p>" for x in SENTENCES[:3]) + '<aside class="related"><h3>Related</h3><a href="/x">Other rivers</a></aside>' + "".join(f"<p>{x}</p>" for x in SENTENCES[3:])), ["The river", *SENTENCES]),
+    "long dl": (written_page("<dl>" + "".join(f"<dt>term {i}</dt><dd>What term {i} means in short.</dd>" for i in range(20)) + "</dl>"), ["The river", *(y for i in range(20) for y in (f"term {i}", f"What term {i} means in short."))]),
+}
+
+
+@pytest.mark.parametrize("kind", WRITTEN)
+def test_article_text_in_any_element(kind):
+    source, want = WRITTEN[kind]
+    assert html_extract.main_texts(html_extract.fitted(), [source]) == ["\n".join(want)]
+
+
 def test_comments_and_notices_inside_an_article_are_left_out(spark):
     text = "Some long text of the article that goes on for a while."
     rows = [
