@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import constants as C
 from .functions import text as X
+from .functions.sql import CRC_TABLE, crc32
 from .operators import bm25, context, evaluate, fusion, symbols, vectors
 from .plans import adapters, schema
 from .plans.session import read_spread, ship, together
@@ -249,10 +250,17 @@ def dense_masked(spark, d):
     return _dense(spark, d, F.col("label") < 5)
 
 
-@query()
+@query(f"""WITH {SQL_CHUNKS}, tb AS MATERIALIZED {CRC_TABLE}, w AS (SELECT row_id, unnest(list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x <> '')) AS w FROM chunks),
+g AS (SELECT row_id, unnest(list_concat(list_transform(range(1, greatest(length(w) - 2, 1) + 1), lambda i: substr(w, i::INT, 3)), list_transform(range(1, greatest(length(w) - 3, 1) + 1), lambda i: substr(w, i::INT, 4)))) AS g FROM w),
+u AS (SELECT g, {crc32('g')} % 256 AS bucket FROM (SELECT DISTINCT g FROM g), tb), b AS (SELECT row_id, bucket, count(*) AS c FROM g JOIN u USING (g) GROUP BY 1, 2),
+n AS (SELECT row_id, sqrt(sum(c * c)) AS size FROM b GROUP BY 1), v AS (SELECT row_id, round(sqrt(sum((c / size) * (c / size))), 6) AS norm, count(*) AS filled, sum(bucket * c)::BIGINT AS places FROM b JOIN n USING (row_id) GROUP BY 1)
+SELECT row_id, coalesce(norm, 0.0)::DOUBLE AS norm, coalesce(filled, 0)::INT AS filled, coalesce(places, 0) AS places FROM chunks LEFT JOIN v USING (row_id)""")
 def hash_embed_norms(spark, d):
-    found = vectors.hashing_vectors(docs(spark, d))
-    return found.select("row_id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"), F.size(F.filter("vector", lambda x: x > 0)).alias("filled"))
+    """Length, filled places and a checksum of the places of every text's hashed vector."""
+    rows = docs(spark, d)
+    counts = rows.select("row_id", F.aggregate(X.hash_grams(F.coalesce("content", F.lit(""))), F.lit(0).cast("long"), lambda s, x: s + x).alias("places"))
+    found = vectors.hashing_vectors(rows).select("row_id", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"), F.size(F.filter("vector", lambda x: x > 0)).alias("filled"))
+    return found.join(counts, "row_id").select("row_id", "norm", "filled", "places")
 
 
 FIRST_LINE = "string_split(content, chr(10))[1]"
