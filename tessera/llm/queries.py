@@ -105,6 +105,7 @@ def oracle_sql() -> dict[str, str]:
     from .chat import chat_sql
     from .exact_dedup import exact_sql
     from .license_scan import scan_sql
+    from .resample import resample_sql
     from .warc import warc_sql
 
     return {
@@ -112,6 +113,7 @@ def oracle_sql() -> dict[str, str]:
         "op9_chat_format": chat_sql(),
         "op6_warc": warc_sql(),
         "op11_centroid_clustering": cluster_sql(),
+        "op12_importance_resampling": resample_sql(),
         "op13_exact_dedup": exact_sql(),
         "op7_exact_top_k": """
             WITH v AS (

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.sql import CRC_TABLE, crc32
 from .common import Table, materialize, small
 
 #: Runs of up to so many words; buckets; least words of a document that may be drawn; percent drawn.
@@ -193,3 +194,19 @@ def begun(asked: DataFrame, draw: int) -> tuple[DataFrame | None, int | None]:
     placed = counts.join(F.broadcast(ranges.select("range", "before")), "range").withColumn("above", F.col("before") + F.sum("c").over(within) - F.col("c"))
     above = Table(placed.where(F.col("above") < draw).select("score", "above"), "above").df
     return above, above.agg(F.min("score")).first()[0]
+
+
+def resample_sql(percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = 42, n: int = BUCKETS) -> str:
+    """The same by a row for every run of words."""
+    runs = lambda name: " UNION ALL ".join(f"SELECT doc_id, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS f FROM {name}" for k in range(1, RUN + 1))
+    words = lambda text: f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH tb AS MATERIALIZED {CRC_TABLE}, d AS (SELECT doc_id, {words('text')} AS w FROM documents), b AS (SELECT item_id AS doc_id, {words('text')} AS w FROM benchmark),
+df AS MATERIALIZED (SELECT doc_id, f, count(*) AS c FROM ({runs('d')}) GROUP BY 1, 2), bf AS MATERIALIZED (SELECT f, count(*) AS c FROM ({runs('b')}) GROUP BY 1),
+u AS MATERIALIZED (SELECT f, {crc32('f')} % {n} AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf), tb),
+s AS (SELECT bucket, sum(c) AS s FROM df JOIN u USING (f) GROUP BY 1), t AS (SELECT bucket, sum(c) AS t FROM bf JOIN u USING (f) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + {n})::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + {n})::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT doc_id, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM df JOIN u USING (f) JOIN g USING (bucket) GROUP BY 1),
+o AS (SELECT d.doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('{seed}:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN m USING (doc_id)),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS asked FROM o WHERE words >= {least_words})
+SELECT o.doc_id, n_features, weight, score, CASE WHEN rank <= {percent} * asked // 100 THEN rank END AS rank FROM o LEFT JOIN k USING (doc_id)"""
