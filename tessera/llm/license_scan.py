@@ -24,7 +24,7 @@ def canonical(text: Column) -> Column:
     words = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, ""), PUNCTUATION, "  ")
     padded = F.concat(F.lit(" "), words, F.lit(" "))
     padded = functools.reduce(lambda x, pair: F.replace(x, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), EQUIVALENT, padded)
-    return F.trim(F.replace(F.replace(padded, F.lit(RESERVED), F.lit(" ")), F.lit("  "), F.lit(" ")))
+    return F.trim(F.replace(F.replace(padded, F.lit(RESERVED), F.lit("")), F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -92,7 +92,7 @@ def scan_sql() -> str:
         x = f"(' ' || {x} || ' ')"
         for a, b in EQUIVALENT:
             x = f"replace({x}, ' {a} ', ' {b} ')"
-        return f"sha256(trim(replace(replace({x}, '{RESERVED}', ' '), '  ', ' ')))"
+        return f"sha256(trim(replace(replace({x}, '{RESERVED}', ''), '  ', ' ')))"
 
     values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in LICENSES)
     files = ", ".join(f"('{i}', '{d}')" for i, d in DIGESTS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
@@ -117,19 +119,39 @@ but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
 GNU General Public License for more details."""
 
+#: Title lines that files of a licence begin with.
+TITLES: dict[str, tuple[str, ...]] = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License", "MIT-0 License"),
+    "Unlicense": ("The Unlicense",),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+}
+
+
+def spelled(name: str, text: str) -> tuple[tuple[str, str], ...]:
+    """A text in the forms that files have it in: with and without a title, with numbers, other marks or none before its clauses, of holders or owners."""
+    bodies = [text, re.sub(r"(?m)^[ \t]*\(?[0-9]+[.)] ", "* ", text)]
+    bodies += [re.sub("(?i)(copyright holder)", lambda m: m[0][:10] + ("OWNER" if m[0].isupper() else "owner"), b) for b in bodies]
+    titled = [b if not t else f"{t}\n\n{b}" for b in bodies for t in ("", *TITLES.get(name, ()))]
+    return tuple((name, t) for t in dict.fromkeys(titled))
+
+
 #: (SPDX identifier, a text that stands for the licence when it is all there is)
 LICENSES: tuple[tuple[str, str], ...] = (
-    ("MIT", _MIT),
-    ("MIT", "MIT License\n\n" + _MIT),
-    ("MIT", "The MIT License (MIT)\n\n" + _MIT),
-    ("MIT-0", _MIT_GRANT.replace(", subject to the following conditions:", ".") + "\n\n" + _MIT_WARRANTY),
-    ("ISC", f"{_ISC_GRANT}, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n{_ISC_WARRANTY}"),
-    ("0BSD", f"{_ISC_GRANT}.\n\n{_ISC_WARRANTY}"),
-    ("BSD-2-Clause", f"{_BSD_HEAD}\n\n{_BSD_WARRANTY}"),
-    ("BSD-3-Clause", f"{_BSD_HEAD}\n\n{_BSD_NAME}\n\n{_BSD_WARRANTY}"),
-    ("Zlib", _ZLIB),
-    ("Unlicense", _UNLICENSE),
+    *spelled("MIT", _MIT),
+    *spelled("MIT-0", _MIT_GRANT.replace(", subject to the following conditions:", ".") + "\n\n" + _MIT_WARRANTY),
+    *spelled("ISC", f"{_ISC_GRANT}, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n{_ISC_WARRANTY}"),
+    *spelled("0BSD", f"{_ISC_GRANT}.\n\n{_ISC_WARRANTY}"),
+    *spelled("BSD-2-Clause", f"{_BSD_HEAD}\n\n{_BSD_WARRANTY}"),
+    *spelled("BSD-3-Clause", f"{_BSD_HEAD}\n\n{_BSD_NAME}\n\n{_BSD_WARRANTY}"),
+    *spelled("Zlib", _ZLIB),
+    *spelled("Unlicense", _UNLICENSE),
     ("Apache-2.0", _APACHE_NOTICE),
+    ("Apache-2.0", _APACHE_NOTICE.replace("http:", "https:")),
     ("GPL-2.0-or-later", _GPL_NOTICE.format(2)),
     ("GPL-3.0-or-later", _GPL_NOTICE.format(3)),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -171,8 +193,8 @@ DIGESTS: tuple[tuple[str, str], ...] = (
     ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
     ("LGPL-2.1", "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
     ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MPL-1.1", "2259d813af8cc3c0317821938c50e1640667c2e33754fe11f78febbc0434d667"),
-    ("MPL-1.1", "c38800b89898f95cb2c29ef04ad7d97b02f1192ea3a42c543d27a3185157a919"),
+    ("MPL-1.1", "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1"),
+    ("MPL-1.1", "fcb579371133afd771fed87cd5d8c6dc5648746c9945d4adf08ec5c79aba5c61"),
     ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
 )
 

@@ -63,6 +63,22 @@ def test_every_known_text_is_its_own_licence(spark):
     assert found == {i: name for i, (name, _) in enumerate(license_scan.LICENSES)}
 
 
+def test_files_with_titles_other_marks_and_owners(spark):
+    by = {}
+    for name, text in license_scan.LICENSES:
+        by.setdefault(name, text)
+    rows = [
+        (1, "BSD 3-Clause License\n\nCopyright (c) 2019, Someone\nAll rights reserved.\n\n" + by["BSD-3-Clause"], "BSD-3-Clause"),
+        (2, "ISC License\n\nCopyright (c) 2004 by Someone\n\n" + by["ISC"], "ISC"),
+        (3, "Copyright 2001 X\n\n" + by["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* "), "BSD-2-Clause"),
+        (4, by["BSD-3-Clause"].replace("COPYRIGHT HOLDER", "COPYRIGHT OWNER").replace("copyright holder", "copyright owner"), "BSD-3-Clause"),
+        (5, by["Apache-2.0"].replace("http:", "https:"), "Apache-2.0"),
+        (6, "Some other title\n\n" + by["ISC"], None),
+    ]
+    found = {r["id"]: r["license_id"] for r in license_scan.scan(docs(spark, [(i, t, None, None) for i, t, _ in rows])).collect()}
+    assert found == {i: want for i, _, want in rows}
+
+
 def test_every_known_text_is_found_as_a_line(spark):
     rows = [(i, "before\n" + " ".join(t.split()) + "\nafter", None, None) for i, (_, t) in enumerate(license_scan.LICENSES)]
     found = {r["id"]: r["notices"] for r in license_scan.scan(docs(spark, rows)).collect()}
