@@ -26,7 +26,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are in some language: not undetermined, and with a score of at least LEAST_SCORE.
 
-    Null, empty and letterless texts are undetermined. Every row is judged by its text alone, repeated ones alike.
+    Null, empty and letterless texts are undetermined. Every row is judged by its whole text alone, however long, repeated ones alike;
+    of equally likely languages the first by name counts. An empty table stays empty; other columns, of whatever name, come along.
     """
     ship(spark)
     rest = tuple(c for c in docs.columns if c != "doc_id")
@@ -39,7 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of near-duplicates, the one with the smallest id.
 
     Documents are equal if their words are (A-Z lower-cased), so null and empty texts are near
-    each other. Of repeated ids one row stays a component; null ids come last.
+    each other. Of repeated ids one row stays a component; null ids come last. Texts are compared whole, however long.
+    An empty table stays empty; other columns, of whatever name, come along.
     """
     ship(spark)
     rows, number = numbered(docs)
@@ -52,7 +54,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops and repeats documents until the sources have their target weights.
 
     A null source is a source; documents without words aren't taken. Repeated rows are documents
-    of their own.
+    of their own; of equal choices the row that was numbered first is taken. A very long document is taken or left as a whole.
+    An empty table stays empty; other columns, of whatever name, come along.
     """
     ship(spark)
     rows, number = numbered(docs)
@@ -62,7 +65,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token ids of every row into sequences. A null or empty text is the end token alone; repeated rows are packed each."""
+    """Packs the token ids of every row into sequences. A null or empty text is the end token alone; repeated rows are packed each, very long texts in many pieces. An empty table gives no pieces; other columns are ignored."""
     ship(spark)
     return pack(docs).withColumnRenamed("id", "doc_id")
 
