@@ -43,7 +43,7 @@ def is_text(part: Column) -> Column:
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str | None = "text", parts: str | None = None, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """(conv_id, formatted, n_turns, loss, attachments, attachment_tokens), one row for each conversation.
+    """(conv_id, formatted, n_turns, loss, attachments, attachment_tokens), one row for each conversation. An empty table gives no rows.
 
     loss lists the (start, length) spans of the content of the trained roles' turns, in code points
     from 0. attachments lists (ordinal, type, ref, tokens) of all parts that aren't text.

@@ -76,7 +76,7 @@ def units(lists, width: int) -> np.ndarray:
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str | None = "label", threshold: float = 0.98, tables: int = 6, hashes: int = 3, block: int = BLOCK) -> DataFrame:
-    """(id, n_links, component_id, kept): each row with its number of links and its component.
+    """(id, n_links, component_id, kept): each row with its number of links and its component. An empty table gives no rows.
 
     Two rows link when their labels are equal and not null, their cosine is at least the
     threshold and a bucket of some table holds both; equal vectors always link. Null, empty

@@ -286,7 +286,7 @@ def main_texts(net: Labeller, sources: list[str | None]) -> list[str]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",), net: Labeller | None = None) -> DataFrame:
-    """(id, keep..., text) of every row: the main text of its whole HTML.
+    """(id, keep..., text) of every row: the main text of its whole HTML. An empty table gives no rows.
 
     Null and empty pages, and those without an article's block, have an empty text. Broken
     markup is read as far as it goes: open elements end with their parent, a cut-off tag or

@@ -301,7 +301,7 @@ def sample(docs: DataFrame, usable: Column, id_col: str, text_col: str, lang_col
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep..., id, lang_pred, score) of every row, from its text alone.
+    """(keep..., id, lang_pred, score) of every row, from its text alone. An empty table gives no rows.
 
     keep names columns that come along untouched. Null, empty and letterless texts are 'und' with
     score 0, and so is everything if the model saw no label. Repeated rows are predicted each.
@@ -331,5 +331,5 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def label_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, held_out, lang_pred, score) of every row of docs, by a model that train fits on them."""
+    """(id, held_out, lang_pred, score) of every row of docs, by a model that train fits on them. An empty table gives no rows."""
     return identify(docs, train(docs, id_col, text_col, lang_col, rows), id_col, text_col).select("id", held_out("id").alias("held_out"), "lang_pred", "score")

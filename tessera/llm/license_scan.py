@@ -60,7 +60,7 @@ def anchors(spark: SparkSession, licenses=LICENSES) -> list[str]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licenses=LICENSES) -> DataFrame:
-    """(id, digest, license_id, notices): each row's canonical digest and the licences it stands for.
+    """(id, digest, license_id, notices): each row's canonical digest and the licences it stands for. An empty table gives no rows.
 
     license_id is the licence whose known text is the row's entire text, else null. notices
     lists, sorted and joined by commas, the licences whose known text is an entire line of it

@@ -172,7 +172,7 @@ def balanced(units: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, row_col: str | None = None) -> DataFrame:
-    """(row, id, source, size, source_size, target, copies): how often the mix takes each row of docs.
+    """(row, id, source, size, source_size, target, copies): how often the mix takes each row of docs. An empty table gives no rows.
 
     size is the row's number of words (null and empty texts: 0, copies then is 0). A row gets
     the floor or the ceiling of target / source_size copies, so never more than ``most``

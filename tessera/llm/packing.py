@@ -193,7 +193,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeniz
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, longest: int = LONGEST, ids: bool = True) -> DataFrame:
-    """(id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset): every piece, each the one piece of its sequence.
+    """(id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset): every piece, each the one piece of its sequence. An empty table gives no rows.
 
     Sequences are numbered bucket by bucket, the longest first, without gaps. A null or
     empty text is the end token alone. Repeated rows are packed once each; a null id stays

@@ -231,7 +231,7 @@ def links(prints: DataFrame, radius: int = 4, least_bits: int = LEAST_CODE_BITS)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """(id, row, fingerprint, component_id, kept): each row with its component.
+    """(id, row, fingerprint, component_id, kept): each row with its component. An empty table gives no rows.
 
     component_id is the smallest id that links of at most ``radius`` differing bits reach.
     kept marks one row of each component: one with that id. Null and empty texts have

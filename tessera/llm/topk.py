@@ -58,7 +58,7 @@ def exact_quotient(scores: np.ndarray, lo: np.ndarray, step: np.ndarray) -> np.n
 
 
 def top_k(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int = 10, scale: float = 1024.0, queries: int = QUERIES, candidates: int = CANDIDATES, bins: int = BINS) -> DataFrame:
-    """(query_id, rank, id, score): for each query row its k best other rows by inner product of floor(scale * x).
+    """(query_id, rank, id, score): for each query row its k best other rows by inner product of floor(scale * x). An empty table gives no rows.
 
     is_query picks the query rows among the columns of vectors. Rows with the query's own id
     are no candidates of it; equal scores go to the smaller id; fewer than k candidates are all

@@ -216,7 +216,7 @@ def page_id(record_id) -> F.Column:
 
 
 def contents(manifest: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record read back.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record read back. An empty table gives no rows.
 
     A revisit's length and digest are its response's as read; both are of full payloads.
     """
