@@ -5,6 +5,7 @@ import re
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import constants as C
 from tessera.operators import bm25
@@ -136,3 +137,21 @@ def test_a_stream_brings_new_commits_once(spark, history, tmp_path):
         stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     subjects = [r["subject"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(subjects) == sorted([f"Change {i}" for i in range(23)] + ["Later 0", "Later 1"])
+
+
+def test_a_large_table_isnt_broadcast_however_few_bytes_its_file_has(spark):
+    from tessera.plans import storage
+
+    few = storage.materialize(spark.range(10).select("id", (F.col("id") % 3).alias("x")), "few")
+    many = storage.materialize(spark.range(storage.BROADCAST_ROWS + 1).select((F.col("id") % 10).alias("id")), "many")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan(spark.range(10).join(storage.small(few), "id"))
+    joined = few.join(storage.small(many), "id", "left_semi")
+    assert "Broadcast" not in plan(joined) and joined.count() == 10
+
+
+def test_a_batch_is_scored_where_its_windows_lie(spark, corpus):
+    rows, asked = corpus
+    found = bm25.build(rows, window=8).search(asked, 3)._jdf.queryExecution().executedPlan().toString()
+    # The blocks once, and the best rows of each query: nothing between the postings and their sums.
+    assert found.count("Exchange hashpartitioning") == 2 and "hashpartitioning(row_id" not in found
