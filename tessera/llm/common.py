@@ -56,8 +56,8 @@ BROADCAST_ROWS = 1 << 20
 
 
 def small(table: DataFrame) -> DataFrame:
-    """A written table of narrow rows, marked for broadcast if it has no more than BROADCAST_ROWS of them."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """A written table of narrow rows, marked for broadcast if it has no more than BROADCAST_ROWS of them, else for a sort-merge join: the size of its files doesn't tell what a broadcast takes."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
 
 
 def anti(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ means with several short fingerprints (``similar_documents``).
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -31,7 +32,7 @@ from .common import Table, connected_components, materialize, numbered, sketched
 SEED = 42
 BITS = 64
 #: Fingerprints that a part holds at most, copies of those at home in other parts included.
-PART_VALUES = 1 << 21
+PART_VALUES = 1 << 22
 LEAST_CODE_BITS = 6
 #: Variants that a reducer holds at once.
 ROUND_VARIANTS = 1 << 20
@@ -265,6 +266,8 @@ BLOCK_TEXTS, BLOCK_SHINGLES, CELLS = 2048, 1 << 20, 1 << 21
 SIGNED, SIGNED_TEXTS, SEGMENT, SEGMENTS = 1 << 18, 2048, 256, 128
 #: Words whose hashes a task keeps.
 KNOWN_WORDS = 1 << 18
+#: Rows of fingerprints that a text sends to parts at once; with more of them fingerprints go in turns.
+ROWS_A_TEXT = 48
 
 
 class Hashes(dict):
@@ -409,9 +412,17 @@ def signed(texts: DataFrame, words: int, copies: int, width: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, row long, mark binary, signature binary")
 
 
-def fellows(classes: DataFrame, copies: int, width: int, part_bits: int, radius: int = RADIUS) -> DataFrame:
+def turns(copies: int, part_bits: int, radius: int = RADIUS) -> list[range]:
+    """The fingerprints of each turn: what a text sends in one stays within ROWS_A_TEXT rows, or is one fingerprint's, however many texts there are."""
+    each = max(1, ROWS_A_TEXT // ball(radius // 2, part_bits))
+    return [range(at, min(at + each, copies)) for at in range(0, copies, each)]
+
+
+def fellows(classes: DataFrame, copies: int, width: int, part_bits: int, radius: int = RADIUS, only: range | None = None) -> DataFrame:
     """(a, b): links that connect texts wherever a chain of candidates does; candidates meet in some short fingerprint's ball.
 
+    only names the fingerprints that meet; by default all do.
+
     Of the bits of the next fingerprints, CHECK_BITS go along: candidates that differ in too
     many of them are no pair. A task has the balls of one fingerprint that one part holds, and
     hands on at most one link for each text.
@@ -419,16 +430,17 @@ def fellows(classes: DataFrame, copies: int, width: int, part_bits: int, radius:
     kinds = "part int, value long, x long, y long, c long"
     reach = flips(radius // 2, part_bits).astype(np.int64)
     masks, low = code_masks(part_bits, width), np.uint64(0xFFFFFFFF)
+    own_turn = range(copies) if only is None else only
 
     def deal(batches):
         for batch in batches:
             values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4" if width <= 32 else "<u8").astype(np.uint64).reshape(-1, copies)
             c = batch.column(0).to_numpy()
-            for k in range(copies):
+            for turn, k in enumerate(own_turn):
                 own = values[:, k]
                 others = [values[:, (k + j) % copies] & low for j in range(1, 5)]
                 x, y = others[0] | others[1] << np.uint64(32), others[2] | others[3] << np.uint64(32)
-                part = (code(own, masks)[:, None] ^ reach[None, :]).ravel() | k << part_bits
+                part = (code(own, masks)[:, None] ^ reach[None, :]).ravel() | turn << part_bits
                 long = lambda v: pa.array(np.repeat(v, len(reach)).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), long(own), long(x), long(y), long(c)], names=["part", "value", "x", "y", "c"])
 
@@ -444,7 +456,7 @@ def fellows(classes: DataFrame, copies: int, width: int, part_bits: int, radius:
         child = np.flatnonzero(root != np.arange(len(c)))
         yield pa.RecordBatch.from_arrays([pa.array(c[root[child]]), pa.array(c[child])], names=["a", "b"])
 
-    return classes.select("c", "signature").mapInArrow(deal, kinds).repartitionById(copies << part_bits, F.col("part")).mapInArrow(run, "a long, b long")
+    return classes.select("c", "signature").mapInArrow(deal, kinds).repartitionById(len(own_turn) << part_bits, F.col("part")).mapInArrow(run, "a long, b long")
 
 
 def linked_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -577,14 +589,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     n = source.count()
     copies, width = plan(n, similarity)
-    part_bits = enough_bits(n, RADIUS, width, 1)
+    part_bits = enough_bits(n, RADIUS, width, 0)
     rows = Table(signed(source, words, copies, width), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"), F.col("signature")))
     classes = rows.df.groupBy("mark").agg(first.alias("first")).select("mark", F.struct("first.none", "first.id", "first.row").alias("least"), F.col("first.row").alias("c"), "first.signature")
     classes = Table(classes, "classes")
-    met = Table(fellows(classes.df, copies, width, part_bits), "met")
-    families = materialize(connected_components(met.df).select("root", F.col("node").alias("c_")), "families")
-    met.drop()
+    met = [Table(fellows(classes.df, copies, width, part_bits, only=some), "met") for some in turns(copies, part_bits)]
+    families = materialize(connected_components(functools.reduce(DataFrame.union, [m.df for m in met])).select("root", F.col("node").alias("c_")), "families")
+    for table in met:
+        table.drop()
 
     def shingle(batches):
         known = Hashes()

@@ -808,3 +808,24 @@ def test_gradients_of_the_labeller():
     net.again[0][2, 5] += 1e-6
     after, _, _ = net.run(tokens, cells, dense, real)
     assert np.isclose((after - scores)[real].sum() / 1e-6, du[2, 5], rtol=1e-3, atol=1e-5)
+
+
+def test_fingerprints_that_take_turns_send_a_bounded_number_of_rows(spark):
+    from functools import reduce
+
+    for n in (10_000, 250_000, 3_000_000, 30_000_000, 300_000_000):
+        copies, width = simhash.plan(n, 0.8)
+        bits = simhash.enough_bits(n, simhash.RADIUS, width, 0)
+        taken = simhash.turns(copies, bits)
+        assert [k for some in taken for k in some] == list(range(copies))
+        assert all(len(some) * simhash.ball(2, bits) <= simhash.ROWS_A_TEXT or len(some) == 1 for some in taken)
+    assert len(simhash.turns(35, simhash.enough_bits(3_000_000, 4, 36, 0))) == 1
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**32, (40, 6), dtype=np.uint64)
+    values = np.concatenate([base, base ^ np.uint64(5), base ^ np.uint64(1 << 30)]).astype("<u4")
+    classes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(values)], "c long, signature binary")
+    roots = lambda df: sorted(map(tuple, common.connected_components(df).collect()))
+    every = roots(simhash.fellows(classes, 6, 32, 1))
+    for bits in (0, 3):
+        some = [simhash.fellows(classes, 6, 32, bits, only=range(i, i + 2)) for i in (0, 2, 4)]
+        assert roots(reduce(lambda a, b: a.union(b), some)) == every and len(every) == 120
