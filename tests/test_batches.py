@@ -286,3 +286,12 @@ def test_a_release_leaves_the_tables_of_other_threads(spark):
     done.set()
     thread.join()
     assert kept["n"] == 5
+
+
+def test_a_lookup_moves_a_list_for_each_key_and_no_row_for_each_posting(spark):
+    index = spark.createDataFrame([("a", 7, 2), ("a", 8, 5), ("a", 9, 9), ("b.a", 8, 1), ("b.a", 3, 4)], "key string, row_id long, pos int")
+    asked = spark.createDataFrame([(1, "b.a"), (1, "b.a"), (2, "A"), (3, "none")], "query_id long, name string")
+    found = symbols.lookup(index, asked, 3)
+    rows = sorted((r["query_id"], r["rank"], r["row_id"], r["score"]) for r in found.collect())
+    assert rows == [(1, 1, 8, 1.0), (1, 2, 3, 1.0), (1, 3, 7, 0.9), (2, 1, 7, 1.0), (2, 2, 8, 1.0), (2, 3, 9, 1.0)]
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
