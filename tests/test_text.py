@@ -60,3 +60,19 @@ def test_paths(spark):
 def test_truncation_keeps_head_and_tail(spark):
     (short, long) = values(spark, ["abc", "x" * 300 + "y" * 200], X.truncate(F.col("t"), 100))
     assert short == "abc" and long.startswith("x" * 280 + "\n... [120 chars") and long.endswith("\n" + "y" * 100)
+
+
+def test_terms_are_counted_where_their_texts_lie(spark):
+    from conftest import SF
+
+    from tessera import catalog
+
+    texts = [(1, "getUserName is HTTP2Server_x the the"), (2, None), (3, "Größe İx naïve 42 4"), (1, "user name"), (4, ""), (None, "lost words")]
+    rows = spark.createDataFrame(texts, "id long, content string")
+    counts = X.term_counts(rows, "id", "content")
+    got = {(r["id"], r["term"], r["tf"]) for r in counts.selectExpr("id", "inline(p)").collect()}
+    assert got == {tuple(r) for r in X.exploded_tokens(rows, ["id"], "content").groupBy("id", "term").count().collect()}
+    assert {r["id"]: r["dl"] for r in counts.collect()}.keys() == {1, 2, 3, 4, None}
+    # The texts are dealt by their id once; no token is a row of an exchange.
+    plan = catalog.term_frequencies(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(doc_id" in plan
