@@ -51,6 +51,19 @@ def test_a_pruned_search_scores_fewer_postings(spark, corpus):
     assert 0 < cost["sum(postings_read)"] < 0.6 * cost["sum(postings)"]
 
 
+def test_rows_that_one_batch_searches_are_scored_where_they_lie(spark, corpus, monkeypatch):
+    rows, asked = corpus
+    monkeypatch.setattr(bm25, "SHARE", 50)
+    own, index = bm25.lists(rows), bm25.build(rows)
+    plan = own.search(asked, 5)._jdf.queryExecution().executedPlan().toString()
+    # The lists once, in shares of so many rows, and the best rows of each query.
+    assert plan.count("Exchange hashpartitioning") == 2 and f"hashpartitioning(row_id, {-(-rows.count() // 50)})" in re.sub(r"#\d+L?", "", plan)
+    assert found(own.search(asked, 5)) == found(index.search(asked, 5)) == found(bm25.search(rows, asked, 5))
+    allowed = rows.where("row_id % 3 = 0")
+    assert found(own.search(asked, 5, allowed)) == found(index.search(asked, 5, allowed)) == found(bm25.search(rows, asked, 5, allowed=F.col("row_id") % 3 == 0))
+    assert own.search(asked, 5).columns == ["query_id", "row_id", "score", "rank"] and not found(bm25.search(rows.limit(0), asked, 3))
+
+
 def test_an_empty_index_finds_nothing(spark, corpus):
     rows, asked = corpus
     index = bm25.build(rows.limit(0))
