@@ -1,4 +1,6 @@
 import json
+import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +156,19 @@ def test_files_that_arrive_become_chunks(spark, tmp_path):
     stream_chunks(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     stream_chunks(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {r["symbol"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a", "f"} - ({"a"} if spark.read.parquet(str(tmp_path / "out")).where("symbol = 'a'").isEmpty() else set())
+
+
+def test_hashed_vectors_are_those_of_the_grams_and_shuffle_nothing(spark):
+    texts = ["Ab abc  abcd\tabcde abc", "", None, " \n ", "É\u00a0Straße 𝒳𝒴𝒵𝒳 x", "a" * 3000]
+    own = vectors.hashing_vectors(spark.createDataFrame(list(enumerate(texts)), "row_id long, content string"), dimension=32, counts=True)
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    got = {r["row_id"]: r for r in own.collect()}
+    for i, text in enumerate(texts):
+        want = [0] * 32
+        for w in re.findall(r"[^ \t\n\x0b\f\r]+", (text or "").lower()):
+            for n in (3, 4):
+                for j in range(max(len(w) - n + 1, 1)):
+                    want[zlib.crc32(w[j : j + n].encode()) % 32] += 1
+        size = sum(x * x for x in want) ** 0.5 or 1.0
+        assert list(got[i]["counts"]) == want and list(got[i]["vector"]) == pytest.approx([x / size for x in want])
+    assert vectors.hashing_vectors(spark.createDataFrame([(1, "x")], "row_id long, content string")).columns == ["row_id", "vector"]
