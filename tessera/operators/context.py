@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions.text import estimate_tokens, parse_citations, truncate
+from ..plans.storage import materialize, small
 
 _SPANS = "array<struct<path:string,s:int,e:int,kind:string,tokens:int>>"
 
@@ -63,21 +64,25 @@ def overlapping(spans: DataFrame, band: int = 64) -> DataFrame:
 
 
 def related(packed: DataFrame, chunks: DataFrame, graph: DataFrame, budget: int = C.BUDGET, chunk_tokens: int = C.CHUNK_TOKENS) -> DataFrame:
-    """(query_id, row_id): one definition from another file that the top kept block refers to among its first 20 names, if it fits."""
+    """(query_id, row_id, tokens): one definition from another file that the top kept block refers to among its first 20 names, if it fits.
+
+    What is looked for among the chunks is written first and as small as the questions, so that it comes to their texts.
+    """
     kept = packed.where("decision = 'kept'")
-    total = kept.groupBy("query_id").agg(F.sum("tokens").alias("total"), F.min_by("row_id", "rank").alias("row_id"))
-    tops = total.join(chunks.select("row_id", "path", "references"), "row_id")
+    total = small(materialize(kept.groupBy("query_id").agg(F.sum("tokens").alias("total"), F.min_by("row_id", "rank").alias("row_id")), "tops"))
+    tops = chunks.select("row_id", "path", "references").join(total, "row_id")
     names = tops.select("query_id", "total", "path", F.posexplode(F.slice("references", 1, 20)).alias("nth", "full")).withColumn("name", F.substring_index("full", ".", -1))
     first = graph.where("kind = 'definitions' and pos = 1").select("name", F.col("target").alias("chunk_id"))
-    defined = names.join(first, "name").join(chunks.select("chunk_id", F.col("row_id").alias("found"), F.col("path").alias("of"), "content"), "chunk_id").where("of <> path")
+    named = small(materialize(small(materialize(names, "names")).join(first, "name"), "named"))
+    defined = chunks.select("chunk_id", F.col("row_id").alias("found"), F.col("path").alias("of"), estimate_tokens(truncate(F.col("content"), chunk_tokens)).alias("tokens")).join(named, "chunk_id").where("of <> path")
     fresh = defined.join(kept.select("query_id", F.col("row_id").alias("found")), ["query_id", "found"], "left_anti")
-    best = fresh.groupBy("query_id").agg(F.min_by(F.struct("found", "total", estimate_tokens(truncate(F.col("content"), chunk_tokens)).alias("tokens")), "nth").alias("b"))
-    return best.where(F.col("b.total") + F.col("b.tokens") <= budget).select("query_id", F.col("b.found").alias("row_id"))
+    best = fresh.groupBy("query_id").agg(F.min_by(F.struct("found", "total", "tokens"), "nth").alias("b"))
+    return best.where(F.col("b.total") + F.col("b.tokens") <= budget).select("query_id", F.col("b.found").alias("row_id"), F.col("b.tokens").alias("tokens"))
 
 
 def with_related(packed: DataFrame, chunks: DataFrame, graph: DataFrame, budget: int = C.BUDGET, chunk_tokens: int = C.CHUNK_TOKENS) -> DataFrame:
     """packed with each question's related definition, if there is one, kept as its last block."""
-    found = related(packed, chunks, graph, budget, chunk_tokens).join(chunks.select("row_id", estimate_tokens(truncate(F.col("content"), chunk_tokens)).alias("tokens")), "row_id")
+    found = related(packed, chunks, graph, budget, chunk_tokens)
     last = packed.groupBy("query_id").agg((F.max("rank") + 1).alias("rank"))
     more = found.join(last, "query_id").select("query_id", "row_id", "rank", "tokens", F.lit("kept").alias("decision"))
     # What was dropped under another decision gives way to the block that is kept now.
