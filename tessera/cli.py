@@ -94,7 +94,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         engine.search([o.question], split(o.sources)).select("rank", "score", "location", "title").orderBy("rank").show(truncate=False)
     elif o.command == "ask":
         answers, cited = engine.ask([o.question], sources=split(o.sources), agentic=o.agentic)
-        answers.select("text").show(truncate=False)
+        answers.select("text", *(["failed"] if o.agentic else [])).show(truncate=False)
         cited.select("path", "start_line", "end_line", "valid").show(truncate=False)
     elif o.command == "diagnose":
         for df in engine.diagnose([o.question]).values():

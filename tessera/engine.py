@@ -100,8 +100,8 @@ class Engine:
         r = self.config.retrieval
         return {"method": r.method, "candidates": r.candidates, "rrf_k": r.rrf_k, "weights": r.weights, "depths": r.depths}
 
-    def investigate(self, questions: list[str] | DataFrame, model: generation.Model | None = None) -> tuple[DataFrame, list[dict]]:
-        """(hits, notes): what the agent gathers for each question, and which of its tools failed.
+    def investigate(self, questions: list[str] | DataFrame, model: generation.Model | None = None, failed: list[DataFrame] | None = None, whole: bool = False) -> tuple[DataFrame, list[dict]]:
+        """(hits, notes): what the agent gathers for each question, and which of its tools failed; failed and whole as for agent.run.
 
         A model refines the plans and says after each round whether the evidence is enough; the
         echo model always says so.
@@ -110,7 +110,7 @@ class Engine:
         tools = self.tools()
         planner = lambda planned: agent.refine(planned, model, a.subqueries)
         inspect = agent.inspector(model, self.base.chunks, sorted(tools), a.evidence)
-        found, notes = agent.run(q, tools, inspect, lambda df: materialize(df, "agent"), a.iterations, a.evidence, planner)
+        found, notes = agent.run(q, tools, inspect, lambda df: materialize(df, "agent"), a.iterations, a.evidence, planner, failed=failed, whole=whole)
         return self.named(found.withColumnRenamed("rrf", "score").where(F.col("rank") <= self.config.retrieval.final)), notes
 
     def diagnose(self, questions: list[str] | DataFrame) -> dict[str, DataFrame]:
@@ -123,29 +123,34 @@ class Engine:
         """(answers, checked citations) from packed evidence.
 
         To what fits comes one definition from another file that the best block refers to, if it fits too. agentic lets
-        the agent gather the evidence; sources don't apply to it.
+        the agent gather the evidence; sources don't apply to it, and the answers' column failed names the tools that
+        failed at a question, whose answer is from what the others found.
         """
-        c, q = self.config.context, self.queries(questions)
+        c, q, failed = self.config.context, self.queries(questions), []
         model = model or generation.build_model(self.config.model)
-        hits = self.investigate(q, model)[0] if agentic else self.search(q, sources)
+        hits = self.investigate(q, model, failed)[0] if agentic else self.search(q, sources)
         packed = materialize(context.pack(hits, c.budget, c.chunk_tokens, c.per_file, c.quotas), "packed")
         if self.base.edges is not None:
             packed = context.with_related(packed, self.base.chunks, self.base.edges, c.budget, c.chunk_tokens)
         evidence = context.render(packed, self.base.chunks, c.chunk_tokens)
         blocks = packed.where("decision = 'kept'").join(self.base.chunks.select("row_id", "path", "start_line", "end_line"), "row_id")
-        return generation.answer(q, evidence, blocks, model)
+        answers, cited = generation.answer(q, evidence, blocks, model)
+        return (agent.with_failures(answers, failed) if agentic else answers), cited
 
     def evaluate(self, questions: DataFrame, sources: list[str] | None = None, agentic: bool = False) -> tuple[DataFrame, DataFrame]:
-        """(metrics, evidence with is_gold) of questions (query_id, query, relevant_*)."""
+        """(metrics, evidence with is_gold) of questions (query_id, query, relevant_*); a tool of the agent that fails fails it."""
         q = questions.select("query_id", "query")
-        hits = materialize(self.investigate(q)[0] if agentic else self.search(q, sources), "hits")
+        hits = materialize(self.investigate(q, whole=True)[0] if agentic else self.search(q, sources), "hits")
         return evaluate.question_metrics(evaluate.graded(hits, questions), evaluate.units(questions)), evaluate.evidence_rows(hits, questions)
 
     def benchmark(self, name: str, questions: DataFrame, sources: list[str] | None = None, split: str | None = None, limit: int | None = None, agentic: bool = False, singly: int = 0) -> dict:
-        """A report of one way to retrieve over questions (query_id, query, relevant_*, category, split ...)."""
+        """A report of one way to retrieve over questions (query_id, query, relevant_*, category, split ...).
+
+        A question that a tool of the agent fails at is among its errors and scores nothing, as one that a source fails at.
+        """
         def retrieve(asked: DataFrame) -> DataFrame:
             failed: list[DataFrame] = []
-            hits = self.investigate(asked.select("query_id", "query"))[0] if agentic else self.search(asked.select("query_id", "query"), sources, failed=failed)
+            hits = self.investigate(asked.select("query_id", "query"), whole=True)[0] if agentic else self.search(asked.select("query_id", "query"), sources, failed=failed)
             found = evaluate.graded(hits, asked)
             for some in failed:  # a question that a source fails at scores nothing, whatever the others find
                 found = found.join(some, "query_id", "left_anti").unionByName(some, allowMissingColumns=True)
